@@ -99,14 +99,25 @@ def words(c: Chunk, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
     return Words(start, end, doc, spans(c.buf, start, end, lower), first)
 
 
-def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans, from running sums of a polynomial modulo 2^64."""
-    up, down = _power_tables(len(buf))
+def running(buf: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Running sums of a polynomial modulo 2^64 over the bytes."""
+    up, _ = _power_tables(len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * up[: len(buf)], out=total[1:])
+    return total
+
+
+def spans_of(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans from the running sums."""
+    _, down = _power_tables(len(total))
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return spans_of(running(buf, lower), start, end)
+
+
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each text and where each text's begin; a shorter text is one shingle."""
     count = np.diff(w.first)
