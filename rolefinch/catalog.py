@@ -1,9 +1,325 @@
 """All queries of the engine over the test tables, with their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scoring as S
+from .functions import text as X
+from .operators import state, tables
+from .plans import shortlist
+from .sources import boards
+from .testviews import NOW, PROFILE, WORDS, listings, postings, scans, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Text of the SQL that several queries share.
+POSTINGS = f"""postings AS (SELECT doc_id AS posting_id, source AS company, substring(text, 1, 40) AS title, text AS body_text, [lang] AS locations,
+  CASE WHEN doc_id % 5 = 0 THEN 'remote' ELSE 'unknown' END AS remote_policy,
+  TIMESTAMP '{NOW}' - to_days(CAST(doc_id % 60 AS INT)) AS posted_at, CASE WHEN doc_id % 7 = 0 THEN 'closed' ELSE 'open' END AS status FROM documents)"""
+SKILLS = "skilled AS (SELECT *, list_sort(list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(body_text, '(?i)(^|[^\p{{L}}\p{{N}}_]){p.name}($|[^\p{{L}}\p{{N}}_])') THEN '{p.name}' END" for p in WORDS.patterns) + "], lambda x: x IS NOT NULL)) AS skills FROM postings)"
+OWN = "[" + ", ".join(f"'{x}'" for x in PROFILE.skills) + "]"
+FIT = "CASE WHEN " + " OR ".join(f"contains(lower(locations[1]), '{w}') OR contains('{w}', lower(locations[1]))" for w in PROFILE.locations) + " THEN 1.0 WHEN remote_policy = 'remote' THEN 0.5 ELSE 0.0 END"
+VETO = " OR ".join(f"contains(lower(title), '{x}')" for x in PROFILE.exclude_titles)
+AGE = f"greatest(date_diff('microsecond', posted_at, TIMESTAMP '{NOW}') / 86400000000.0, 0)"
+COVER = f"len(list_intersect(skills, {OWN}))"
+SCORED = f"""scored AS (SELECT *, CASE WHEN cov IS NULL THEN (0.15 * rec + 0.10 * fit) / 0.25 ELSE (0.50 * cov + 0.15 * rec + 0.10 * fit) / 0.75 END AS total FROM (
+  SELECT posting_id, company, title, posted_at, {COVER} AS n_covered, len(skills) AS n_skills, CASE WHEN len(skills) > 0 THEN {COVER} / len(skills) END AS cov, exp(-ln(2) * {AGE} / 14.0) AS rec, {FIT} AS fit, {AGE} AS age
+  FROM skilled WHERE status = 'open' AND NOT ({VETO})))"""
+UNTITLED = S.Profile(PROFILE.skills, [], PROFILE.exclude_titles, PROFILE.locations)
+
+
+def skilled(spark: SparkSession, d: str) -> DataFrame:
+    return postings(spark, d).withColumn("skills", WORDS.skills(F.col("body_text")))
+
+
+def ranked(spark: SparkSession, d: str, profile=UNTITLED) -> DataFrame:
+    return shortlist.score(skilled(spark, d).where("status = 'open'"), profile, NOW)
+
+
+@query(f"WITH {POSTINGS} SELECT company, count(*) AS n FROM postings WHERE status = 'open' GROUP BY company")
+def open_by_company(spark, d):
+    return postings(spark, d).where("status = 'open'").groupBy("company").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(rf"SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(s_name)), '[^a-z0-9 ]', '', 'g'), '\b({'|'.join(X.COMPANY_SUFFIXES)})\b', '', 'g'), '\s+', ' ', 'g')) AS name FROM supplier")
+def normalize_company(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", X.normalize_company(F.col("s_name")).alias("name"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM part")
+def normalize_title(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.normalize_title(F.col("p_name")).alias("title"))
+
+
+def _html_sql() -> str:
+    x = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>', '', 'g')"
+    x = rf"regexp_replace({x}, '[\r\n]', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?({'|'.join(X.BLOCK_TAGS)})\b[^>]*>', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, char in X.ENTITIES:
+        quoted = char.replace("'", "''")
+        x = f"replace({x}, '{entity}', '{quoted}')"
+    return rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS body FROM pages"
+
+
+@query(_html_sql())
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_to_text(F.col("html")).alias("body"))
+
+
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(p_name || ' ' || p_type, '(?i){p}') THEN '{n}'" for n, p in X.ROLE_FAMILIES) + " ELSE 'general_swe' END AS family FROM part")
+def role_family(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.role_family(F.concat_ws(" ", "p_name", "p_type")).alias("family"))
+
+
+@query(f"WITH {POSTINGS}, {SKILLS} SELECT posting_id, array_to_string(skills, ',') AS skills FROM skilled")
+def skill_extract(spark, d):
+    return skilled(spark, d).select("posting_id", F.array_join("skills", ",").alias("skills"))
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, x AS (SELECT posting_id, unnest(skills) AS skill FROM skilled) SELECT posting_id, skill, CASE " + " ".join(f"WHEN skill = '{p.name}' THEN '{p.category}'" for p in WORDS.patterns) + " END AS category FROM x")
+def skill_categories(spark, d):
+    return skilled(spark, d).select("posting_id", F.explode(WORDS.categories(F.col("skills"))).alias("skill", "category"))
+
+
+@query(f"WITH {POSTINGS}, {SKILLS} SELECT posting_id, {COVER} AS n_covered, len(skills) AS n_skills, CASE WHEN len(skills) > 0 THEN round({COVER} / len(skills), 6) END AS coverage FROM skilled")
+def skill_coverage(spark, d):
+    return skilled(spark, d).select("posting_id", S.covered(F.col("skills"), PROFILE.skills).cast("long").alias("n_covered"), F.size("skills").cast("long").alias("n_skills"), F.round(S.skill_coverage(F.col("skills"), PROFILE.skills), 6).alias("coverage"))
+
+
+@query(f"WITH {POSTINGS} SELECT posting_id, round(exp(-ln(2) * {AGE} / 14.0), 6) AS recency FROM postings")
+def recency(spark, d):
+    return postings(spark, d).select("posting_id", F.round(S.recency(F.col("posted_at"), F.lit(NOW).cast("timestamp_ntz")), 6).alias("recency"))
+
+
+@query(f"WITH {POSTINGS} SELECT posting_id, CAST({FIT} AS DOUBLE) AS fit FROM postings")
+def location_fit(spark, d):
+    return postings(spark, d).select("posting_id", S.location_fit(F.col("locations"), F.col("remote_policy"), PROFILE).alias("fit"))
+
+
+def _ratio_sql(a: str, target: str) -> str:
+    """token_set_ratio of a column and a literal in DuckDB; the subsequence length by nested list_reduce."""
+    return f"""SELECT p_partkey, CASE WHEN len(ta) = 0 THEN 0.0 WHEN s > 0 AND (la = 0 OR lb = 0) THEN 1.0 ELSE round(greatest(
+      100 - 100.0 * (la + lb - 2 * lcs) / (s + sep + la + s + sep + lb), CASE WHEN s > 0 THEN greatest(100 - 100.0 * (sep + la) / (s + s + sep + la), 100 - 100.0 * (sep + lb) / (s + s + sep + lb)) ELSE 0 END) / 100, 6) END AS score FROM (
+      SELECT *, length(both_) AS s, length(oa) AS la, length(ob) AS lb, CASE WHEN length(both_) > 0 THEN 1 ELSE 0 END AS sep,
+        CASE WHEN length(oa) = 0 OR length(ob) = 0 THEN 0 ELSE list_reduce(list_transform(string_split(oa, ''), lambda ch: [ord(ch)]), lambda prev, ch: list_reduce(list_transform(range(1, length(ob) + 1), lambda j: [j]), lambda cur, j: list_append(cur, CASE WHEN ord(substring(ob, j[1], 1)) = ch[1] THEN prev[j[1]] + 1 ELSE greatest(prev[j[1] + 1], cur[-1]) END), [0::BIGINT]), list_transform(range(0, length(ob) + 1), lambda j: 0::BIGINT))[-1] END AS lcs
+      FROM (SELECT p_partkey, ta, array_to_string(list_sort(list_filter(ta, lambda x: list_contains(tb, x))), ' ') AS both_, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ' ') AS oa, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ' ') AS ob
+        FROM (SELECT p_partkey, list_distinct(list_filter(string_split_regex(lower({a}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS ta, list_distinct(string_split('{target}', ' ')) AS tb FROM part)))"""
+
+
+@query(_ratio_sql("p_name", "small blue widget"))
+def title_match(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(S.title_match(F.col("p_name"), ["small blue widget"]), 6).alias("score"))
+
+
+@query(f"WITH {POSTINGS} SELECT posting_id FROM postings WHERE NOT ({VETO}) AND {FIT} <> 0.0")
+def hard_filter(spark, d):
+    fit = S.location_fit(F.col("locations"), F.col("remote_policy"), PROFILE)
+    return postings(spark, d).where(S.passes(F.col("title"), fit, PROFILE, hard_location=True)).select("posting_id")
+
+
+@query(f"WITH {POSTINGS} SELECT count(*) AS matches FROM postings WHERE status = 'open' AND NOT ({VETO})")
+def count_matches(spark, d):
+    return postings(spark, d).where("status = 'open'").where(~S.vetoed(F.col("title"), PROFILE)).agg(F.count("*").alias("matches"))
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, {SCORED} SELECT posting_id, company, title, round(total, 6) AS total FROM scored ORDER BY total DESC, posting_id LIMIT 10")
+def rank_top(spark, d):
+    return shortlist.top(ranked(spark, d), 10).select("posting_id", "company", "title", F.round("total", 6).alias("total"))
+
+
+@query()
+def rank_top_titles(spark, d):
+    """The shortlist with fuzzy title matching."""
+    return shortlist.top(ranked(spark, d, PROFILE), 10).select("posting_id", "title", F.round("title_match", 6).alias("title_match"), F.round("total", 6).alias("total"), "why")
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, {SCORED} SELECT posting_id, position, component, round(value, 6) AS value, weight, round(value * weight, 6) AS weighted FROM (SELECT posting_id, 0 AS position, 'skill_coverage' AS component, cov AS value, 0.5::DOUBLE AS weight FROM scored UNION ALL SELECT posting_id, 1, 'title_match', NULL, 0.25::DOUBLE FROM scored UNION ALL SELECT posting_id, 2, 'recency', rec, 0.15::DOUBLE FROM scored UNION ALL SELECT posting_id, 3, 'location_fit', fit, 0.1::DOUBLE FROM scored)")
+def explain_rows(spark, d):
+    return shortlist.explain(ranked(spark, d)).select("posting_id", "position", "component", F.round("value", 6).alias("value"), "weight", F.round("weighted", 6).alias("weighted"))
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, {SCORED} SELECT posting_id, CASE WHEN cov IS NOT NULL THEN 'covers ' || n_covered || '/' || n_skills || ' skills · ' ELSE '' END || CAST(floor(age) AS BIGINT) || 'd' AS why FROM scored")
+def why_summary(spark, d):
+    return ranked(spark, d).select("posting_id", "why")
+
+
+@query(f"WITH {POSTINGS} SELECT posting_id FROM postings WHERE status = 'open' AND NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = posting_id)")
+def missing_extractions(spark, d):
+    p = postings(spark, d).withColumn("content_hash", X.content_hash(F.col("body_text")))
+    done = p.join(table(spark, d, "labels").select(F.col("doc_id").alias("posting_id")), "posting_id", "left_semi")
+    memo = done.select("posting_id", "content_hash", F.lit("taxonomy").alias("kind"), F.lit(WORDS.version).alias("engine_version"))
+    return tables.missing_extractions(p, memo, WORDS.version).select("posting_id")
+
+
+@query(f"WITH {POSTINGS}, {SKILLS} SELECT posting_id, array_to_string(skills, ',') AS skills FROM skilled WHERE status = 'open' AND posting_id NOT IN (SELECT doc_id FROM labels)")
+def extraction_backfill(spark, d):
+    p = postings(spark, d).withColumn("content_hash", X.content_hash(F.col("body_text")))
+    done = p.join(table(spark, d, "labels").select(F.col("doc_id").alias("posting_id")), "posting_id", "left_semi")
+    memo = done.select("posting_id", "content_hash", F.lit("taxonomy").alias("kind"), F.lit(WORDS.version).alias("engine_version"))
+    return tables.extract(tables.missing_extractions(p, memo, WORDS.version), WORDS).select("posting_id", F.array_join("skills", ",").alias("skills"))
+
+
+@query("SELECT doc_id AS posting_id, CASE WHEN doc_id % 2 = 0 THEN 'current' ELSE 'superseded' END AS extraction FROM documents WHERE doc_id % 3 = 0")
+def current_vs_superseded(spark, d):
+    p = postings(spark, d).where("posting_id % 3 = 0").withColumn("content_hash", X.content_hash(F.col("body_text"))).select("posting_id", "content_hash")
+    memo = p.select("posting_id", "content_hash", F.lit("taxonomy").alias("kind"), F.when(F.col("posting_id") % 2 == 0, WORDS.version).otherwise("old").alias("engine_version"), F.array(F.lit("x")).alias("skills"))
+    return tables.current_extractions(p, memo, WORDS.version).select("posting_id", F.when(F.col("skills").isNotNull(), "current").otherwise("superseded").alias("extraction"))
+
+
+HISTORY = """days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), brd AS (SELECT DISTINCT event_type AS board FROM events),
+scans AS (SELECT board, date_diff('day', DATE '2024-01-01', day) AS seq, CASE day(day) % 7 WHEN 3 THEN 'partial' WHEN 5 THEN 'failed' WHEN 6 THEN 'unchanged' ELSE 'complete' END AS status FROM brd, days),
+listings AS (SELECT event_type AS board, user_id AS posting_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS seq, arg_max(props, event_id) AS content_hash FROM events GROUP BY ALL),
+live AS (SELECT *, sum(CASE WHEN status = 'complete' THEN 1 ELSE 0 END) OVER (PARTITION BY board ORDER BY seq) AS cc FROM scans WHERE status IN ('complete', 'partial')),
+good AS (SELECT l.* FROM listings l JOIN live USING (board, seq)), firsts AS (SELECT board, posting_id, min(seq) AS first FROM good GROUP BY ALL),
+spine AS (SELECT f.board, f.posting_id, v.seq, v.cc, g.content_hash, count(g.content_hash) OVER (PARTITION BY f.board, f.posting_id ORDER BY v.seq) AS island FROM firsts f JOIN live v ON v.board = f.board AND v.seq >= f.first LEFT JOIN good g ON g.board = f.board AND g.posting_id = f.posting_id AND g.seq = v.seq),
+missed AS (SELECT *, least(2, cc - first_value(cc) OVER i) AS miss, first_value(content_hash) OVER i AS last_hash FROM spine WINDOW i AS (PARTITION BY board, posting_id, island ORDER BY seq)),
+hist AS (SELECT *, lag(miss) OVER w AS pm, lag(last_hash) OVER w AS ph FROM missed WINDOW w AS (PARTITION BY board, posting_id ORDER BY seq)),
+evs AS (SELECT board, posting_id, seq, 'new' AS kind FROM hist WHERE ph IS NULL UNION ALL SELECT board, posting_id, seq, 'reopened' FROM hist WHERE content_hash IS NOT NULL AND pm >= 2 UNION ALL SELECT board, posting_id, seq, 'revised' FROM hist WHERE content_hash IS NOT NULL AND ph <> content_hash UNION ALL SELECT board, posting_id, seq, 'closed' FROM hist WHERE content_hash IS NULL AND miss = 2 AND pm = 1)"""
+
+
+def history(spark, d):
+    return state.replay_history(scans(spark, d), listings(spark, d))
+
+
+@query(f"WITH {HISTORY} SELECT board, posting_id, CAST(seq AS INT) AS seq, kind FROM evs")
+def state_events(spark, d):
+    return state.history_events(history(spark, d))
+
+
+@query(f"WITH {HISTORY} SELECT board, posting_id, CASE WHEN arg_max(miss, seq) >= 2 THEN 'closed' ELSE 'open' END AS status, CAST(arg_max(miss, seq) AS BIGINT) AS missing, arg_max(last_hash, seq) AS content_hash FROM hist GROUP BY board, posting_id")
+def state_final(spark, d):
+    return state.history_final(history(spark, d)).withColumn("missing", F.col("missing").cast("long"))
+
+
+@query(f"WITH {HISTORY}, n AS (SELECT board, seq, count(*) AS listed FROM good GROUP BY ALL) SELECT s.board, CAST(s.seq AS INT) AS seq, s.status, coalesce(n.listed, 0) AS listed FROM scans s LEFT JOIN n USING (board, seq)")
+def board_scan_log(spark, d):
+    s = scans(spark, d)
+    n = listings(spark, d).join(s.where("status in ('complete', 'partial')"), ["board", "seq"], "left_semi").groupBy("board", "seq").agg(F.count("*").alias("listed"))
+    return s.join(n, ["board", "seq"], "left").select("board", "seq", "status", F.coalesce("listed", F.lit(0)).alias("listed"))
+
+
+@query(f"WITH {HISTORY} SELECT seq, count(*) AS boards_attempted, CAST(sum(ok) AS BIGINT) AS boards_complete, CAST(sum(listed) AS BIGINT) AS postings_seen, CAST(sum(n) AS BIGINT) AS new_count, CAST(sum(r) AS BIGINT) AS reopened_count, CAST(sum(c) AS BIGINT) AS closed_count FROM (SELECT CAST(s.seq AS INT) AS seq, CASE WHEN s.status = 'complete' THEN 1 ELSE 0 END AS ok, (SELECT count(*) FROM good g WHERE g.board = s.board AND g.seq = s.seq) AS listed, (SELECT count(*) FROM evs e WHERE e.board = s.board AND e.seq = s.seq AND kind = 'new') AS n, (SELECT count(*) FROM evs e WHERE e.board = s.board AND e.seq = s.seq AND kind = 'reopened') AS r, (SELECT count(*) FROM evs e WHERE e.board = s.board AND e.seq = s.seq AND kind = 'closed') AS c FROM scans s) GROUP BY seq")
+def run_summary(spark, d):
+    counts = state.history_events(history(spark, d)).groupBy("board", "seq").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "reopened", "closed")))
+    log = board_scan_log(spark, d).join(counts, ["board", "seq"], "left")
+    return log.groupBy("seq").agg(F.count("*").alias("boards_attempted"), F.count_if(F.col("status") == "complete").alias("boards_complete"), F.sum("listed").alias("postings_seen"), *(F.sum(F.coalesce(k, F.lit(0))).alias(f"{k}_count") for k in ("new", "reopened", "closed")))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 AND s_nationkey = 3")
+def watched_filter(spark, d):
+    c = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") > 0).alias("watched"), F.col("s_nationkey").cast("string").alias("provider"), F.lower("s_name").alias("slug"))
+    return tables.watched(c, provider="3").select("s_suppkey", "s_name")
+
+
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, coalesce(s_name, c_name) AS name, c_custkey IS NOT NULL AS watched FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+def upsert_company(spark, d):
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(False).alias("watched"))
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(True).alias("watched"))
+    return tables.upsert(old, new, ["id"], ["watched"])
+
+
+@query("SELECT 1 AS id, 'new' AS text, count(*) AS n_skills FROM region")
+def upsert_profile(spark, d):
+    old = spark.range(1, 2).select(F.col("id").cast("int").alias("id"), F.lit("old").alias("text"), F.lit(0).cast("long").alias("n_skills"))
+    new = table(spark, d, "region").agg(F.count("*").alias("n_skills")).select(F.lit(1).alias("id"), F.lit("new").alias("text"), "n_skills")
+    return tables.upsert(old, new, ["id"], ["text", "n_skills"])
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS etag FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+def validators_upsert(spark, d):
+    p = table(spark, d, "pages")
+    return tables.upsert(p.where("page_id % 2 = 0").select("page_id", F.lit("old").alias("etag")), p.where("page_id % 3 = 0").select("page_id", F.lit("new").alias("etag")), ["page_id"], ["etag"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = n_name THEN c_mktsegment ELSE c_mktsegment || '|' || n_name END AS places FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def locations_dedupe(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, d, "customer").join(n, "c_nationkey").select("c_custkey", F.array_join(boards._dedup(F.array("c_mktsegment", "n_name", "c_mktsegment", F.lit(""))), "|").alias("places"))
+
+
+@query("SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'not') THEN 'remote' ELSE 'unknown' END AS policy FROM orders")
+def remote_policy(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", boards.remote_policy(F.array(F.replace(F.lower("o_orderpriority"), F.lit("not"), F.lit("Remote")))).alias("policy"))
+
+
+@query("SELECT event_id, date_trunc('millisecond', ts) AS at FROM events")
+def epoch_ms(spark, d):
+    return table(spark, d, "events").select("event_id", boards.epoch_ms(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN date_trunc('second', ts) END AS at FROM events")
+def iso_parse(spark, d):
+    text = F.when(F.col("event_id") % 3 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("soon")
+    return table(spark, d, "events").select("event_id", boards.iso_time(text).alias("at"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS board, CASE WHEN s_suppkey % 4 = 3 THEN 'failed' WHEN s_suppkey % 4 = 2 THEN 'partial' ELSE 'complete' END AS status, CASE WHEN s_suppkey % 4 = 3 THEN 0 WHEN s_suppkey % 4 = 2 THEN 1 ELSE 2 END::BIGINT AS listed FROM supplier")
+def snapshot_status(spark, d):
+    body = F.when(F.col("s_suppkey") % 4 == 3, "{}").when(F.col("s_suppkey") % 4 == 2, '{"jobs":[{"id":1,"title":"a"},{"id":2}]}').otherwise('{"jobs":[{"id":1,"title":"a"},{"id":2,"title":"b"}]}')
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("board"), body.alias("content"))
+    return boards.snapshot_status(boards.parse(p, "greenhouse")).select("board", "status", "listed")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS salary_min, o_totalprice + 1 AS salary_max, 'USD' AS salary_currency, CASE WHEN o_orderstatus = 'F' THEN 'year' ELSE 'hour' END AS salary_period FROM orders WHERE o_orderstatus <> 'P'")
+def compensation(spark, d):
+    interval = F.when(F.col("o_orderstatus") == "F", "1 YEAR").when(F.col("o_orderstatus") == "P", "1 AGE").otherwise("1 HOUR")
+    part = F.array(F.struct(F.lit("Salary").alias("compensationType"), interval.alias("interval"), F.lit("USD").alias("currencyCode"), F.col("o_totalprice").alias("minValue"), (F.col("o_totalprice") + 1).alias("maxValue")))
+    job = F.struct(F.col("o_orderkey").alias("id"), F.lit("t").alias("title"), F.struct(F.array(F.struct(part.alias("components"))).alias("compensationTiers")).alias("compensation"))
+    p = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("board"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("content"))
+    return boards.parse(p, "ashby").where("salary_period is not null").select(F.col("provider_posting_id").alias("id"), "salary_min", "salary_max", "salary_currency", "salary_period")
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'dead' WHEN 2 THEN 'error' WHEN 3 THEN 'empty' ELSE 'ok' END AS health FROM supplier")
+def health_map(spark, d):
+    m = F.col("s_suppkey") % 5
+    return table(spark, d, "supplier").select("s_suppkey", boards.health(F.when(m == 1, 404).when(m == 2, 500).when(m > 2, 200), F.when(m == 3, 0).when(m == 4, 7)).alias("health"))
+
+
+@query("SELECT content_hash, count(*) AS n FROM (SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1")
+def content_twins(spark, d):
+    return table(spark, d, "documents").groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query()
+def bundled_skills(spark, d):
+    """The bundled taxonomy over every document."""
+    from .functions.taxonomy import load
+
+    t = load()
+    p = postings(spark, d).withColumn("content_hash", X.content_hash(F.col("body_text")))
+    return tables.extract(p, t).where("size(skills) > 0").select("posting_id", F.array_join("skills", ",").alias("skills"), F.to_json("categories").alias("categories"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

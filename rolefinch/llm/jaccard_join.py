@@ -24,8 +24,8 @@ from .text import chunks, concat, shingles, signed, words
 
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 M of one byte each after merging
 BLOOM_BITS = 26  # bits of the filter that names the sets to be verified: 8 MB
-MAX_L = 4
-HUB_ROUNDS = 3
+MIN_L, MAX_L = 6, 24  # prefix shingles that a pair has to share, where the sets are large enough
+HUB_ROUNDS = 8
 VERIFY_COST = 30.0  # of a verification, in rows of a bucket
 
 
@@ -88,6 +88,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     noise = float(np.median(sketch))
     shared = spark.sparkContext.broadcast((np.minimum(255, 8 * np.log2(sketch + 1.0)).astype(np.uint8), noise))
 
+    def _least_shared(n: int) -> int:
+        """The shingles that a set of n shares with any partner, at least."""
+        return max(1, -(-percent * (-(-percent * n // 100)) // 100))
+
     def prefix(u: np.ndarray) -> tuple[np.ndarray, int, int, int]:
         """The set's prefix in global order, l, and how much of it counts where this is the smaller set."""
         n = len(u)
@@ -95,12 +99,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cls = level[(u & mask).astype(np.int64)]
         order = np.argsort((cls.astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8)), kind="stable")
         need = -(-percent * n // 100)
-        most = max(1, min(MAX_L, need))
+        least = min(MIN_L, _least_shared(n))
+        most = max(least, min(MAX_L, need))
         head = order[: n - need + most]
         df = np.maximum(2.0 ** (cls[head] / 8.0) - 1.0 - base, 1.0)
         sums = np.cumsum(df)
-        costs = [sums[min(n, n - need + k) - 1] * (1 + VERIFY_COST / (k * k)) + 4.0 * k for k in range(1, most + 1)]
-        best = int(np.argmin(costs)) + 1
+        costs = [sums[min(n, n - need + k) - 1] * (1 + VERIFY_COST / (k * k)) + 4.0 * k for k in range(least, most + 1)]
+        best = int(np.argmin(costs)) + least
         as_smaller = n - math.ceil(2 * percent * n / (100 + percent)) + best
         return u[head[: n - need + best]], best, as_smaller, n
 
@@ -126,7 +131,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = nodes.select("node", "n", "l", "small", F.posexplode("tokens").alias("pos", "token"))
     rows = rows.select("token", "node", "n", "l", "pos", (F.col("pos") < F.col("small")).alias("ix"))
     often = rows.groupBy("token").agg(F.count("*").alias("df"), F.max("ix").alias("any_ix")).where("df > 1 and any_ix").select("token")
-    rows = stage(rows.join(often, "token"), "prefixes")
+    rows = rows.join(often, "token")
+    # A node has a partner only if it shares as many of its shingles as the least l that both could have.
+    enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))").select("node")
+    rows = stage(rows.join(enough, "node").select("token", "node", "n", "l", "pos", "ix"), "prefixes")
 
     # The sets of all nodes that are left, for verification.
     bloom_size = 1 << BLOOM_BITS >> 3
@@ -174,17 +182,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
     links, comps = None, None
+    nodes_left = sets.count()
     for k in range(HUB_ROUNDS):
         named = rows.withColumn("c", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
         hubs = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("o"), "c", "node", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub")
         pairs = named.join(hubs, "token").where("c != hub.c and 100 * least(n, hub.n) >= {0} * greatest(n, hub.n)".format(percent))
-        pairs = pairs.groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        # The hub that shares most of a node's buckets is the likeliest partner.
+        pairs = pairs.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
+        pairs = pairs.groupBy("node").agg(F.max(F.struct("hits", F.xxhash64("b", F.lit(k)).alias("o"), "b")).alias("h")).select(F.col("node").alias("a"), F.col("h.b").alias("b"))
         found = stage(verify(pairs), "links")
         new = found.count()
         links = found if links is None else links.unionByName(found)
         if new:
             comps = connected(links)
-        if new < 100:
+        if new < max(20, nodes_left // 500):
             break
 
     named = rows.withColumn("c", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
