@@ -1,9 +1,10 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-Texts and items become lower-case words of letters and digits. A window that is similar enough to an item shares
-a shingle with it, so windows are laid only where a text holds a shingle of the benchmark: item-sized, with
-the shared shingle where the item has it. Each window's SimHash is looked up by multi-index Hamming blocks: of
-two 64-bit fingerprints within ``RADIUS`` bits, one of eight bytes differs by ``RADIUS // 8`` bits at most, so all
+Texts and items become lower-case words of letters and digits. A window that is similar enough to an item holds
+many of its shingles, and of the windows that hold the same ones the one that begins with the first of them is
+the most similar. So item-sized windows are laid where a text holds a shingle of an item and enough others of
+it follow within the item's size. Each window's SimHash is looked up by multi-index Hamming blocks: of two
+64-bit fingerprints within ``RADIUS`` bits, one of eight bytes differs by ``RADIUS // 8`` bits at most, so all
 items within the radius are found by that byte. The weighted similarity of the shingles, each as often as it
 occurs, then decides exactly.
 """
@@ -63,20 +64,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
     items = stage(items.withColumn("s", pick(F.col("h"), F.col("m"))).withColumn("f", simhash(F.col("s"))), "items")
     marks = stage(items.select("item", "m", "k", F.posexplode("s").alias("q", "x")), "marks")
     wanted = _small(stage(marks.select("k", "x").distinct(), "wanted"))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    hashed = source.select("id", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").withColumn("t", F.xxhash64("text"))
+    hashed = source.select("id", "t", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     found = None
     for k in ks:
-        each = hashed.select("id", F.posexplode(_shingles(F.col("h"), F.size("h"), k)).alias("p", "x")).join(wanted.where(F.col("k") == k), "x")
+        each = hashed.select("id", "t", F.size("h").alias("n"), F.posexplode(_shingles(F.col("h"), F.size("h"), k)).alias("p", "x")).join(wanted.where(F.col("k") == k), "x")
         found = each if found is None else found.unionByName(each)
     out = f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, p0 int, m int, distance int, similarity double"
     named = lambda df: df.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("p0").alias("start_word"), F.col("m").alias("n_words"), "distance", "similarity")
     if found is None:
         return named(docs.sparkSession.createDataFrame([], out))
-    hits = found.join(marks, ["k", "x"]).select("id", "m", "k", (F.col("p") - F.col("q")).alias("p0")).distinct()
-    places = stage(hits.groupBy("id").agg(F.collect_set(F.struct("p0", "m", "k")).alias("at")), "places")
-    texts = source.join(_small(places.select("id")), "id", "left_semi").select("id", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    windows = texts.join(places, "id").select("id", "h", F.explode("at").alias("a")).select("id", F.greatest("a.p0", F.lit(0)).alias("p0"), "a.m", "a.k", F.expr("slice(h, greatest(a.p0, 0) + 1, a.m + least(a.p0, 0))").alias("h"))
+    # For each text and item the places of the item's shingles; a window begins at one that enough others follow.
+    hits = found.join(marks.select("item", "m", "k", "x").distinct(), ["k", "x"]).groupBy("id", "t", "item", "m", "k").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("p")).alias("at"))
+    hits = hits.withColumn("need", F.ceil(F.lit(percent) * (F.col("m") - F.col("k") + 1) / 100).cast("int")).where("size(at) >= need")
+    begin = F.filter("at", lambda p, j: F.get(F.col("at"), j + F.col("need") - 1) - p <= F.col("m") - F.col("k"))
+    hits = hits.select("id", "t", "m", "k", F.transform(begin, lambda p: F.greatest(F.lit(0), F.least(p, F.col("n") - F.col("m")))).alias("begin")).select("id", "t", "m", "k", F.explode("begin").alias("p0"))
+    places = stage(hits.groupBy("id", "t").agg(F.collect_set(F.struct("p0", "m", "k")).alias("at")), "places")
+    texts = source.join(_small(places.select("id", "t")), ["id", "t"], "left_semi").select("id", "t", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    windows = texts.join(places, ["id", "t"]).select("id", "h", F.explode("at").alias("a")).select("id", "a.p0", "a.m", "a.k", F.slice("h", F.col("a.p0") + 1, F.col("a.m")).alias("h"))
     windows = windows.withColumn("s", pick(F.col("h"), F.size("h"))).where("size(s) > 0").distinct().withColumn("f", simhash(F.col("s")))
     windows = stage(windows.select("id", "p0", "m", "k", "s", "f"), "windows")
     keys = windows.select("id", "p0", "m", "k", "s", "f", F.explode(_bytes(F.col("f"))).alias("b")).select("*", "b.block", "b.value").drop("b")
