@@ -57,7 +57,7 @@ class Model:
         self.langs = langs
         n = len(langs)
         key = np.array([r[0] for r in rows], np.uint64)
-        count = np.array([r[1] for r in rows], np.float64).reshape(-1, n)
+        count = np.array([r[1] for r in rows], np.float64).reshape(len(rows), n)
         order_of = (key >> np.uint64(56)).astype(np.int64)
         self.keys, self.bits = [], []  # context and byte: final code lengths
         self.contexts, self.escapes = [], []

@@ -23,7 +23,15 @@ PER_SALT = 20_000  # pieces of one length that one task ranks, about
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """``(times, lengths)`` of sequences that use all of ``counts``: first exact fills, then best fit."""
+    """``(times, lengths)`` of sequences that use all of ``counts``: first exact fills, then best fit.
+
+    Where long pieces outnumber short ones, sums of many short pieces leave long ones alone; so fills by triples,
+    pairs and singles at most are each planned, and the plan with the fewest sequences is taken.
+    """
+    return min((_plan(counts, capacity, depth) for depth in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[int, list[int]]]:
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -45,13 +53,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
             if take([first, gap]):
                 continue
             # Pairs that sum to the gap, most evenly available first; then triples.
-            there = np.flatnonzero(have[: gap + 1])
+            there = np.flatnonzero(have[: gap + 1]) if depth > 1 else []
             pairs = [(int(a), gap - int(a)) for a in there if a <= gap - a and have[gap - a]]
             pairs.sort(key=lambda p: -min(have[p[0]], have[p[1]]))
             if any(take([first, a, b]) for a, b in pairs):
                 continue
             done = False
-            for c in there[::-1]:
+            for c in there[::-1] if depth > 2 else []:
                 rest = gap - int(c)
                 a = there[there <= rest // 2]
                 a = a[have[rest - a] > 0]
