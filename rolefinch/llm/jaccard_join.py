@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import merged_counters, stage, unstage
+from .shared import merged_counters, release, stage, unstage
 from .text import chunks, concat, shingles, signed, words
 
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 M of one byte each after merging
@@ -126,15 +126,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     members = stage(src.mapInArrow(member_rows, f"id {kind}, n long, node long"), "members")
 
-    # One row for each node and prefix shingle, without shingles that only one node has there.
-    nodes = src.mapInArrow(prefix_rows, "node long, n int, l int, small int, tokens array<long>").groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens")))
-    rows = nodes.select("node", "n", "l", "small", F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.select("token", "node", "n", "l", "pos", (F.col("pos") < F.col("small")).alias("ix"))
-    often = rows.groupBy("token").agg(F.count("*").alias("df"), F.max("ix").alias("any_ix")).where("df > 1 and any_ix").select("token")
-    rows = rows.join(often, "token")
+    # One row for each node and prefix shingle, without shingles that only one node has there. Only the shingle,
+    # the node and the place in its prefix are shuffled; what is known of a node is joined when most rows are gone.
+    nodes = stage(src.mapInArrow(prefix_rows, "node long, n int, l int, small int, tokens array<long>").groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens"))), "nodes")
+    release(spark)
+    often = stage(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "often")
+    release(spark)
+    kept = stage(nodes.select("node", F.posexplode("tokens").alias("pos", "token")).join(often, "token").select("node", "token", "pos"), "kept")
+    release(spark)
     # A node has a partner only if it shares as many of its shingles as the least l that both could have.
-    enough = rows.groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"shared >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))").select("node")
-    rows = stage(rows.join(enough, "node").select("token", "node", "n", "l", "pos", "ix"), "prefixes")
+    by_node = kept.groupBy("node").agg(F.collect_list(F.struct("token", "pos")).alias("kept")).join(nodes.select("node", "n", "l", "small"), "node")
+    by_node = by_node.where(f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))")
+    rows = by_node.select("node", "n", "l", "small", F.explode("kept").alias("e")).select("e.token", "node", "n", "l", "e.pos", (F.col("e.pos") < F.col("small")).alias("ix"))
+    rows = stage(rows, "prefixes")
+    unstage(nodes, often, kept)
+    release(spark)
 
     # The sets of all nodes that are left, for verification.
     bloom_size = 1 << BLOOM_BITS >> 3
@@ -167,6 +173,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield from _batches(rows_(), ["node", "s"], [pa.int64(), pa.binary()], 500)
 
     sets = stage(src.mapInArrow(set_rows, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    release(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches):
@@ -191,6 +198,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
         pairs = pairs.groupBy("node").agg(F.max(F.struct("hits", F.xxhash64("b", F.lit(k)).alias("o"), "b")).alias("h")).select(F.col("node").alias("a"), F.col("h.b").alias("b"))
         found = stage(verify(pairs), "links")
+        release(spark)
         new = found.count()
         links = found if links is None else links.unionByName(found)
         if new:
