@@ -7,7 +7,10 @@ candidate cost, and a pair is verified only if it shares as many prefix shingles
 
 Equal sets are one node from the start, so copies never meet each other. Linked nodes are contracted in rounds
 in which each node is verified against one hub of its buckets; then the exact join takes all pairs of
-different components that are left. Every verification compares whole shingle sets.
+different components that are left. Jaccard distance is a metric, so what the rounds measured against a hub rules
+out pairs of which one lies near that hub and the other far from it. The parity bitmap of a set (each shingle
+flips one bit) bounds the difference of two sets from below and rules out most other pairs. Both bounds are
+exact: they drop no link. Every link is verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .text import chunks, concat, shingles, signed, words
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 M of one byte each after merging
 BLOOM_BITS = 26  # bits of the filter that names the sets to be verified: 8 MB
 MIN_L, MAX_L = 6, 24  # prefix shingles that a pair has to share, where the sets are large enough
-HUB_ROUNDS = 8
+HUB_ROUNDS = 3
 VERIFY_COST = 30.0  # of a verification, in rows of a bucket
 
 
@@ -46,6 +49,22 @@ def _node(u: np.ndarray) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
+def _parity(u: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a shingle; each shingle flips the bit that its hash names."""
+    width = 1 << max(8, (2 * len(u) - 1).bit_length())
+    flips = np.bincount((u >> np.uint64(24) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits(flips & 1, bitorder="little").tobytes()
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parity bitmaps differ, the wider one folded: at most the size of the sets' difference."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _batches(rows, names, types, every=2000):
     """Record batches of at most ``every`` rows from an iterator of tuples."""
     held = []
@@ -137,7 +156,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A node has a partner only if it shares as many of its shingles as the least l that both could have.
     by_node = kept.groupBy("node").agg(F.collect_list(F.struct("token", "pos")).alias("kept")).join(nodes.select("node", "n", "l", "small"), "node")
     by_node = by_node.where(f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))")
-    rows = by_node.select("node", "n", "l", "small", F.explode("kept").alias("e")).select("e.token", "node", "n", "l", "e.pos", (F.col("e.pos") < F.col("small")).alias("ix"))
+    rows = by_node.select("node", "n", "l", "small", F.explode("kept").alias("e"), F.expr(f"cast(100 * size(kept) / (n - ceil({percent} * n / 100) + l) as int)").alias("w"))
+    rows = rows.select("e.token", "node", "n", "l", "e.pos", (F.col("e.pos") < F.col("small")).alias("ix"), "w")
     rows = stage(rows, "prefixes")
     unstage(nodes, often, kept)
     release(spark)
@@ -168,57 +188,97 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if len(u):
                     node = _node(u)
                     if all(flags[x[0] >> 3] >> (x[0] & 7) & 1 for x in bits(np.array([node]))):
-                        yield node, u.tobytes()
+                        yield node, len(u), _parity(u), u.tobytes()
 
-        yield from _batches(rows_(), ["node", "s"], [pa.int64(), pa.binary()], 500)
+        yield from _batches(rows_(), ["node", "size", "mark", "s"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], 500)
 
-    sets = stage(src.mapInArrow(set_rows, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    sets = stage(src.mapInArrow(set_rows, "node long, size int, mark binary, s binary").groupBy("node").agg(*(F.first(x).alias(x) for x in ("size", "mark", "s"))), "sets")
     release(spark)
 
+    def sift(pairs: DataFrame) -> DataFrame:
+        """``a, b, lo, open``: a lower bound of each pair's distance, and whether it leaves a link possible."""
+
+        def bound(batches):
+            for b in batches:
+                m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
+                marks = zip(b.column("x"), b.column("y"), strict=True)
+                apart = np.array([_differing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in marks], np.int64)
+                total = m.astype(np.int64) + n
+                ok = (100 + percent) * apart <= (100 - percent) * total
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(2.0 * apart / (total + apart), pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "lo", "open"])
+
+        x = sets.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("mark").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("mark").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(bound, "a long, b long, lo double, open boolean")
+
     def verify(pairs: DataFrame) -> DataFrame:
+        """``a, b, dist, linked`` from whole sets; only sets of nodes in ``pairs`` are shuffled where these are few."""
+
         def check(batches):
             for b in batches:
-                ok = []
+                dist, ok = [], []
                 for x, y in zip(b.column("x"), b.column("y"), strict=True):
                     u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = len(u) + len(v) - len(np.union1d(u, v))
-                    ok.append(100 * both >= percent * (len(u) + len(v) - both))
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-    links, comps = None, None
-    nodes_left = sets.count()
+                    union = len(np.union1d(u, v))
+                    both = len(u) + len(v) - union
+                    dist.append(1.0 - both / union)
+                    ok.append(100 * both >= percent * union)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(dist, pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "dist", "linked"])
+
+        x = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
+        y = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("s").alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, dist double, linked boolean")
+
+    links, info = None, rows.select("node").distinct().withColumn("c", F.col("node"))
+    nodes_left, rounds = sets.count(), 0
+    info = stage(info, "info")
     for k in range(HUB_ROUNDS):
-        named = rows.withColumn("c", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
-        hubs = named.groupBy("token").agg(F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("o"), "c", "node", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub")
+        # A text whose prefix is all in use by others is likely the one that the others are edited from: first hub.
+        order = F.struct(-F.col("w"), F.xxhash64("node")) if k == 0 else F.struct(F.lit(0), F.xxhash64("c", F.lit(k)))
+        named = rows.join(info.select("node", "c"), "node")
+        hubs = named.groupBy("token").agg(F.min(F.struct(order.alias("o"), "c", "node", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub")
         pairs = named.join(hubs, "token").where("c != hub.c and 100 * least(n, hub.n) >= {0} * greatest(n, hub.n)".format(percent))
         # The hub that shares most of a node's buckets is the likeliest partner.
         pairs = pairs.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
         pairs = pairs.groupBy("node").agg(F.max(F.struct("hits", F.xxhash64("b", F.lit(k)).alias("o"), "b")).alias("h")).select(F.col("node").alias("a"), F.col("h.b").alias("b"))
-        found = stage(verify(pairs), "links")
+        sifted = stage(sift(pairs), "sifted")
+        release(spark)
+        found = stage(verify(sifted.where("open").select("a", "b")), "found")
         release(spark)
-        new = found.count()
-        links = found if links is None else links.unionByName(found)
-        if new:
-            comps = connected(links)
-        if new < max(20, nodes_left // 500):
+        new = found.where("linked")
+        links = new.select("a", "b") if links is None else links.unionByName(new.select("a", "b"))
+        n_new = new.count()
+        # Distances to the round's hub: exact ones, or a lower bound (then at most 1).
+        seen = sifted.join(found.select("a", "b", "dist"), ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias(f"h{k}"), F.coalesce("dist", "lo").alias(f"lo{k}"), F.coalesce("dist", F.lit(1.0)).alias(f"hi{k}"))
+        named = info.join(seen, "node", "left")
+        if n_new:
+            named = named.drop("c").join(connected(links), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        known = stage(named, "info")
+        unstage(info, sifted)
+        release(spark)
+        info, rounds = known, k + 1
+        if n_new < max(20, nodes_left // 500):
             break
 
-    named = rows.withColumn("c", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named = rows.drop("w").join(info, "node")
     mixed = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
     left = stage(named.join(mixed, "token"), "left")
+    release(spark)
     s, t = left.where("ix").alias("s"), left.alias("t")
-    pairs = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.c") != F.col("t.c")) & (F.expr("struct(s.n, s.node) < struct(t.n, t.node)")) & (F.expr(f"100 * s.n >= {percent} * t.n")))
+    most = 1 - percent / 100 + 1e-9
+    apart = " or ".join(f"(s.h{k} = t.h{k} and (s.lo{k} - t.hi{k} > {most!r} or t.lo{k} - s.hi{k} > {most!r}))" for k in range(rounds))
+    pairs = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.c") != F.col("t.c")) & (F.expr("struct(s.n, s.node) < struct(t.n, t.node)")) & (F.expr(f"100 * s.n >= {percent} * t.n")) & F.expr(f"not coalesce({apart}, false)"))
     pairs = pairs.groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b")).agg(
-        F.count("*").alias("hits"), F.min(F.least("s.l", "t.l")).alias("l"), F.min(F.expr("s.n - s.pos")).alias("x0"), F.max(F.expr("s.n - s.pos")).alias("sr"), F.max(F.expr("t.n - t.pos")).alias("tr"), F.first("s.n").alias("sn"), F.first("t.n").alias("tn")
+        F.count("*").alias("hits"), F.min(F.least("s.l", "t.l")).alias("l"), F.max(F.expr("s.n - s.pos")).alias("sr"), F.max(F.expr("t.n - t.pos")).alias("tr"), F.first("s.n").alias("sn"), F.first("t.n").alias("tn")
     )
-    pairs = pairs.where(f"hits >= l and {100 + percent} * least(sr, tr) >= {percent} * (sn + tn)").select("a", "b")
-    found = stage(verify(pairs), "links")
-    links = found if links is None else links.unionByName(found)
+    pairs = stage(pairs.where(f"hits >= l and {100 + percent} * least(sr, tr) >= {percent} * (sn + tn)").select("a", "b"), "pairs")
+    release(spark)
+    sifted = stage(sift(pairs).where("open").select("a", "b"), "sifted")
+    release(spark)
+    found = stage(verify(sifted), "found")
+    links = links.unionByName(found.where("linked").select("a", "b"))
     comps = stage(connected(links).withColumnRenamed("c", "comp"), "components")
-    unstage(rows, sets, left)
+    unstage(rows, sets, left, pairs, sifted, info)
 
     some = members.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     linked = some.join(comps, "node")
