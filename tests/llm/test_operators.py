@@ -207,6 +207,34 @@ def test_cross_entropy_difference_against_brute_force(spark):
         assert [got[i]["loss_target"], got[i]["loss_background"], got[i]["difference"]] == pytest.approx([*loss, loss[0] - loss[1]])
 
 
+def test_cross_entropy_difference_counts_every_word(spark, monkeypatch):
+    """More words than any fixed vocabulary, in several parts and buckets, against plain counts."""
+    from pyspark.sql import functions as F
+
+    from rolefinch.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "PART", 60_000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 90) % 40_000) + f" rare{i} rare{i % 170}" for i in range(700)]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(texts)]
+    docs = [t.split() for t in texts]
+    size = len({w for d in docs for w in d}) + 2
+    assert size > 10_000
+    models = []
+    for chosen in (docs[::3], docs):
+        one, two = Counter(w for d in chosen for w in d), Counter(p for d in chosen for p in zip(["^", *d], d))
+        models.append((one, two, one | Counter({"^": len(chosen)}), sum(one.values()) + size))
+    got = {r["doc_id"]: r for r in lm_score.score_cross_entropy(spark.createDataFrame(rows, "doc_id long, text string, mine boolean").repartition(3), F.col("mine")).collect()}
+    assert len(got) == len(rows)
+    for i, d in enumerate(docs):
+        loss = []
+        for one, two, before, total in models:
+            p1 = [(one[w] + 1) / total for w in d]
+            p2 = [two[h, w] / before[h] if before[h] else p for h, w, p in zip(["^", *d], d, p1)]
+            loss.append(-np.mean(np.log(lm_score.MIX * np.array(p2) + (1 - lm_score.MIX) * np.array(p1))))
+        assert [got[i]["loss_target"], got[i]["loss_background"]] == pytest.approx(loss)
+
+
 def test_cross_entropy_difference_prefers_its_domain(spark):
     from pyspark.sql import functions as F
 
