@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -43,9 +45,8 @@ TEMPLATES: dict[str, str] = {
 TRIGGER = r"(?i)licen[sc]|copyright|permission is hereby|permission to use|redistribut|spdx|warrant"
 _TRIGGER = re.compile(TRIGGER)
 _BLOCK = re.compile(r"[^\n]+(?:\n[^\n]+)*")
-_LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
-LONG = 2_000  # characters of a block beyond which it is cut into its lines
+LONG = 2_000  # characters of a block beyond which only what lies around its words of licensing is read
 
 
 @lru_cache(4)
@@ -54,25 +55,37 @@ def _compressors(templates: tuple[tuple[str, str], ...]):
     return zstandard.ZstdCompressor(level=9, write_content_size=False), made
 
 
-def blocks(text: str):
-    """(start, end) of candidate blocks: paragraphs with a word of licensing, or single such lines of long ones."""
+def blocks(text: str, reach: int = LONG):
+    """(start, end) of candidate blocks: paragraphs with a word of licensing; of long ones the parts within ``reach`` of such a word, joined where they meet."""
     for m in _BLOCK.finditer(text):
-        if _TRIGGER.search(m[0]):
-            if len(m[0]) <= LONG:
+        if len(m[0]) <= LONG:
+            if _TRIGGER.search(m[0]):
                 yield m.span()
-            else:
-                yield from (x.span() for x in _LINE.finditer(text, *m.span()) if _TRIGGER.search(x[0]))
-
-
-def differences(block: list[str], template: list[str]) -> tuple[int, int, list[str], int, int]:
-    """Missing and inserted words, the differences in order, and where the wording lies among the block's words."""
-    at = [i for i, x in enumerate(block) if x in set(template)]
-    if not at:
-        return len(template), 0, [], 0, 0
+            continue
+        lo = hi = None
+        for x in _TRIGGER.finditer(text, *m.span()):
+            a, z = max(m.start(), x.start() - reach), min(m.end(), x.end() + reach)
+            if hi is not None and a > hi:
+                yield lo, hi
+                lo = None
+            lo, hi = a if lo is None else lo, z
+        if hi is not None:
+            yield lo, hi
+
+
+def differences(block: list[str], template: list[str], most: int) -> tuple[int, int, list[str], int, int] | None:
+    """Missing and inserted words, the differences in order, and where the wording lies among the block's words; the first place with the fewest, of ``most`` at most."""
+    known, heads = set(template), set(template[:2])
+    among = [0, *accumulate(x in known for x in block)]
+    size = len(template) + max(2, len(template) // 5)
     best = None
-    heads = [i for i in at if block[i] in template[:2]][:50] or at[:1]
-    for i in heads:
-        part = block[i : i + len(template) + max(2, len(template) // 5)]
+    for i, x in enumerate(block):
+        # All but ``most`` of the template's words have to be there.
+        if x not in heads or among[min(i + size, len(block))] - among[i] < len(template) - most:
+            continue
+        part = block[i : i + size]
+        if sum((Counter(template) & Counter(part)).values()) < len(template) - most:
+            continue
         ops = difflib.SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
         if ops and ops[-1][0] == "insert":
             ops = ops[:-1]
@@ -81,14 +94,14 @@ def differences(block: list[str], template: list[str]) -> tuple[int, int, list[s
             ops[-1] = (tag, a, b, c, min(d, c + b - a))
         missing = sum(b - a for tag, a, b, _, _ in ops if tag in ("replace", "delete"))
         added = sum(d - c for tag, _, _, c, d in ops if tag in ("replace", "insert"))
-        said = [f"{tag}: {' '.join(template[a:b])} > {' '.join(part[c:d])}" for tag, a, b, c, d in ops if tag != "equal"]
-        got = (missing + added, missing, added, said, i, i + (ops[-1][4] if ops else 0))
-        best = got if best is None or got[0] < best[0] else best
-    return best[1:]
+        if missing + added <= most and (best is None or missing + added < best[0]):
+            said = [f"{tag}: {' '.join(template[a:b])} > {' '.join(part[c:d])}" for tag, a, b, c, d in ops if tag != "equal"]
+            best = (missing + added, missing, added, said, i, i + (ops[-1][4] if ops else 0))
+    return best[1:] if best else None
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, ranked: int = 3, tolerance: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, block, start, end, license, saving, n_missing, n_added, differences``: one row for each confirmed block.
+    """``id_col, block, start, end, license, saving, n_missing, n_added, differences``: one row for each confirmed notice.
 
     ``start`` and ``end`` are characters of the text. ``saving`` is the share of the block's compressed size that
     the template spares. The ``ranked`` templates that spare most are compared word for word; the one with the
@@ -105,23 +118,34 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, rank
 
     def scan(batches):
         plain, made = _compressors(listed)
+        reach = 2 * max(len(t) for _, t in listed)
         for b in batches:
             rows = []
             for i, text in zip(b.column(0), b.column(1), strict=True):
                 text = text.as_py()
-                for k, (a, z) in enumerate(blocks(text)):
-                    raw = text[a:z].encode("utf-8", "surrogatepass")
-                    alone = len(plain.compress(raw))
-                    saving = sorted(((alone - len(c.compress(raw)), name, t) for name, c, t in made), key=lambda x: (-x[0], x[1]))
-                    found = [(x.lower(), m) for m in _WORD.finditer(text, a, z) for x in (m[0],)]
-                    own = [x for x, _ in found]
-                    won = None
-                    for spared, name, t in saving[:ranked]:
-                        missing, added, said, p, q = differences(own, t)
-                        if missing + added <= tolerance * len(t) and (won is None or missing + added < won[0]):
-                            won = (missing + added, spared, name, missing, added, said, p, q)
-                    if won:
-                        rows.append((i.as_py(), k, found[won[6]][1].start(), found[max(won[6], won[7] - 1)][1].end(), won[2], won[1] / alone, won[3], won[4], won[5]))
+                for k, (a, z) in enumerate(blocks(text, reach)):
+                    todo, got = [(a, z)], []
+                    while todo:  # what lies before and after a confirmed notice may hold others
+                        a, z = todo.pop()
+                        if not _TRIGGER.search(text, a, z):
+                            continue
+                        raw = text[a:z].encode("utf-8", "surrogatepass")
+                        alone = len(plain.compress(raw))
+                        saving = sorted(((alone - len(c.compress(raw)), name, t) for name, c, t in made), key=lambda x: (-x[0], x[1]))
+                        found = list(_WORD.finditer(text, a, z))
+                        own = [x[0].lower() for x in found]
+                        won = None
+                        # In a long part the sizes say little of a short notice: all templates are compared.
+                        for spared, name, t in saving if z - a > LONG else saving[:ranked]:
+                            near = differences(own, t, int(tolerance * len(t)))
+                            if near and (won is None or near[0] + near[1] < won[0] or (z - a > LONG and near[0] + near[1] == won[0] and len(t) > won[3])):
+                                won = (near[0] + near[1], spared, name, len(t), *near)
+                        if won:
+                            _, spared, name, _, missing, added, said, p, q = won
+                            start, end = found[p].start(), found[max(p, q - 1)].end()
+                            got.append((i.as_py(), k, start, end, name, spared / alone, missing, added, said))
+                            todo += [(a, start), (end, z)]
+                    rows.extend(sorted(got, key=lambda x: x[2]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 

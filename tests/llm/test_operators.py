@@ -104,6 +104,23 @@ def test_jaccard_components_at_the_threshold(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()} == expected
 
 
+def test_license_scan_reads_long_paragraphs_whole(spark):
+    """Wrapped notices in long paragraphs, far behind many beginnings in one line, and several in one block."""
+    import textwrap
+
+    from rolefinch.llm.license_scan import TEMPLATES, scan_licenses
+
+    story = "Some work of this story goes to the licensed end under its own permission, and this program is redistribution. " * 60
+    lines = "\n".join(textwrap.wrap(story, 70))
+    rows, want = [], set()
+    for i, (name, t) in enumerate(TEMPLATES.items()):
+        rows += [(3 * i, f"{lines}\n{textwrap.fill(t, 70)}\n{lines}"), (3 * i + 1, f"{story}{t} {story}"), (3 * i + 2, f"{t} A word between. {TEMPLATES['MIT']}")]
+        want |= {(3 * i, name), (3 * i + 1, name), (3 * i + 2, name), (3 * i + 2, "MIT")}
+    got = [(r["doc_id"], r["license"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(got) == want
+    assert len(got) == len(want) + 1
+
+
 def test_license_scan_finds_whole_and_edited_notices(spark):
     from rolefinch.llm.license_scan import TEMPLATES, scan_licenses
 
