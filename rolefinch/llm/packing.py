@@ -213,7 +213,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        self.model = t.model
+        self.whole, self.model = t, t.model
+        self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         self.chars = {b: chr(b) if b in set(kept) else None for b in range(256)}
@@ -233,6 +234,14 @@ class Encoder:
         self.keys, self.first, self.size = np.insert(self.keys, at, hashes), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that hold an added token go through the tokenizer itself, which looks for them first."""
+        special = {k for k, t in enumerate(texts) if any(x in t for x in self.added)}
+        out = self._encode([t for k, t in enumerate(texts) if k not in special])
+        for k in sorted(special):
+            out.insert(k, np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, np.uint32))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         text = "".join(texts)
         starts, at, blobs = [], 0, 0
         for t in texts:

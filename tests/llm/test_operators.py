@@ -413,6 +413,19 @@ def test_packing_round_trip(spark):
     assert len(room) <= -(-total // 2048) * 1.02 + 1
 
 
+def test_encoder_knows_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rolefinch.llm.packing import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["plain words", "a b<|endoftext|>c d", "", "<|endoftext|>", "don't <|endoftext|><|endoftext|> 漢字 <|endoftext| >", "more words"]
+    t = Tokenizer.from_file(path)
+    for listed in (texts, texts[1:2], texts[:1]):
+        assert [x.tolist() for x in Encoder(path).encode(listed)] == [t.encode(x, add_special_tokens=False).ids for x in listed]
+
+
 def test_packing_plan_uses_all_counts_and_fills_exactly():
     from rolefinch.llm.packing import plan
 
