@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from .labels import SAMPLE, is_held_out, training_rows
 from .text import LOWER, Chunk, chunks, shingles, spans, words
 
-TERMS = 200  # of the lexicon, at most
 WINDOW = 6  # words on each side of a hit
 
 # Words of report and of address in the languages at hand.
@@ -127,7 +126,7 @@ class Lexicon:
     def __init__(self, terms: list[str], weights: list[float]):
         self.terms, self.weights = terms, np.array(weights, np.float64)
         self.automaton = Automaton(terms)
-        self.sizes = np.array([len(t.encode()) for t in terms], np.int64)
+        self.sizes = np.array([len(t) for t in terms], np.int64)
         self.bits = np.array([_letters(t.encode()) for t in terms], np.uint32)
         self.edits = np.array([edits_allowed(len(t)) for t in terms], np.int64)
 
@@ -141,16 +140,18 @@ class Lexicon:
         if not len(w.start) or not self.terms:
             return w, term, far
         _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        size = w.end[index] - w.start[index]
-        near = np.flatnonzero((size >= self.sizes.min() - 4) & (size <= self.sizes.max() + 4))
+        characters = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])
+        size = characters[w.end[index]] - characters[w.start[index]]
+        most = self.edits.max()
+        near = np.flatnonzero((size >= self.sizes.min() - most) & (size <= self.sizes.max() + most))
         near = near[np.argsort(index[near])]
-        # Letters that only one of word and term has cost an edit for two of them at least.
-        one = np.uint32(1) << (LOWER[c.buf] & 31).astype(np.uint32)
+        # An edit changes the number of characters by one at most, and which ASCII letters there are by two.
+        one = np.where(c.buf < 128, np.uint32(1) << (LOWER[c.buf] & 31).astype(np.uint32), np.uint32(0))
         edges = np.stack([w.start[index[near]], w.end[index[near]]], 1).ravel()
         letters = np.bitwise_or.reduceat(np.append(one, np.uint32(0)), edges)[::2] if len(near) else np.empty(0, np.uint32)
         close = np.zeros(len(near), bool)
         for t, s, d in zip(self.bits, self.sizes, self.edits, strict=True):
-            close |= (np.bitwise_count(letters ^ t) <= 2 * d) & (np.abs(size[near] - s) <= 2 * d)
+            close |= (np.bitwise_count(letters ^ t) <= 2 * d) & (np.abs(size[near] - s) <= d)
         found = {}
         for k in near[close]:
             i = index[k]
@@ -195,7 +196,7 @@ class Lexicon:
 def _letters(word: bytes) -> int:
     out = 0
     for b in word:
-        out |= 1 << (int(LOWER[b]) & 31)
+        out |= 1 << (int(LOWER[b]) & 31) if b < 128 else 0
     return out
 
 
@@ -229,7 +230,7 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)))
 
 
-def learn_lexicon(train: DataFrame, terms: int = TERMS) -> Lexicon:
+def learn_lexicon(train: DataFrame, terms: int | None = None) -> Lexicon:
     """Words of three letters or more far likelier in toxic texts of ``train(id, text, y)``; texts that share their least shingle hash, as near copies do, count once."""
 
     def listed(batches):
@@ -254,7 +255,8 @@ def learn_lexicon(train: DataFrame, terms: int = TERMS) -> Lexicon:
     odds = F.log((F.col("a") + 0.5) / (p + 1)) - F.log((F.col("b") + 0.5) / (n + 1))
     least = max(2, round(0.01 * p))
     kept = each.where(F.col("a") >= least).withColumn("odds", odds).where(F.col("odds") > 2.3).withColumn("rank", F.col("odds") * F.sqrt("a"))
-    rows = kept.orderBy(F.col("rank").desc(), "term").limit(terms).collect()
+    kept = kept.orderBy(F.col("rank").desc(), "term")
+    rows = (kept if terms is None else kept.limit(terms)).collect()  # each is in a hundredth of the toxic texts at least
     return Lexicon([r["term"] for r in rows], [r["odds"] for r in rows])
 
 

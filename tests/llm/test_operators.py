@@ -192,6 +192,38 @@ def test_automaton_against_edit_distances():
         assert automaton.search(word) == (min(near) if near else None), word
 
 
+def test_lexicon_hits_against_edit_distances_with_any_characters():
+    import pyarrow as pa
+
+    from rolefinch.llm.text import chunks
+    from rolefinch.llm.toxicity import Lexicon, edits_allowed
+
+    rng = np.random.default_rng(6)
+    terms = ["hat", "idiot", "stupid", "worthless", "übelst", "schlägerei"]
+    tested = ["stüpid", "stupіd", "stu​pid", "st\U0001f600pid", "wörthléss", "ubelst", "schlagerei"]
+    for _ in range(2000):
+        t = list(terms[rng.integers(len(terms))])
+        for _ in range(rng.integers(4)):
+            k = rng.integers(len(t) + 1)
+            t[k : k + rng.integers(2)] = [] if rng.integers(2) else ["aeiüßй漢​\U0001f600"[rng.integers(9)]]
+        tested.append("".join(t) or "x")
+    lexicon = Lexicon(terms, [1.0] * len(terms))
+    (c,) = chunks(pa.array([" ".join(tested)]))
+    _, term, far = lexicon.hits(c)
+    for word, k, d in zip(tested, term, far, strict=True):
+        near = [(e, j) for j, x in enumerate(terms) if (e := edit_distance(word, x)) <= edits_allowed(len(x))]
+        assert (d, k) == (min(near) if near else (0, -1)), word
+
+
+def test_lexicon_keeps_every_term_that_passes(spark):
+    from rolefinch.llm.toxicity import learn_lexicon
+
+    own = [" ".join(f"u{8 * i + k}" for k in range(8)) for i in range(1200)]
+    rows = [(i, " ".join([t, *(f"term{j} u{i}x{j}" for j in range(i % 4, 1000, 4))]) if i < 400 else t, int(i < 400)) for i, t in enumerate(own)]
+    got = learn_lexicon(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert {f"term{j}" for j in range(1000)} == set(got.terms)
+
+
 def test_cross_entropy_difference_against_brute_force(spark):
     from pyspark.sql import functions as F
 
