@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ ROLE_FAMILIES = [
     ("frontend", r"front[- ]?end|frontend|\bui engineer\b|web develop"),
     ("backend", r"back[- ]?end|backend|\bserver\b|\bapi\b|distributed"),
 ]
+# Entities that the test pages hold, for their SQL.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&hellip;", "…"), ("&amp;", "&")]
 
 
@@ -43,10 +46,12 @@ def content_hash(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Entities decoded once, the ampersand last so that it is not decoded twice."""
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All HTML entities, named and numeric, decoded once."""
+    return F.udf(_unescaped, "string")(c)
+
+
+def _unescaped(s: str | None) -> str | None:
+    return None if s is None else html.unescape(s)
 
 
 def html_to_text(c: Column) -> Column:

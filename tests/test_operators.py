@@ -182,3 +182,7 @@ def test_upsert_keeps_what_it_does_not_refresh(spark):
     old, new = spark.createDataFrame([(1, "a", False)], "id int, name string, watched boolean"), spark.createDataFrame([(1, "z", True), (2, "b", True)], "id int, name string, watched boolean")
     assert {tuple(r) for r in tables.upsert(old, new, ["id"], ["watched"]).select("id", "name", "watched").collect()} == {(1, "a", True), (2, "b", True)}
     assert tables.insert_if_absent(old, new, ["id"]).count() == 2
+
+
+def test_all_entities_decode(spark):
+    assert one(spark, X.html_to_text(F.lit("<p>caf&eacute; &#8217;s &#x2019; &uuml;&ldquo;x&rdquo;&bull;&euro;&amp;eacute;</p>"))) == "café ’s ’ ü“x”•€&eacute;"
