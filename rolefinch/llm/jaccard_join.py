@@ -6,29 +6,38 @@ shingles within their l-prefixes, for every l; each set takes the l whose prefix
 candidate cost, and a pair is verified only if it shares as many prefix shingles as the smaller of its two l.
 
 Equal sets are one node from the start, so copies never meet each other. Linked nodes are contracted in rounds
-in which each node is verified against one hub of its buckets; then the exact join takes all pairs of
-different components that are left. Jaccard distance is a metric, so what the rounds measured against a hub rules
-out pairs of which one lies near that hub and the other far from it. The parity bitmap of a set (each shingle
-flips one bit) bounds the difference of two sets from below and rules out most other pairs. Both bounds are
-exact: they drop no link. Every link is verified on whole shingle sets.
+in which each node is verified against one hub of its buckets, so the join that follows takes only pairs of
+different components. What it joins is bounded three times before a row is made, and no bound drops a link:
+
+* of the l shingles that a pair must share, the smaller set may leave out its l - 1 most frequent ones;
+* the parity bitmap of a set (each shingle flips one bit) bounds the difference of two sets from below;
+* Jaccard distance is a metric, so what the rounds measured against a hub rules out pairs of which one lies near
+  that hub and the other far from it.
+
+Every link is verified on whole shingle sets. A group in which very many texts are all close to the threshold, yet
+not linked, still has to compare these with each other: no exact method known avoids it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import merged_counters, release, stage, unstage
-from .text import chunks, concat, shingles, signed, words
+from .text import chunks, mix, shingles, signed, words
 
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 M of one byte each after merging
-BLOOM_BITS = 26  # bits of the filter that names the sets to be verified: 8 MB
+BLOOM_BITS = 26  # bits of the filter that names the sets to be verified: 8 MB; with more nodes than it can tell apart, a join does it
+BLOOM_SLICES = 64
 MIN_L, MAX_L = 6, 24  # prefix shingles that a pair has to share, where the sets are large enough
-HUB_ROUNDS = 3
+MARK = 16  # words of 64 bits of a parity bitmap
+HUB_ROUNDS = 4
 VERIFY_COST = 30.0  # of a verification, in rows of a bucket
 
 
@@ -49,20 +58,17 @@ def _node(u: np.ndarray) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
-def _parity(u: np.ndarray) -> bytes:
-    """A bitmap of two to four bits a shingle; each shingle flips the bit that its hash names."""
-    width = 1 << max(8, (2 * len(u) - 1).bit_length())
-    flips = np.bincount((u >> np.uint64(24) & np.uint64(width - 1)).astype(np.int64), minlength=width)
-    return np.packbits(flips & 1, bitorder="little").tobytes()
+def _parity(u: np.ndarray) -> list[int]:
+    """A bitmap of ``MARK`` words; each shingle flips the bit that its hash names."""
+    flips = np.bincount((u >> np.uint64(24) & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK)
+    return np.packbits(flips & 1, bitorder="little").view(np.int64).tolist()
 
 
-def _differing(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits in which two parity bitmaps differ, the wider one folded: at most the size of the sets' difference."""
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def _bits(node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A node's slice of the filter and its bits there."""
+    h = mix(node.astype(np.int64).view(np.uint64))
+    size = np.uint64((1 << BLOOM_BITS) // BLOOM_SLICES - 1)
+    return (h >> np.uint64(58)).astype(np.int64), [((h >> np.uint64(k)) & size).astype(np.int64) for k in (0, 19, 38)]
 
 
 def _batches(rows, names, types, every=2000):
@@ -128,88 +134,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_smaller = n - math.ceil(2 * percent * n / (100 + percent)) + best
         return u[head[: n - need + best]], best, as_smaller, n
 
-    def member_rows(batches):
-        yield from _batches(((i.as_py(), len(u), _node(u)) for i, u in _sets(batches, "id", "text")), ["id", "n", "node"], [id_type, pa.int64(), pa.int64()])
-
-    def prefix_rows(batches):
+    def coded_rows(batches):
         def rows():
-            for _, u in _sets(batches, "id", "text"):
+            for i, u in _sets(batches, "id", "text"):
                 if len(u):
                     tokens, best, small, n = prefix(u)
-                    yield _node(u), n, best, small, signed(tokens)
+                    yield i.as_py(), n, _node(u), best, small, signed(tokens), _parity(u)
+                else:
+                    yield i.as_py(), 0, _node(u), 0, 0, None, None
 
-        yield from _batches(rows(), ["node", "n", "l", "small", "tokens"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        many = pa.list_(pa.int64())
+        yield from _batches(rows(), ["id", "n", "node", "l", "small", "tokens", "mark"], [id_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), many, many])
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    members = stage(src.mapInArrow(member_rows, f"id {kind}, n long, node long"), "members")
-
-    # One row for each node and prefix shingle, without shingles that only one node has there. Only the shingle,
-    # the node and the place in its prefix are shuffled; what is known of a node is joined when most rows are gone.
-    nodes = stage(src.mapInArrow(prefix_rows, "node long, n int, l int, small int, tokens array<long>").groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens"))), "nodes")
+    coded = stage(src.mapInArrow(coded_rows, f"id {kind}, n long, node long, l int, small int, tokens array<long>, mark array<long>"), "coded")
+    members = coded.select("id", "n", "node")
+    nodes = coded.where("n > 0").groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens", "mark")))
+    nodes = stage(nodes, "nodes")
     release(spark)
-    often = stage(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "often")
-    release(spark)
-    kept = stage(nodes.select("node", F.posexplode("tokens").alias("pos", "token")).join(often, "token").select("node", "token", "pos"), "kept")
+
+    # Of each node the prefix shingles that other nodes have in theirs, with their exact numbers of nodes. Only
+    # shingle, node and place are shuffled; what is known of a node is joined when most rows are gone.
+    often = stage(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     release(spark)
+    kept = nodes.select("node", F.posexplode("tokens").alias("pos", "token")).join(often, "token").groupBy("node").agg(F.collect_list(F.struct("token", "pos", "df")).alias("kept"))
     # A node has a partner only if it shares as many of its shingles as the least l that both could have.
-    by_node = kept.groupBy("node").agg(F.collect_list(F.struct("token", "pos")).alias("kept")).join(nodes.select("node", "n", "l", "small"), "node")
-    by_node = by_node.where(f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))")
-    rows = by_node.select("node", "n", "l", "small", F.explode("kept").alias("e"), F.expr(f"cast(100 * size(kept) / (n - ceil({percent} * n / 100) + l) as int)").alias("w"))
-    rows = rows.select("e.token", "node", "n", "l", "e.pos", (F.col("e.pos") < F.col("small")).alias("ix"), "w")
-    rows = stage(rows, "prefixes")
-    unstage(nodes, often, kept)
+    live = kept.join(nodes.select("node", "n", "l", "small", "mark"), "node").where(f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))")
+    live = stage(live.withColumn("c", F.col("node")), "live")
+    unstage(nodes, often)
     release(spark)
-
-    # The sets of all nodes that are left, for verification.
-    bloom_size = 1 << BLOOM_BITS >> 3
-
-    def bits(node: np.ndarray):
-        from .text import mix
-
-        h = mix(node.astype(np.int64).view(np.uint64))
-        return [((h >> np.uint64(s)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64) for s in (0, 20, 38)]
-
-    def mark(batches):
-        flags = np.zeros(bloom_size, np.uint8)
-        for b in batches:
-            for x in bits(b.column(0).to_numpy()):
-                np.bitwise_or.at(flags, x >> 3, (1 << (x & 7)).astype(np.uint8))
-        return flags
-
-    bloom = spark.sparkContext.broadcast(merged_counters(rows.select("node"), mark, bloom_size, np.uint8, "or"))
+    n_live = live.count()
 
     def set_rows(batches):
-        flags = bloom.value
-
-        def rows_():
+        def rows():
             for _, u in _sets(batches, "id", "text"):
-                if len(u):
-                    node = _node(u)
-                    if all(flags[x[0] >> 3] >> (x[0] & 7) & 1 for x in bits(np.array([node]))):
-                        yield node, len(u), _parity(u), u.tobytes()
+                if len(u) and wanted(_node(u)):
+                    yield _node(u), u.tobytes()
 
-        yield from _batches(rows_(), ["node", "size", "mark", "s"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], 500)
+        yield from _batches(rows(), ["node", "s"], [pa.int64(), pa.binary()], 500)
 
-    sets = stage(src.mapInArrow(set_rows, "node long, size int, mark binary, s binary").groupBy("node").agg(*(F.first(x).alias(x) for x in ("size", "mark", "s"))), "sets")
-    release(spark)
+    if n_live <= (1 << BLOOM_BITS) // 10:
+        bloom = spark.sparkContext.broadcast(_filter(live.select("node")))
 
-    def sift(pairs: DataFrame) -> DataFrame:
-        """``a, b, lo, open``: a lower bound of each pair's distance, and whether it leaves a link possible."""
+        def wanted(node: int) -> bool:
+            at, bits = _bits(np.array([node]))
+            return all(bloom.value[at[0], x[0] >> 3] >> (x[0] & 7) & 1 for x in bits)
+    else:
 
-        def bound(batches):
-            for b in batches:
-                m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
-                marks = zip(b.column("x"), b.column("y"), strict=True)
-                apart = np.array([_differing(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in marks], np.int64)
-                total = m.astype(np.int64) + n
-                ok = (100 + percent) * apart <= (100 - percent) * total
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(2.0 * apart / (total + apart), pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "lo", "open"])
+        def wanted(node: int) -> bool:
+            return True
 
-        x = sets.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("mark").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("mark").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(bound, "a long, b long, lo double, open boolean")
+    sets = src.mapInArrow(set_rows, "node long, s binary").join(live.select("node"), "node", "left_semi")
+    sets = stage(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
+    release(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """``a, b, dist, linked`` from whole sets; only sets of nodes in ``pairs`` are shuffled where these are few."""
@@ -229,56 +206,60 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         y = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("s").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, dist double, linked boolean")
 
-    links, info = None, rows.select("node").distinct().withColumn("c", F.col("node"))
-    nodes_left, rounds = sets.count(), 0
-    info = stage(info, "info")
+    links, rounds = None, 0
     for k in range(HUB_ROUNDS):
         # A text whose prefix is all in use by others is likely the one that the others are edited from: first hub.
-        order = F.struct(-F.col("w"), F.xxhash64("node")) if k == 0 else F.struct(F.lit(0), F.xxhash64("c", F.lit(k)))
-        named = rows.join(info.select("node", "c"), "node")
-        hubs = named.groupBy("token").agg(F.min(F.struct(order.alias("o"), "c", "node", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub")
-        pairs = named.join(hubs, "token").where("c != hub.c and 100 * least(n, hub.n) >= {0} * greatest(n, hub.n)".format(percent))
+        order = F.expr(f"-100 * size(kept) div (n - ceil({percent} * n / 100) + l)") if k == 0 else F.xxhash64("c", F.lit(k))
+        rows = live.select("node", "n", "c", order.alias("o"), F.explode("kept.token").alias("token"))
+        hubs = rows.groupBy("token").agg(F.min(F.struct("o", F.xxhash64("node").alias("h"), "c", "node", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub")
+        pairs = rows.join(hubs, "token").where(f"c != hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
         # The hub that shares most of a node's buckets is the likeliest partner.
         pairs = pairs.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
         pairs = pairs.groupBy("node").agg(F.max(F.struct("hits", F.xxhash64("b", F.lit(k)).alias("o"), "b")).alias("h")).select(F.col("node").alias("a"), F.col("h.b").alias("b"))
-        sifted = stage(sift(pairs), "sifted")
+        x = live.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("mark").alias("x"))
+        y = live.select(F.col("node").alias("b"), F.col("n"), F.col("mark").alias("y"))
+        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        sifted = pairs.join(x, "a").join(y, "b").withColumn("apart", apart).select("a", "b", (2 * F.col("apart") / (F.col("m") + F.col("n") + F.col("apart"))).alias("lo"), F.expr(f"{100 + percent} * apart <= {100 - percent} * (m + n)").alias("open"))
+        sifted = stage(sifted, "sifted")
         release(spark)
         found = stage(verify(sifted.where("open").select("a", "b")), "found")
         release(spark)
-        new = found.where("linked")
-        links = new.select("a", "b") if links is None else links.unionByName(new.select("a", "b"))
+        new = found.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
         n_new = new.count()
         # Distances to the round's hub: exact ones, or a lower bound (then at most 1).
         seen = sifted.join(found.select("a", "b", "dist"), ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias(f"h{k}"), F.coalesce("dist", "lo").alias(f"lo{k}"), F.coalesce("dist", F.lit(1.0)).alias(f"hi{k}"))
-        named = info.join(seen, "node", "left")
+        known = live.join(seen, "node", "left")
         if n_new:
-            named = named.drop("c").join(connected(links), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        known = stage(named, "info")
-        unstage(info, sifted)
+            known = known.drop("c").join(connected(links), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        known = stage(known, "live")
+        unstage(live, sifted)
         release(spark)
-        info, rounds = known, k + 1
-        if n_new < max(20, nodes_left // 500):
+        live, rounds = known, k + 1
+        if n_new < max(20, n_live // 500):
             break
 
-    named = rows.drop("w").join(info, "node")
-    mixed = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    left = stage(named.join(mixed, "token"), "left")
-    release(spark)
-    s, t = left.where("ix").alias("s"), left.alias("t")
+    # Pairs of different components: rows of the smaller set (s), without its most frequent shingles, meet those of the larger (t).
+    mixed = live.select("c", F.explode("kept.token").alias("token")).groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
+    known = ["node", "n", "l", "c", *(f"{x}{k}" for k in range(rounds) for x in ("h", "lo", "hi")), *(F.col("mark")[w].alias(f"m{w}") for w in range(MARK))]
+    ranked = F.expr("transform(array_sort(transform(filter(kept, x -> x.pos < small), x -> struct(-x.df, x.token as token))), x -> x.token)")
+    s = live.select(*known, F.posexplode(ranked).alias("rank", "token")).join(mixed, "token").alias("s")
+    t = live.select(*known, F.explode("kept.token").alias("token")).join(mixed, "token").alias("t")
     most = 1 - percent / 100 + 1e-9
-    apart = " or ".join(f"(s.h{k} = t.h{k} and (s.lo{k} - t.hi{k} > {most!r} or t.lo{k} - s.hi{k} > {most!r}))" for k in range(rounds))
-    pairs = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.c") != F.col("t.c")) & (F.expr("struct(s.n, s.node) < struct(t.n, t.node)")) & (F.expr(f"100 * s.n >= {percent} * t.n")) & F.expr(f"not coalesce({apart}, false)"))
-    pairs = pairs.groupBy(F.col("s.node").alias("a"), F.col("t.node").alias("b")).agg(
-        F.count("*").alias("hits"), F.min(F.least("s.l", "t.l")).alias("l"), F.max(F.expr("s.n - s.pos")).alias("sr"), F.max(F.expr("t.n - t.pos")).alias("tr"), F.first("s.n").alias("sn"), F.first("t.n").alias("tn")
-    )
-    pairs = stage(pairs.where(f"hits >= l and {100 + percent} * least(sr, tr) >= {percent} * (sn + tn)").select("a", "b"), "pairs")
+    near = [f"s.token = t.token and s.c != t.c and struct(s.n, s.node) < struct(t.n, t.node) and 100 * s.n >= {percent} * t.n and s.rank >= least(s.l, t.l) - 1"]
+    near.append(f"{100 + percent} * ({' + '.join(f'bit_count(s.m{w} ^ t.m{w})' for w in range(MARK))}) <= {100 - percent} * (s.n + t.n)")
+    near.append("not coalesce(" + " or ".join(f"(s.h{k} = t.h{k} and (s.lo{k} - t.hi{k} > {most!r} or t.lo{k} - s.hi{k} > {most!r}))" for k in range(rounds)) + ", false)")
+    pairs = stage(s.join(t, F.expr(" and ".join(near))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct(), "pairs")
     release(spark)
-    sifted = stage(sift(pairs).where("open").select("a", "b"), "sifted")
+    # The whole prefixes then have to share as many shingles as the smaller l.
+    x = live.select(F.col("node").alias("a"), F.col("l").alias("l"), F.expr("transform(filter(kept, x -> x.pos < small), x -> x.token)").alias("x"))
+    y = live.select(F.col("node").alias("b"), F.col("l").alias("k"), F.col("kept.token").alias("y"))
+    shared_ = stage(pairs.join(x, "a").join(y, "b").where("size(array_intersect(x, y)) >= least(l, k)").select("a", "b"), "shared")
     release(spark)
-    found = stage(verify(sifted), "found")
+    found = stage(verify(shared_), "found")
     links = links.unionByName(found.where("linked").select("a", "b"))
     comps = stage(connected(links).withColumnRenamed("c", "comp"), "components")
-    unstage(rows, sets, left, pairs, sifted, info)
+    unstage(live, sets, pairs, shared_)
 
     some = members.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     linked = some.join(comps, "node")
@@ -289,6 +270,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of different nodes: each slice of it is made from the nodes that it holds, on the executors."""
+
+    def part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros((1 << BLOOM_BITS) // BLOOM_SLICES >> 3, np.uint8)
+        for b in batches:
+            for x in _bits(b.column("node").to_numpy())[1]:
+                np.bitwise_or.at(flags, x >> 3, (1 << (x & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([flags.tobytes()], pa.binary())], ["slice", "part"])
+
+    def sliced(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(b.column("node").to_numpy())[0]), b.column("node")], ["slice", "node"])
+
+    out = np.zeros((BLOOM_SLICES, (1 << BLOOM_BITS) // BLOOM_SLICES >> 3), np.uint8)
+    for r in nodes.mapInArrow(sliced, "slice long, node long").groupBy("slice").applyInArrow(part, "slice long, part binary").collect():
+        out[r["slice"]] = np.frombuffer(r["part"], np.uint8)
+    return out
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, c``: the least node of each node's component, for all nodes of ``links(a, b)``.
 
@@ -297,7 +298,7 @@ def connected(links: DataFrame) -> DataFrame:
     """
     edges = stage(links.select("a", "b").where("a != b").distinct(), "edges")
     before = None
-    for _ in range(60):
+    while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
