@@ -1,15 +1,18 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a context tree of orders 0 to ``ORDER``: how often each byte followed each context. A byte's
-code length is that of its longest known context: if the byte was seen there c times among n, of q different
-ones, it costs -log2(c / (n + q)), else the escape -log2(q / (n + q)) and what the shorter context asks; below
-order 0 all 256 bytes are equally likely. A word is coded with the spaces around it and contexts do not reach
-beyond the space before it, so a text's exact code length is the sum over its words, and a word's is computed
-once for each chunk. Statistics are frozen: counted over all training documents before anything is scored.
+Each language has a context tree of orders 0 to ``ORDER``: how often each byte followed each context, whatever
+the bytes are, white space included. A byte's code length is that of its longest known context: if the byte was
+seen there c times among n, of q different ones, it costs -log2(c / (n + q)), else the escape -log2(q / (n + q))
+and what the shorter context asks; below order 0 all 256 bytes are equally likely. The first bytes of a text have
+shorter contexts. A byte belongs to a context of two bytes or more only if it followed it ``FLOOR`` times or more
+in the texts learned from. Statistics are frozen: counted before anything is scored, so a byte's code length
+depends on itself and the ``ORDER`` bytes before it, and a text's is the sum over its bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -18,187 +21,173 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labels import is_held_out
-from .text import Chunk, chunks, words
+from .text import Chunk, chunks
 
 ORDER = 4
-CHUNK = 6_000_000
-NODES = 1 << 21  # contexts with a byte kept for all languages together; rarer ones give way to shorter contexts
+CHUNK = 1_000_000  # bytes scored or counted at once
+FLOOR = 2
+PER_LANGUAGE = 2_000  # documents that a language is learned from, about, where it has more
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _coded(c: Chunk, which: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the chosen words, each with a space before and after, and where each word begins."""
-    size = w.end[which] - w.start[which] + 2
-    first = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(first[-1], 32, np.uint8)
-    inner = np.ones(first[-1], bool)
-    inner[first[:-1]] = False
-    inner[first[1:] - 1] = False
-    at = np.repeat(w.start[which] - first[:-1] - 1, size) + np.arange(first[-1])
-    out[inner] = c.buf[at[inner]]
-    return out, first
+def _mask(order: int) -> np.uint64:
+    return np.uint64((1 << 8 * (order + 1)) - 1)
 
 
-def _grams(seq: np.ndarray, first: np.ndarray):
-    """For each order: keys of context and byte, and which bytes have a context of that order. The leading space is context only."""
-    place = np.arange(len(seq)) - np.repeat(first[:-1], np.diff(first))
-    wide = seq.astype(np.uint64)
-    context = np.zeros(len(seq), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            context[order:] |= wide[:-order] << np.uint64(8 * order)
-        yield order, (np.uint64(order) << np.uint64(56)) | context | wide, place >= max(1, order)
+def _parts(c: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For parts of a chunk: each byte with the ``ORDER`` before it as one number, its text, and its place there up to ``ORDER``."""
+    for lo in range(0, len(c.buf), CHUNK):
+        hi = min(len(c.buf), lo + CHUNK)
+        back = max(0, lo - ORDER)
+        wide = c.buf[back:hi].astype(np.uint64)
+        full = wide.copy()
+        for order in range(1, ORDER + 1):
+            full[order:] |= wide[:-order] << np.uint64(8 * order)
+        of = np.repeat(np.arange(len(c.offsets) - 1), np.diff(np.clip(c.offsets, lo, hi)))
+        yield full[lo - back :], of, np.minimum(ORDER, np.arange(lo, hi) - c.offsets[of])
 
 
 class Model:
-    """Code lengths of all kept contexts, one column for each language."""
+    """Code lengths of all known contexts, one column for each language; one table for each order."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[int, list[int]]]):
+    def __init__(self, langs: list[str], order: np.ndarray, key: np.ndarray, count: np.ndarray):
+        """``count[i, k]`` is how often the last byte of ``key[i]`` followed the bytes before it in language k."""
         self.langs = langs
         n = len(langs)
-        key = np.array([r[0] for r in rows], np.uint64)
-        count = np.array([r[1] for r in rows], np.float64).reshape(len(rows), n)
-        order_of = (key >> np.uint64(56)).astype(np.int64)
-        self.keys, self.bits = [], []  # context and byte: final code lengths
-        self.contexts, self.escapes = [], []
-        for order in range(ORDER + 1):
-            at = np.flatnonzero(order_of == order)
+        self.keys, self.bits, self.contexts, self.escapes = [], [], [], []
+        for o in range(ORDER + 1):
+            at = np.flatnonzero(order == o)
             at = at[np.argsort(key[at])]
-            k, c = key[at], count[at]
-            context = k & ~np.uint64(0xFF)
-            uniq, inverse = np.unique(context, return_inverse=True)
+            k, c = key[at], count[at].astype(np.float64)
+            uniq, inverse = np.unique(k >> np.uint64(8), return_inverse=True)
             total, kinds = np.zeros((len(uniq), n)), np.zeros((len(uniq), n))
             np.add.at(total, inverse, c)
             np.add.at(kinds, inverse, c > 0)
-            known = total > 0
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(known, -np.log2(kinds / (total + kinds)), 0.0)
-                own = -np.log2(c / (total[inverse] + kinds[inverse]))
-            if order:  # what the next shorter context asks: drop the farthest byte
-                shorter = (k & ((np.uint64(1) << np.uint64(8 * order)) - np.uint64(1))) | (np.uint64(order - 1) << np.uint64(56))
-                below = self._down(shorter, order - 1)
-            else:
-                below = np.full((len(k), n), 8.0)
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                own = -np.log2(c / (total + kinds)[inverse])
+            below = self.code(k & _mask(o - 1), o - 1) if o else np.full((len(k), n), 8.0)
             self.keys.append(k)
             self.bits.append(np.where(c > 0, own, escape[inverse] + below))
             self.contexts.append(uniq)
             self.escapes.append(escape)
-        self.bits = [b.astype(np.float32) for b in self.bits]
-        self.escapes = [e.astype(np.float32) for e in self.escapes]
-
-    @staticmethod
-    def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        return at, table[at] == key
-
-    def _down(self, key: np.ndarray, order: int) -> np.ndarray:
-        """Code lengths of keys (of one order) that may be unknown at that order."""
+
+    def code(self, key: np.ndarray, order: int) -> np.ndarray:
+        """Code lengths of bytes in contexts of one order, known or not."""
         out = np.zeros((len(key), len(self.langs)))
-        open_ = np.arange(len(key))
-        while len(open_):
-            at, hit = self._find(self.keys[order], key[open_])
-            out[open_[hit]] += self.bits[order][at[hit]]
-            open_ = open_[~hit]
-            if not len(open_):
-                break
-            at, known = self._find(self.contexts[order], key[open_] & ~np.uint64(0xFF))
-            out[open_[known]] += self.escapes[order][at[known]]
-            if not order:
-                out[open_] += 8.0
-                break
-            key = (key & ((np.uint64(1) << np.uint64(8 * order)) - np.uint64(1))) | (np.uint64(order - 1) << np.uint64(56))
-            order -= 1
+        at = np.arange(len(key))
+        for o in range(order, -1, -1):
+            i, hit = _find(self.keys[o], key)
+            out[at[hit]] += self.bits[o][i[hit]]
+            key, at = key[~hit], at[~hit]
+            i, known = _find(self.contexts[o], key >> np.uint64(8))
+            out[at[known]] += self.escapes[o][i[known]]
+            if o:
+                key = key & _mask(o - 1)
+        out[at] += 8.0
+        return out
+
+    def totals(self, c: Chunk) -> np.ndarray:
+        """Code length of each text of a chunk for each language."""
+        n, m = len(c.offsets) - 1, len(self.langs)
+        out = np.zeros((n, m))
+        for full, of, place in _parts(c):
+            for order in range(ORDER + 1):
+                at = np.flatnonzero(place == order)
+                # Equal bytes in equal contexts of a text are looked up once, in order.
+                pair = np.sort((of[at].astype(np.uint64) << np.uint64(40)) | (full[at] & _mask(order)))
+                first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
+                times = np.diff(first, append=len(pair))
+                pair = pair[first]
+                step = max(1024, CHUNK // m)
+                for lo in range(0, len(pair), step):
+                    own = (pair[lo : lo + step] >> np.uint64(40)).astype(np.int64)
+                    bits = self.code(pair[lo : lo + step] & _mask(ORDER), order) * times[lo : lo + step, None]
+                    for k in range(m):
+                        out[:, k] += np.bincount(own, bits[:, k], n)
         return out
 
-    def word_bits(self, seq: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Code length of each word for each language."""
-        place = np.arange(len(seq)) - np.repeat(first[:-1], np.diff(first))
-        bits = np.zeros((len(seq), len(self.langs)))
-        for order, key, _ in _grams(seq, first):
-            at = np.flatnonzero(place == order) if order < ORDER else np.flatnonzero(place >= ORDER)
-            at = at[place[at] > 0]
-            if len(at):
-                bits[at] = self._down(key[at], order)
-        return np.add.reduceat(bits, first[:-1], axis=0) if len(first) > 1 else bits[:0]
 
+def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return at, table[at] == key
 
-def train(texts: DataFrame, nodes: int = NODES) -> Model:
-    """Context trees from ``texts(lang, text)``: counts over all of them, merged on the executors."""
+
+def train(texts: DataFrame) -> Model:
+    """Context trees of ``texts(lang, text)``, counted on the executors; the counts that pass ``FLOOR`` come to the driver."""
 
     def count(batches):
         for b in batches:
             langs = b.column("lang").to_pylist()
             for c in chunks(b.column("text"), CHUNK):
-                w = words(c, lower=False)
-                code = {x: k for k, x in enumerate(sorted(set(langs[c.lo : c.hi])))}
-                of = np.array([code[x] for x in langs[c.lo : c.hi]], np.uint64)[w.doc]
-                with np.errstate(over="ignore"):
-                    _, index, times = np.unique(w.hash + of * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_counts=True)
-                for name, k in code.items():
-                    own = of[index] == k
-                    if not own.any():
-                        continue
-                    seq, first = _coded(c, index[own], w)
-                    weight = np.repeat(times[own], np.diff(first))
-                    for _, key, ok in _grams(seq, first):
-                        keys, inverse = np.unique(key[ok], return_inverse=True)
-                        n = np.bincount(inverse, weights=weight[ok], minlength=len(keys)).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)) if len(keys) < 1000 else pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(keys), np.int32)), pa.array([name])).dictionary_decode(), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
-
-    counts = texts.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"), F.sum("n").alias("total"))
-    kept = by_key.orderBy(F.col("total").desc(), "key").limit(nodes)
-    rows = kept.select("key", F.map_keys("n").alias("langs"), F.map_values("n").alias("counts"))
-    got = rows.toArrow()
-    langs = sorted({x for r in got.column("langs").to_pylist() for x in r})
+                names = sorted(set(langs[c.lo : c.hi]))
+                lang_of = np.array([names.index(x) for x in langs[c.lo : c.hi]], np.int64)
+                for full, of, place in _parts(c):
+                    for k, name in enumerate(names):
+                        own = lang_of[of] == k
+                        for order in range(ORDER + 1):
+                            keys, n = np.unique(full[own & (place >= order)] & _mask(order), return_counts=True)
+                            of_name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(keys), np.int32)), pa.array([name])).dictionary_decode()
+                            yield pa.RecordBatch.from_arrays([of_name, pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "order", "key", "n"])
+
+    counts = texts.select("lang", "text").mapInArrow(count, "lang string, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n"))
+    got = counts.where(F.expr(f"order < 2 or n >= {FLOOR}")).toArrow()
+    lang, order, key, n = (got.column(c) for c in ("lang", "order", "key", "n"))
+    langs = sorted(lang.unique().to_pylist())
     code = {x: k for k, x in enumerate(langs)}
-    table = []
-    for key, names, ns in zip(got.column("key").to_pylist(), got.column("langs").to_pylist(), got.column("counts").to_pylist(), strict=True):
-        row = [0] * len(langs)
-        for x, v in zip(names, ns, strict=True):
-            row[code[x]] = v
-        table.append((key, row))
-    return Model(langs, table)
+    column = lang.combine_chunks().dictionary_encode()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    of = np.array([code[x] for x in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()]
+    tagged, inverse = np.unique((order.to_numpy().astype(np.uint64) << np.uint64(56)) | key.to_numpy().view(np.uint64), return_inverse=True)
+    table = np.zeros((len(tagged), len(langs)), np.int64)
+    table[inverse, of] = n.to_numpy()
+    return Model(langs, (tagged >> np.uint64(56)).astype(np.int64), tagged & _mask(ORDER), table)
+
+
+def training_texts(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``lang, text`` of about ``per_language`` documents of each language, or of all where it has fewer, chosen by a hash of the id."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    more = [F.when((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) >= int(1_000_003 * per_language / r["n"])), True) for r in sizes if r["n"] > per_language]
+    return (known.where(F.coalesce(*more, F.lit(False)) == F.lit(False)) if more else known).select("lang", "text")
 
 
-def identify(docs: DataFrame, buckets: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, buckets: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id_col, held_out, lang_pred, score, bits``: one row for each row of ``docs``.
 
-    Learns from the texts of documents that are not held out and whose language is not null. ``bits`` is the
-    text's code length under the predicted language, ``score`` that language's share of the likelihood. A null
-    text, a text without a letter, or any text when nothing could be learned is ``und`` with score 0. Ties go
-    to the language first in order. A null id is kept and not held out; an empty table gives an empty result.
+    Learns from the whole texts of about ``per_language`` documents of each language that are not held out.
+    ``bits`` is the text's code length under the predicted language, ``score`` that language's share of the
+    likelihood. A null text, a text without a letter, or any text when nothing could be learned is ``und`` with
+    score 0. Ties go to the language first in order. A null id is kept and not held out, repeated rows each get
+    theirs, other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col), buckets, held_out))
-    model = train(known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
+    model = train(training_texts(docs.where(~is_held_out(F.col(id_col), buckets, held_out)), per_language, id_col, text_col, lang_col))
     frozen = spark.sparkContext.broadcast(model)
-    ids = docs.schema[id_col]
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[65:91] = ascii_letter[97:123] = True
 
     def predict(batches):
         m = frozen.value
         for b in batches:
             for c in chunks(b.column("text"), CHUNK):
                 n = c.hi - c.lo
-                w = words(c, lower=False)
                 langs, best, share = ["und"] * n, np.zeros(n), np.zeros(n)
-                if m.langs and len(w.start):
-                    _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-                    bits = m.word_bits(*_coded(c, index, w))[inverse]
-                    total = np.stack([np.bincount(w.doc, bits[:, k], n) for k in range(len(m.langs))], 1)
+                if m.langs and len(c.buf):
+                    total = m.totals(c)
                     pick = total.argmin(axis=1)
                     low = total[np.arange(n), pick]
                     odds = 1 / np.exp2(np.maximum(low[:, None] - total, -1000)).sum(axis=1)
-                    ascii_letter = np.zeros(256, bool)
-                    ascii_letter[65:91] = ascii_letter[97:123] = True
                     seen = np.concatenate([[0], np.cumsum(ascii_letter[c.buf])])
                     letters = seen[c.offsets[1:]] > seen[c.offsets[:-1]]
                     for d in range(n):
                         if letters[d] or _LETTER.search(c.text(d).decode("utf-8", "replace")):
                             langs[d], best[d], share[d] = m.langs[pick[d]], low[d], odds[d]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.lo, n), pa.array(langs), pa.array(share), pa.array(best)], [id_col, "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.lo, n), pa.array(langs), pa.array(share), pa.array(best)], ["id", "lang_pred", "score", "bits"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(predict, T.StructType([ids, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]))
-    return out.select(id_col, is_held_out(F.col(id_col), buckets, held_out).alias("held_out"), "lang_pred", "score", "bits")
+    fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(predict, T.StructType(fields))
+    return out.select(F.col("id").alias(id_col), is_held_out(F.col("id"), buckets, held_out).alias("held_out"), "lang_pred", "score", "bits")

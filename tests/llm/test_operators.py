@@ -305,20 +305,22 @@ def test_language_of_held_out_rows(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
 
 
-def test_code_lengths_against_plain_ppm(spark):
-    from rolefinch.llm.langid import ORDER, _coded, train
-    from rolefinch.llm.text import chunks, words
+def test_code_lengths_of_whole_texts_against_plain_ppm(spark, monkeypatch):
+    """Whole texts, white space and unknown bytes included, also where a text is coded in several parts."""
     import pyarrow as pa
 
-    data = {"a": ["banana bandana", "nab a banana"], "b": ["kiwi wiki", "kick a kiwi"]}
-    model = train(spark.createDataFrame([(k, t) for k, ts in data.items() for t in ts], "lang string, text string"))
+    from rolefinch.llm import langid
+    from rolefinch.llm.text import chunks
+
+    data = {"a": ["banana  bandana\n", "nab a banana, naïve"], "b": ["kiwi wiki", "kick a kiwi\tkiwi"]}
+    model = langid.train(spark.createDataFrame([(k, t) for k, ts in data.items() for t in ts], "lang string, text string"))
     counts = {k: Counter() for k in data}
     for k, ts in data.items():
-        for w in " ".join(ts).split():
-            s = f" {w} ".encode()
-            for i in range(1, len(s)):
-                for o in range(min(ORDER, i) + 1):
+        for s in (t.encode() for t in ts):
+            for i in range(len(s)):
+                for o in range(min(langid.ORDER, i) + 1):
                     counts[k][s[i - o : i], s[i]] += 1
+    counts = {k: {x: n for x, n in c.items() if len(x[0]) < 2 or n >= langid.FLOOR} for k, c in counts.items()}
 
     def bits(k, context, byte):
         seen = {y: n for (c, y), n in counts[k].items() if c == context}
@@ -328,12 +330,20 @@ def test_code_lengths_against_plain_ppm(spark):
         escape = -np.log2(len(seen) / (total + len(seen))) if seen else 0
         return escape + (bits(k, context[1:], byte) if context else 8)
 
-    for word in ("banana", "kiwi", "xyz", "nan", "ban"):
-        (c,) = chunks(pa.array([word]))
-        got = model.word_bits(*_coded(c, np.array([0]), words(c, lower=False)))[0]
-        s = f" {word} ".encode()
-        want = [sum(bits(k, s[max(0, i - ORDER) : i], s[i]) for i in range(1, len(s))) for k in sorted(data)]
-        assert got == pytest.approx(want, rel=1e-4)
+    texts = ["banana", "kiwi  banana\n\nxyz", "", "n", "naïve kick ü漢", *data["a"], *data["b"]]
+    want = [[sum(bits(k, t.encode()[max(0, i - langid.ORDER) : i], x) for i, x in enumerate(t.encode())) for k in sorted(data)] for t in texts]
+    for size in (langid.CHUNK, 7):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        got = np.concatenate([model.totals(c) for c in chunks(pa.array(texts))])
+        assert got == pytest.approx(np.array(want), rel=1e-9)
+
+
+def test_language_sample_keeps_small_languages(spark):
+    from rolefinch.llm.langid import training_texts
+
+    df = spark.range(3000).selectExpr("id doc_id", "'t' text", "if(id % 100 = 0, 'b', 'a') lang", "1 as n", "2 as id_2")
+    n = Counter(r["lang"] for r in training_texts(df, 500, "doc_id", "text", "lang").collect())
+    assert n["b"] == 30 and 400 < n["a"] < 600
 
 
 def plain_words(text):
