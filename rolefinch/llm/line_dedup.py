@@ -1,21 +1,24 @@
 """Removal of line runs that repeat earlier text, by winnowing over line hashes.
 
 A window is a run of consecutive lines of one document with at least ``min_words`` words that is as short as it
-can be from its first line on, or from its last line back. Each window is represented by the least line hash in
-it. A repeated run of at least that many words holds whole windows, and each of them has the same least hash
-wherever it occurs, so windows need to be compared only where these fingerprints agree: they are joined on
-fingerprint and content, matches are extended both ways by the windows that overlap them, and every occurrence
-but the first (in order of id, then line) is deleted.
+can be from its first line on, or from its last line back. Of each window the line with the least hash (the
+first of equal ones) is selected as fingerprint. A repeated run of at least that many words holds whole windows,
+and wherever such a window occurs the same line of it is selected: so only selected lines are joined, with their
+places, and lines selected once only drop out. From each shared place the match is extended both ways over the
+windows that selected it, by the hashes of their lines, and the repeated windows of a document merge into runs.
+Every occurrence but the first (in order of id, then line) is deleted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import unused
 from .text import _SPACE, Chunk, chunks, signed, spans
 
 
@@ -48,12 +51,16 @@ def _lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return start, end, owner, words
 
 
-def windows(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
-    """(text number, first line, last line in the text, fingerprint, content hash) of all windows of a chunk."""
+def selected(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
+    """All windows of a chunk, those of one selected line together.
+
+    (text number, selected line, its hash, first and last line of the window, hash of the window's lines); lines
+    count from 0 in their text.
+    """
     start, end, owner, words = _lines(c)
     n = len(start)
     if not n:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     line = np.arange(n)
     b = np.searchsorted(words, words[:-1] + min_words, "left") - 1
     ok = b < n
@@ -64,10 +71,26 @@ def windows(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
     a = np.minimum(a, line)
     pairs = np.unique(np.concatenate([line[ok] * (n + 1) + b[ok], a[ok2] * (n + 1) + line[ok2]]))
     a, b = pairs // (n + 1), pairs % (n + 1)
-    h = np.append(spans(c.buf, start, end), np.uint64(0))
-    low = np.minimum.reduceat(h, np.stack([a, b + 1], 1).ravel())[::2] if len(a) else np.empty(0, np.uint64)
+    if not len(a):
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    hashes, order = np.unique(spans(c.buf, start, end), return_inverse=True)
+    low = np.minimum.reduceat(np.append(order, n), np.stack([a, b + 1], 1).ravel())[::2]
+    places = np.sort(order * n + line)
+    at = places[np.searchsorted(places, low * n + a)] % n
+    by = np.lexsort((b, a, at))
+    a, b, at, low = a[by], b[by], at[by], low[by]
     head = np.searchsorted(owner, owner[a])  # the text's first line
-    return owner[a], a - head, b - head, signed(low), signed(spans(c.buf, start[a], end[b]))
+    return owner[a], at - head, signed(hashes[low]), a - head, b - head, signed(spans(c.buf, start[a], end[b]))
+
+
+def _without(text: str, runs: np.ndarray) -> tuple[str, int]:
+    """The text without the lines of ``runs`` (first and last line of each), and how many these are."""
+    lines = text.split("\n")
+    edges = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(edges, runs[:, 0], 1)
+    np.add.at(edges, runs[:, 1] + 1, -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), int(gone.sum())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -81,28 +104,46 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that ``n_lines`` and ``n_deleted`` are replaced. An empty table gives an empty result.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(x, T.LongType()) for x in ("h", "a", "b", "fingerprint", "content"))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("h", "line", "fingerprint"))])
+    schema = schema.add("windows", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("content", T.LongType())])))
 
     def emit(batches):
         for x in batches:
             ids, hs = x.column("id"), x.column("h")
             for c in chunks(x.column("text")):
-                d, a, b, low, content = windows(c, min_words)
-                at = pa.array(d + c.lo)
-                yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), *(pa.array(v.astype(np.int64)) for v in (a, b, low, content))], ["id", "h", "a", "b", "fingerprint", "content"])
+                d, line, low, a, b, content = selected(c, min_words)
+                first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0))
+                each = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(content)], ["a", "b", "content"])
+                at = pa.array(d[first] + c.lo)
+                ends = pa.array(np.append(first, len(d)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(line[first].astype(np.int64)), pa.array(low[first]), pa.ListArray.from_arrays(ends, each)], ["id", "h", "line", "fingerprint", "windows"])
 
-    rows = keyed.select("id", "h", "text").mapInArrow(emit, schema).withColumn("at", F.struct(F.col("id").isNull().alias("last"), "id", "h", "a"))
+    places = keyed.select("id", "h", "text").mapInArrow(emit, schema)
+    shared = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    rows = places.join(shared, "fingerprint").select("id", "h", "fingerprint", F.explode("windows").alias("w"))
+    rows = rows.select("fingerprint", "w.content", "w.b", F.struct(F.col("id").isNull().alias("last"), "id", "h", "w.a").alias("at"))
     first = rows.groupBy("fingerprint", "content").agg(F.min("at").alias("first"), F.max("at").alias("final")).where("first != final").drop("final")
     later = rows.join(first, ["fingerprint", "content"]).where("at > first")
-    runs = later.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("runs")).withColumnsRenamed({"id": "_id", "h": "_h"})
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted", text_col.lower())]
-    whole = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    joined = whole.join(runs, (F.col("_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    lines = F.when(F.length("_text") > 0, F.split("_text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    gone = lambda i: F.exists("runs", lambda r: (r["a"] <= i) & (r["b"] >= i))
-    left = F.filter(lines, lambda _, i: ~F.coalesce(gone(i), F.lit(False)))
-    out = joined.withColumn("_lines", lines).withColumn("_left", F.when(F.col("runs").isNull(), F.col("_lines")).otherwise(left))
-    new = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(F.array_join("_left", "\n"))
-    cols = [new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c in (*kept, text_col)]
-    return out.select(*cols, F.size("_lines").alias("n_lines"), (F.size("_lines") - F.size("_left")).alias("n_deleted"))
+    key, mark, runs = unused(docs, "id"), unused(docs, "h"), unused(docs, "runs")
+    found = later.groupBy(F.col("at.id").alias(key), F.col("at.h").alias(mark)).agg(F.collect_set(F.struct("at.a", "b")).alias(runs))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    whole = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept))
+    joined = whole.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(mark)), "left").select(*(F.col(f"`{c}`") for c in kept), runs)
+
+    def cut(batches):
+        for x in batches:
+            texts, gone = x.column(text_col), x.column(runs)
+            lines = pc.if_else(pc.greater(pc.binary_length(texts), 0), pc.add(pc.count_substring(texts, "\n"), 1), 0)
+            n_lines = pc.fill_null(lines, 0).cast(pa.int32()).to_numpy()
+            n_gone, changed = np.zeros(len(texts), np.int32), {}
+            for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)):
+                both = gone[int(k)].values
+                changed[int(k)], n_gone[k] = _without(texts[int(k)].as_py(), np.stack([both.field(0).to_numpy(), both.field(1).to_numpy()], 1))
+            if changed:
+                touched = np.zeros(len(texts), bool)
+                touched[list(changed)] = True
+                texts = pc.replace_with_mask(texts, pa.array(touched), pa.array(list(changed.values()), texts.type))
+            yield pa.RecordBatch.from_arrays([*(texts if c == text_col else x.column(c) for c in kept), pa.array(n_lines), pa.array(n_gone)], [*kept, "n_lines", "n_deleted"])
+
+    fields = [*(T.StructField(c, T.StringType() if c == text_col else docs.schema[c].dataType) for c in kept), T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())]
+    return joined.mapInArrow(cut, T.StructType(fields))
