@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labels import is_held_out
+from .shared import small_batches
 from .text import Chunk, chunks
 
 ORDER = 4
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, buckets: int = 4, held_out: int = 2, per_language:
     theirs, other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = train(training_texts(docs.where(~is_held_out(F.col(id_col), buckets, held_out)), per_language, id_col, text_col, lang_col))
     frozen = spark.sparkContext.broadcast(model)
     ascii_letter = np.zeros(256, bool)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 # Wording of common license notices.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -109,6 +111,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, rank
     the name). Texts are read whole. Null and empty texts, and those without a candidate block, give no row; a
     null id stays null; repeated rows each give theirs. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     listed = tuple((templates or TEMPLATES).items())
     fields = [docs.schema[id_col], *(T.StructField(n, t) for n, t in (("block", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("license", T.StringType()), ("saving", T.DoubleType()), ("n_missing", T.IntegerType()), ("n_added", T.IntegerType()), ("differences", T.ArrayType(T.StringType()))))]
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -149,5 +152,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, rank
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).where(F.col("_text").rlike(TRIGGER))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(TRIGGER))
     return texts.mapInArrow(scan, schema)

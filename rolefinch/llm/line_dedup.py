@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import unused
+from .shared import small_batches, unused
 from .text import _SPACE, Chunk, chunks, signed, spans
 
 
@@ -103,6 +103,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows that repeat an id with other texts are told apart. Other columns are kept, whatever their names, except
     that ``n_lines`` and ``n_deleted`` are replaced. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("h", "line", "fingerprint"))])
     schema = schema.add("windows", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("content", T.LongType())])))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import release, stage
+from .shared import release, small_batches, stage
 from .text import chunks, mix, signed, words
 
 MIX = 0.7  # weight of bigrams against single words
@@ -114,6 +114,7 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
     table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     kept = None
     if vocabulary is not None:

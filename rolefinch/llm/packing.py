@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import small_batches, stage, unused
 from .text import spans
 
 PER_SALT = 20_000  # pieces of one length that one task ranks, about
@@ -287,6 +287,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     arrow_id = to_arrow_type(id_type)
 
     def cut(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labels import SAMPLE, is_held_out, training_rows
-from .shared import merged_counters
+from .shared import merged_counters, small_batches, unused
 from .text import Chunk, chunks, mix, words
 
 SLOTS = 1 << 14
@@ -145,6 +145,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = 5, held_out
     null id is kept and not held out; repeated rows each get their score. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vectors = spark.sparkContext.broadcast(context_vectors(docs.select(F.col(text_col).cast("string").alias("text"))))
 
     def features(batches):
@@ -160,11 +161,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = 5, held_out
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in train]).astype(np.float64) if train else np.zeros((0, 4 * DIM + 1))
     net = spark.sparkContext.broadcast(Network(x, np.array([r["y"] for r in train], np.float64)))
     keep = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_text"))
+    text = unused(docs, "text_")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias(text))
 
     def score(batches):
         for b in batches:
-            p = [net.value.probability(pooled(c, vectors.value)) for c in chunks(b.column("_text"))]
+            p = [net.value.probability(pooled(c, vectors.value)) for c in chunks(b.column(text))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(p) if p else [], pa.float64())], [*keep, "score"])
 
     out = source.mapInArrow(score, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))

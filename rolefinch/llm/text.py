@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
@@ -141,9 +141,5 @@ def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def concat(arrays: list[np.ndarray], dtype) -> np.ndarray:
-    return np.concatenate(arrays) if arrays else np.empty(0, dtype)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labels import SAMPLE, is_held_out, training_rows
+from .shared import small_batches, unused
 from .text import LOWER, Chunk, chunks, shingles, spans, words
 
 WINDOW = 6  # words on each side of a hit
@@ -244,9 +245,9 @@ def learn_lexicon(train: DataFrame, terms: int | None = None) -> Lexicon:
                     text = LOWER[c.buf].tobytes() if d == 0 else text
                     seen = {text[w.start[i] : w.end[i]] for i in own if 3 <= w.end[i] - w.start[i] <= 40}
                     least = int(s[first[d] : first[d + 1]].min().astype(np.int64)) if first[d + 1] > first[d] else 0
-                    yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([ys[c.lo + d]], pa.int32()), pa.array([[x.decode("utf-8", "replace") for x in seen]], pa.list_(pa.string()))], ["least", "y", "terms"])
+                    yield pa.RecordBatch.from_arrays([pa.array([least]), pa.array([ys[c.lo + d]], pa.int32()), pa.array([sorted(x.decode("utf-8", "replace") for x in seen)], pa.list_(pa.string()))], ["least", "y", "terms"])
 
-    docs = train.select("text", "y").mapInArrow(listed, "least long, y int, terms array<string>").groupBy("least").agg(F.max("y").alias("y"), F.first("terms").alias("terms"))
+    docs = train.select("text", "y").mapInArrow(listed, "least long, y int, terms array<string>").groupBy("least").agg(F.max("y").alias("y"), F.min("terms").alias("terms"))
     sizes = docs.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = sizes["p"] or 0, (sizes["n"] or 0) - (sizes["p"] or 0)
     if not p or not n:
@@ -268,6 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, buckets: int = 4, held_ou
     kept and not held out; repeated rows each get their score. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     train = training_rows(docs, labels, label, buckets, held_out, sample, id_col, text_col)
     lexicon = spark.sparkContext.broadcast(learn_lexicon(train))
 
@@ -282,11 +284,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, buckets: int = 4, held_ou
     x = np.stack([np.frombuffer(r["x"], np.float64) for r in got]) if got else np.zeros((0, 8))
     model = spark.sparkContext.broadcast(Logistic(x, np.array([r["y"] for r in got], np.float64)))
     keep = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted", "n_hits")]
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("_text"))
+    text = unused(docs, "text_")
+    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias(text))
 
     def score(batches):
         for b in batches:
-            got = [lexicon.value.features(c) for c in chunks(b.column("_text"))]
+            got = [lexicon.value.features(c) for c in chunks(b.column(text))]
             p = np.concatenate([model.value.probability(f) for f, _ in got]) if got else np.empty(0)
             n = np.concatenate([h for _, h in got]) if got else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p), pa.array(n)], [*keep, "score", "n_hits"])
