@@ -45,7 +45,7 @@ UNTITLED = S.Profile(PROFILE.skills, [], PROFILE.exclude_titles, PROFILE.locatio
 
 
 def skilled(spark: SparkSession, d: str) -> DataFrame:
-    return postings(spark, d).withColumn("skills", WORDS.skills(F.col("body_text")))
+    return postings(spark, d).withColumn("skills", F.explode(F.array(WORDS.skills(F.col("body_text")))))
 
 
 def ranked(spark: SparkSession, d: str, profile=UNTITLED) -> DataFrame:
@@ -149,7 +149,16 @@ def rank_top(spark, d):
     return shortlist.top(ranked(spark, d), 10).select("posting_id", "company", "title", F.round("total", 6).alias("total"))
 
 
-@query()
+def _best_title_sql() -> str:
+    """The best token_set_ratio of a posting's title, as rows (p_partkey is the posting)."""
+    return "(SELECT p_partkey AS posting_id, max(score) AS title_match FROM (" + " UNION ALL ".join(_ratio_sql("p_name", t) for t in PROFILE.target_titles) + ") GROUP BY p_partkey)"
+
+
+TITLED = f"""titled AS (SELECT s.*, m.title_match, (CASE WHEN cov IS NULL THEN 0 ELSE 0.5 * cov END + 0.25 * m.title_match + 0.15 * rec + 0.1 * fit) / (CASE WHEN cov IS NULL THEN 0.5 ELSE 1.0 END) AS best
+  FROM scored s JOIN (WITH part AS (SELECT posting_id AS p_partkey, title AS p_name FROM scored) SELECT * FROM {_best_title_sql()}) m USING (posting_id))"""
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, {SCORED}, {TITLED} SELECT posting_id, title, title_match, round(best, 6) AS total, CASE WHEN cov IS NOT NULL THEN 'covers ' || n_covered || '/' || n_skills || ' skills · ' ELSE '' END || CASE WHEN title_match >= 0.8 THEN 'title · ' ELSE '' END || CAST(floor(age) AS BIGINT) || 'd' AS why FROM titled ORDER BY best DESC, posting_id LIMIT 10")
 def rank_top_titles(spark, d):
     """The shortlist with fuzzy title matching."""
     return shortlist.top(ranked(spark, d, PROFILE), 10).select("posting_id", "title", F.round("title_match", 6).alias("title_match"), F.round("total", 6).alias("total"), "why")
@@ -181,11 +190,11 @@ def extraction_backfill(spark, d):
     return tables.extract(tables.missing_extractions(p, memo, WORDS.version), WORDS).select("posting_id", F.array_join("skills", ",").alias("skills"))
 
 
-@query("SELECT doc_id AS posting_id, CASE WHEN doc_id % 2 = 0 THEN 'current' ELSE 'superseded' END AS extraction FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS posting_id, CASE doc_id % 3 WHEN 0 THEN 'current' WHEN 1 THEN 'superseded' ELSE 'missing' END AS extraction FROM documents")
 def current_vs_superseded(spark, d):
-    p = postings(spark, d).where("posting_id % 3 = 0").withColumn("content_hash", X.content_hash(F.col("body_text"))).select("posting_id", "content_hash")
-    memo = p.select("posting_id", "content_hash", F.lit("taxonomy").alias("kind"), F.when(F.col("posting_id") % 2 == 0, WORDS.version).otherwise("old").alias("engine_version"), F.array(F.lit("x")).alias("skills"))
-    return tables.current_extractions(p, memo, WORDS.version).select("posting_id", F.when(F.col("skills").isNotNull(), "current").otherwise("superseded").alias("extraction"))
+    p = postings(spark, d).withColumn("content_hash", X.content_hash(F.col("body_text"))).select("posting_id", "content_hash")
+    memo = p.select("posting_id", "content_hash", F.lit("taxonomy").alias("kind"), F.expr("element_at(array('{0}', 'old', null), cast(posting_id % 3 + 1 as int))".format(WORDS.version)).alias("engine_version"))
+    return tables.extraction_state(p, memo.where("engine_version is not null"), WORDS.version).select("posting_id", "extraction")
 
 
 HISTORY = """days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), brd AS (SELECT DISTINCT event_type AS board FROM events),
@@ -307,14 +316,210 @@ def json_field(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-@query()
+# Sentences of our own that hold taxonomy terms, and some that only look like them.
+SENTENCES = [
+    "We write Python and Go services on Kubernetes with PostgreSQL.", "Ready to go to market in spring 2024.", "Spring Boot, Kafka and Redis behind REST APIs.", "React and TypeScript, some Node.js and GraphQL.",
+    "PyTorch models, RAG pipelines and LLM tooling on AWS.", "The rest of the team reacts to mail.", "Terraform, Docker and CI/CD with GitHub Actions.", "C++ or Rust, and C# with .NET Core.",
+    "Spark, Airflow and Snowflake for data; dbt is a plus.", "No terms here.",
+]
+
+
+def _re2(pattern: str) -> str:
+    """A condition on ``t`` for RE2, which looks neither ahead nor behind: what the look-around forbids is taken out first."""
+    import re
+
+    held = "t"
+    for ahead in re.findall(r"(\\b[A-Za-z]+\\b)\(\?!((?:[^()]|\([^()]*\))*)\)", pattern):
+        held = f"regexp_replace({held}, '{ahead[0]}{ahead[1]}', ' ', 'g')"
+        pattern = pattern.replace(f"(?!{ahead[1]})", "")
+    for behind in re.findall(r"\(\?<!([^()]*)\)", pattern):
+        held = f"regexp_replace({held}, '{behind}\\.', ' ', 'g')" if behind else held
+        pattern = pattern.replace(f"(?<!{behind})", "")
+    return f"regexp_matches({held}, '{pattern}')"
+
+
+def _bundled_sql() -> str:
+    from .functions.taxonomy import load
+
+    cases = ", ".join(f"CASE WHEN {_re2(('' if p.case_sensitive else '(?i)') + p.pattern)} THEN '{p.name}' END" for p in load().patterns)
+    listed = ", ".join(f"'{x}'" for x in SENTENCES)
+    return rf"WITH x AS (SELECT doc_id AS posting_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') || ' ' || [{listed}][doc_id % {len(SENTENCES)} + 1] AS t FROM documents), y AS (SELECT posting_id, list_sort(list_filter([{cases}], lambda n: n IS NOT NULL)) AS skills FROM x) SELECT posting_id, array_to_string(skills, ',') AS skills, len(skills) AS n FROM y WHERE len(skills) > 0"
+
+
+@query(_bundled_sql())
 def bundled_skills(spark, d):
-    """The bundled taxonomy over every document."""
+    """The bundled taxonomy over every document with a sentence of an advertisement after it."""
     from .functions.taxonomy import load
 
-    t = load()
-    p = postings(spark, d).withColumn("content_hash", X.content_hash(F.col("body_text")))
-    return tables.extract(p, t).where("size(skills) > 0").select("posting_id", F.array_join("skills", ",").alias("skills"), F.to_json("categories").alias("categories"))
+    said = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.col("posting_id") % len(SENTENCES) + 1).cast("int"))
+    p = postings(spark, d).withColumn("body_text", F.concat_ws(" ", "body_text", said)).withColumn("content_hash", F.lit(""))
+    return tables.extract(p, load()).where("size(skills) > 0").select("posting_id", F.array_join("skills", ",").alias("skills"), F.size("categories").cast("long").alias("n"))
+
+
+# Payloads of one board for each document, in each layout: good, broken and partial jobs.
+@query(r"""WITH d AS (SELECT *, regexp_replace(substring(text, 1, 20), '^\s+|\s+$', '', 'g') AS t FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS board, 0 AS pos, CAST(doc_id AS VARCHAR) AS id, t AS title, lang || '|' || source AS places, source AS department, 'R&D <' || lang || '>' || chr(10) || 'é' AS body, 'unknown' AS policy, TIMESTAMP '2024-01-02 01:04:05' AS posted_at, NULL AS error FROM d
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, CAST(-doc_id AS VARCHAR), NULL, '', NULL, '', 'unknown', NULL, 'missing title' FROM d WHERE doc_id % 3 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, CAST(-doc_id AS VARCHAR), '', 'Remote ' || lang, NULL, '', 'remote', NULL, 'empty title' FROM d WHERE doc_id % 3 = 1
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'None', 'ok', 'Remote ' || lang, NULL, '', 'remote', NULL, NULL FROM d WHERE doc_id % 3 = 2""")
+def board_greenhouse(spark, d):
+    return _parsed(_greenhouse(spark, d), "greenhouse")
+
+
+def _parsed(payloads, layout, *more):
+    return boards.parse(payloads, layout).select("board", "pos", F.col("provider_posting_id").alias("id"), "title", F.array_join("locations", "|").alias("places"), "department", F.col("body_text").alias("body"), F.col("remote_policy").alias("policy"), "posted_at", *more, "error")
+
+
+def _greenhouse(spark, d):
+    third = F.when(F.col("doc_id") % 3 == 0, F.format_string('{"id":%d}', -F.col("doc_id"))).when(F.col("doc_id") % 3 == 1, F.format_string('{"id":%d,"title":" \\t","location":{"name":"Remote %s"}}', -F.col("doc_id"), "lang")).otherwise(F.format_string('{"id":null,"title":"old","title":"ok","location":{"name":"Remote %s"}}', "lang"))
+    name = lambda c: F.struct(F.col(c).alias("name"))
+    content = F.concat(F.lit("&lt;div title=&quot;a&gt;b&quot;&gt;R&amp;amp;D &amp;lt;"), "lang", F.lit("&amp;gt;&lt;/div&gt;&amp;#233;"))
+    job = F.struct(F.col("doc_id").alias("id"), F.concat(F.lit(" "), F.substring("text", 1, 20)).alias("title"), content.alias("content"), name("lang").alias("location"), F.array(name("source"), name("lang")).alias("offices"), F.array(name("source")).alias("departments"), F.lit("2024-01-02T03:04:05+02:00").alias("first_published"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("board"), F.concat(F.lit('{"jobs":['), F.to_json(job), F.lit(","), third, F.lit("]}")).alias("content"))
+
+
+@query(r"""SELECT CAST(doc_id AS VARCHAR) AS board, 0 AS pos, CAST(doc_id AS VARCHAR) AS id, 'Clerk' AS title, CASE doc_id % 3 WHEN 0 THEN lang || '|' || lang WHEN 1 THEN source ELSE '' END AS places, source AS department, substring(text, 1, 30) || chr(10) || chr(10) || 'more' AS body, 'unknown' AS policy,
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE TIMESTAMP '2023-11-14 22:13:20.123' + to_seconds(doc_id) END AS posted_at, CASE WHEN doc_id % 5 = 0 THEN 'time out of range' END AS error FROM documents""")
+def board_lever(spark, d):
+    return _parsed(_lever(spark, d), "lever")
+
+
+def _lever(spark, d):
+    created = F.expr("case doc_id % 5 when 0 then '9223372036854775807' when 1 then '\"soon\"' else cast(1700000000123 + doc_id * 1000 as string) end")
+    every = F.expr("case doc_id % 3 when 0 then array(lang, '', lang) when 2 then array('') end")
+    job = F.struct(F.col("doc_id").alias("id"), F.lit("Clerk").alias("text"), F.struct(F.col("source").alias("team"), F.col("source").alias("location"), every.alias("allLocations")).alias("categories"), F.substring("text", 1, 30).alias("descriptionPlain"), F.lit("more").alias("additionalPlain"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("board"), F.concat(F.lit("["), F.regexp_replace(F.to_json(job), r"\}$", ""), F.lit(',"createdAt":'), created, F.lit("}]")).alias("content"))
+
+
+@query(r"""WITH d AS (SELECT *, doc_id % 7 AS m FROM documents) SELECT CAST(doc_id AS VARCHAR) AS board, 0 AS pos, CAST(doc_id AS VARCHAR) AS id, 'Clerk' AS title, lang || '|' || source AS places, lang AS department, lang AS body, CASE WHEN m = 1 THEN 'remote' ELSE 'unknown' END AS policy, TIMESTAMP '2024-01-02 00:00:00' AS posted_at,
+  CASE WHEN m = 1 THEN CAST(doc_id + 0.5 AS DOUBLE) END AS salary_min, CASE WHEN m < 2 THEN CAST(9 AS DOUBLE) END AS salary_max, CASE WHEN m < 2 OR m = 6 THEN 'EUR' END AS salary_currency, CASE WHEN m < 2 OR m = 6 THEN 'year' END AS salary_period, CASE WHEN m = 6 THEN 'pay is no number' END AS error FROM d""")
+def board_ashby(spark, d):
+    return _parsed(_ashby(spark, d), "ashby", "salary_min", "salary_max", "salary_currency", "salary_period")
+
+
+def _ashby(spark, d):
+    """Pay by the remainder of 7: one-sided, two-sided, equity, two parts, unknown interval, no currency, no number."""
+    m = F.col("doc_id") % 7
+    part = F.struct(
+        F.when(m == 2, "Equity").otherwise("Salary").alias("compensationType"), F.when(m == 4, "1 AGE").otherwise("1 year").alias("interval"), F.when(m != 5, "EUR").alias("currencyCode"),
+        F.when(m == 6, "much").when(m > 0, F.concat(F.col("doc_id").cast("string"), F.lit(".5"))).alias("minValue"), F.when(m != 6, 9).alias("maxValue"),
+    )
+    parts = F.when(m == 3, F.array(part, part)).otherwise(F.array(part))
+    job = F.struct(F.col("doc_id").alias("id"), F.lit("Clerk").alias("title"), F.col("lang").alias("location"), F.array(F.struct(F.col("source").alias("location")), F.struct(F.col("lang").alias("location"))).alias("secondaryLocations"), F.col("lang").alias("department"), F.format_string("<p>%s</p><script>x</script>", "lang").alias("descriptionHtml"), (m == 1).alias("isRemote"), F.lit("2024-01-02").alias("publishedAt"), F.struct(F.array(F.struct(parts.alias("components"))).alias("compensationTiers")).alias("compensation"))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("board"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("content"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS board, 7::BIGINT AS run_id, CASE WHEN doc_id % 5 = 4 THEN 'failed' WHEN doc_id % 3 = 2 THEN 'complete' ELSE 'partial' END AS status, CASE WHEN doc_id % 5 = 4 THEN 0 WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS listed, CASE WHEN doc_id % 5 = 4 THEN 'invalid board payload: not JSON' END AS error, CASE WHEN doc_id % 5 = 4 THEN 'invalid board payload: not JSON' WHEN doc_id % 3 = 0 THEN '1 of 2 jobs failed to parse: job ' || -doc_id || ': missing title' WHEN doc_id % 3 = 1 THEN '1 of 2 jobs failed to parse: job ' || -doc_id || ': empty title' END AS told FROM documents""")
+def scan_log(spark, d):
+    p = _greenhouse(spark, d).withColumn("content", F.when(F.col("board").cast("long") % 5 == 4, "<html>").otherwise(F.col("content")))
+    status = boards.snapshot_status(boards.parse(p, "greenhouse"))
+    return boards.scan_rows(status, 7, F.lit(NOW)).join(status.select("board", F.col("error").alias("told")), "board").select("board", "run_id", "status", "listed", "error", "told")
+
+
+FAMILIES = "['iOS Engineer', 'Site Reliability Engineer', 'Analytics Engineer', 'Machine Learning Scientist', 'Full-Stack Developer', 'Front End Developer', 'Back-end Developer', 'AppSec Analyst', 'Clerk']"
+
+
+@query(f"SELECT p_partkey, ['mobile', 'devops_sre', 'data_eng', 'ml_ai', 'fullstack', 'frontend', 'backend', 'security', 'general_swe'][p_partkey % 9 + 1] AS family FROM part")
+def role_families(spark, d):
+    title = F.element_at(F.expr(f"array({FAMILIES[1:-1]})"), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", X.role_family(F.concat_ws(" ", title, "p_type")).alias("family"))
+
+
+@query(f"WITH {POSTINGS} SELECT posting_id, n_nationkey AS company_id, title, CASE WHEN l.doc_id IS NOT NULL THEN 'x' END AS skill FROM postings JOIN nation ON company = 'src' || n_nationkey LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = posting_id WHERE status = 'open'")
+def shortlist_candidates(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("company_id"), F.concat(F.lit("src"), "n_nationkey").alias("company"))
+    p = postings(spark, d).join(names, "company").drop("company").withColumn("content_hash", X.content_hash(F.col("body_text")))
+    done = p.join(table(spark, d, "labels").select(F.col("doc_id").alias("posting_id")).distinct(), "posting_id", "left_semi")
+    memo = done.select("posting_id", "content_hash", F.lit("taxonomy").alias("kind"), F.lit(WORDS.version).alias("engine_version"), F.array(F.lit("x")).alias("skills"))
+    return shortlist.candidates(p, names, memo, WORDS.version).select("posting_id", "company_id", "title", F.get("skills", F.lit(0)).alias("skill"))
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, {SCORED} SELECT posting_id, position, detail FROM (SELECT posting_id, 0 AS position, CASE WHEN cov IS NOT NULL THEN 'covers ' || n_covered || '/' || n_skills || ' skills' ELSE 'no recognized skills in this posting' END AS detail FROM scored UNION ALL SELECT posting_id, 1, 'no target titles set' FROM scored UNION ALL SELECT posting_id, 2, 'exp decay, half-life 14d' FROM scored UNION ALL SELECT posting_id, 3, 'exact / remote-OK / mismatch -> 1 / 0.5 / 0' FROM scored)")
+def component_details(spark, d):
+    return shortlist.explain(ranked(spark, d)).select("posting_id", "position", "detail")
+
+
+@query(f"WITH {HISTORY} SELECT CAST(seq AS INT) AS seq, count(*) AS boards_attempted, count(*) FILTER (status = 'complete') AS boards_complete, count(*) FILTER (status = 'failed') AS n_errors FROM scans GROUP BY seq")
+def run_rollup(spark, d):
+    counts = state.history_events(history(spark, d)).groupBy("board", "seq").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "reopened", "closed")))
+    log = board_scan_log(spark, d).join(counts, ["board", "seq"], "left").withColumn("error", F.concat(F.lit("no answer of "), "board"))
+    return tables.run_summary(log, ("seq",)).select("seq", "boards_attempted", "boards_complete", F.size("errors").cast("long").alias("n_errors"))
+
+
+@query(f"WITH {HISTORY} SELECT count(*) + 5 AS n, count(*) + 5 AS top, 1::BIGINT AS least, count(*) FILTER (kind = 'closed') AS closed FROM evs")
+def event_log(spark, d):
+    """Numbered events after a log of five: the ids are 1 to n."""
+    log = spark.range(1, 6).selectExpr("id", "'b' as board", "cast(0 as bigint) as posting_id", "0 as seq", "'new' as kind")
+    out = state.append_events(log, state_events(spark, d), ("board", "posting_id", "seq", "kind"))
+    return out.agg(F.countDistinct("id").alias("n"), F.max("id").alias("top"), F.min("id").alias("least"), F.count_if(F.col("kind") == "closed").alias("closed"))
+
+
+@query("""WITH s AS (SELECT source AS board, CASE (ascii(right(source, 1)) % 4) WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'failed' ELSE 'complete' END AS scan FROM documents GROUP BY ALL),
+x AS (SELECT doc_id, source, scan, doc_id % 5 <> 0 AS known, doc_id % 2 = 0 AS was_closed, doc_id % 3 <> 0 AND scan IN ('complete', 'partial') AS listed, doc_id % 7 = 0 AS edited, doc_id % 11 = 0 AS missed_before FROM documents JOIN s ON board = source)
+SELECT doc_id AS posting_id, CASE WHEN listed THEN 'open' WHEN was_closed THEN 'closed' WHEN scan = 'complete' AND missed_before THEN 'closed' ELSE 'open' END AS status,
+  CASE WHEN listed THEN 0 WHEN was_closed THEN 2 WHEN scan = 'complete' THEN CASE WHEN missed_before THEN 2 ELSE 1 END ELSE CASE WHEN missed_before THEN 1 ELSE 0 END END AS missing,
+  CASE WHEN listed THEN 'new title' ELSE 'old title' END AS title, CASE WHEN listed THEN 'remote' ELSE 'unknown' END AS remote_policy, CASE WHEN listed AND (edited OR NOT known) THEN 'new body' ELSE 'old body' END AS body_text,
+  CASE WHEN listed AND NOT known THEN 'new' WHEN listed AND was_closed AND edited THEN 'reopened,revised' WHEN listed AND was_closed THEN 'reopened' WHEN listed AND edited THEN 'revised' WHEN NOT listed AND NOT was_closed AND scan = 'complete' AND missed_before THEN 'closed' END AS kinds FROM x WHERE known OR listed""")
+def apply_scan(spark, d):
+    """One scan of every board on a state made of the documents."""
+    t = table(spark, d, "documents").select(F.col("source").alias("board"), F.col("doc_id").alias("posting_id"))
+    old = t.where("posting_id % 5 != 0").selectExpr("*", "'h' as content_hash", "'old body' as body_text", "'old title' as title", "'unknown' as remote_policy", "if(posting_id % 2 = 0, 'closed', 'open') as status", "case when posting_id % 2 = 0 then 2 when posting_id % 11 = 0 then 1 else 0 end as missing", f"timestamp_ntz'{NOW}' as first_seen", f"timestamp_ntz'{NOW}' as last_seen", "cast(null as timestamp_ntz) as closed_at")
+    new = t.where("posting_id % 3 != 0").selectExpr("*", "if(posting_id % 7 = 0, 'g', 'h') as content_hash", "'new body' as body_text", "'new title' as title", "'remote' as remote_policy")
+    scan = t.select("board").distinct().selectExpr("board", "element_at(array('complete', 'partial', 'failed', 'complete'), ascii(right(board, 1)) % 4 + 1) as status")
+    out, events = state.apply_snapshot(old, new, scan, F.lit(NOW))
+    kinds = events.groupBy("board", "posting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "kind"))), lambda x: x["kind"]), ",").alias("kinds"))
+    return out.join(kinds, ["board", "posting_id"], "left").select("posting_id", "status", "missing", "title", "remote_policy", "body_text", "kinds")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'e' || c_custkey ELSE 'old' END AS etag, c_acctbal > 0 AS cached FROM customer WHERE c_acctbal > 0 OR c_nationkey % 2 = 0")
+def persisted_validators(spark, d):
+    """Validators after a scan, from complete scans that showed some; then the requests that will send them."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", F.col("c_custkey").cast("string").alias("url"))
+    cache = c.where("c_acctbal > 0").select("url", F.lit("old").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    seen = c.select("url", F.when(F.col("c_nationkey") % 2 == 0, "complete").when(F.col("c_nationkey") % 5 == 0, "complete").otherwise("partial").alias("status"), F.when((F.col("c_nationkey") % 2 == 0) | (F.col("c_nationkey") % 5 != 0), F.concat(F.lit("e"), "url")).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    return tables.requests(c, tables.persist_validators(cache, seen)).where("etag is not null").select("c_custkey", "etag", (F.col("c_acctbal") > 0).alias("cached"))
+
+
+@query("SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS provider FROM supplier WHERE s_acctbal > 0")
+def watched_providers(spark, d):
+    return tables.providers(table(spark, d, "supplier").select((F.col("s_acctbal") > 0).alias("watched"), F.col("s_nationkey").cast("string").alias("provider")))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels)")
+def posting_lookup(spark, d):
+    wanted = table(spark, d, "labels").agg(F.min("doc_id")).first()[0]
+    return tables.by_id(table(spark, d, "documents"), "doc_id", wanted).select("doc_id", "text")
+
+
+@query("SELECT 3::BIGINT AS run_id, TIMESTAMP '2024-01-31 00:00:00' AS started_at, count(*) AS boards_attempted, count(*) FILTER (status = 'complete') AS boards_complete, TIMESTAMP '2024-02-01 00:00:00' AS finished_at FROM (" + f"WITH {HISTORY} SELECT * FROM scans" + ")")
+def run_record(spark, d):
+    """A run that is opened after two others and finalized with the summary of its scans."""
+    runs = spark.range(1, 3).selectExpr("id as run_id", "timestamp_ntz'2024-01-01 00:00:00' as started_at", "timestamp_ntz'2024-01-01 01:00:00' as finished_at", "1L as boards_attempted", "1L as boards_complete")
+    log = board_scan_log(spark, d).selectExpr("*", "0L as new", "0L as reopened", "0L as closed", "'x' as error")
+    out = tables.finalize_run(tables.open_run(runs, F.lit(NOW)), 3, tables.run_summary(log), F.lit("2024-02-01 00:00:00"))
+    return tables.by_id(out, "run_id", 3).select("run_id", "started_at", "boards_attempted", "boards_complete", "finished_at")
+
+
+@query(rf"SELECT p_partkey, list_sort(list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(p_name || ' {p.name} x', '(?i)\b{p.name}\b') AND p_partkey % 2 = 0 THEN '{p.name}' END" for p in WORDS.patterns[:1]) + "], lambda x: x IS NOT NULL)) AS skills, p_partkey % 2 = 0 AS stale FROM part")
+def profile_refresh(spark, d):
+    """Profiles of another taxonomy version get their skills anew; the others keep what they have."""
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" the x")).alias("text"), F.array().cast("array<string>").alias("skills"), F.when(F.col("p_partkey") % 2 == 0, "old").otherwise(WORDS.version).alias("taxonomy_version"))
+    stale = tables.stale_profile(p, WORDS.version).select("p_partkey", F.lit(True).alias("stale"))
+    return tables.refresh_profile(p, WORDS).join(stale, "p_partkey", "left").select("p_partkey", "skills", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ') AS parts, lower(p_brand) AS slug, array_to_string(list_transform(string_split(lower(replace(p_name, ' ', '-')), '-'), lambda w: upper(w[1]) || w[2:]), '-') AS name FROM part")
+def list_fields(spark, d):
+    t = table(spark, d, "part")
+    return t.select("p_partkey", X.split_csv(F.concat(F.lit("\n, "), F.replace("p_name", F.lit(" "), F.lit(" ,\n")), F.lit(","))).alias("parts"), X.slug(F.concat(F.lit(" "), "p_brand")).alias("slug"), X.display_name(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("name"))
+
+
+@query("SELECT coalesce(l.doc_id, d.doc_id) AS posting_id, CASE WHEN l.doc_id IS NOT NULL THEN 'kept' ELSE 'added' END AS payload FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def insert_extractions(spark, d):
+    """Extractions are inserted once: what the memo has stays as it is."""
+    row = lambda t, said: t.select(F.col("doc_id").alias("posting_id"), F.lit("h").alias("content_hash"), F.lit("taxonomy").alias("kind"), F.lit("v").alias("engine_version"), F.lit(said).alias("payload"))
+    keys = ["posting_id", "content_hash", "kind", "engine_version"]
+    return tables.insert_if_absent(row(table(spark, d, "labels").select("doc_id").distinct(), "kept"), row(table(spark, d, "documents"), "added"), keys).select("posting_id", "payload")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,36 +39,53 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings, one row of the table at a time."""
-    x, y, n = F.split(a, ""), F.split(b, ""), F.length(b)
-    zero = F.array_repeat(F.lit(0), n + 1)
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a bit of a number for each letter of ``a``."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for ch in b:
+        hit = row & at.get(ch, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
 
-    def row(before, ch):
-        cells = F.sequence(F.lit(1), n)
-        return F.aggregate(cells, F.array(F.lit(0)), lambda cur, j: F.array_append(cur, F.when(F.element_at(y, j) == ch, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(before, j + 1), F.element_at(cur, -1)))))
 
-    return F.when((F.length(a) > 0) & (n > 0), F.element_at(F.aggregate(x, zero, row), -1)).otherwise(0)
+_BETWEEN = regex.compile(r"[^\p{L}\p{N}]+")
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Similarity 0 to 100 of two strings as sets of lower-case words: the shared words against each remainder."""
-    tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda x: x != "")))
-    ta, tb = tokens(a), tokens(b)
-    join = lambda x: F.array_join(x, " ")
-    both, only_a, only_b = (join(F.array_sort(x)) for x in (F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)))
-    s, la, lb = F.length(both), F.length(only_a), F.length(only_b)
-    sep = F.when(s > 0, 1).otherwise(0)
-    sab, sba = s + sep + la, s + sep + lb
-    r1 = 100 - 100 * (la + lb - 2 * _common_subsequence(only_a, only_b)) / (sab + sba)
-    r2 = F.when(s > 0, F.greatest(100 - 100 * (sep + la) / (s + sab), 100 - 100 * (sep + lb) / (s + sba)))
-    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).when((s > 0) & ((la == 0) | (lb == 0)), 100.0).otherwise(F.greatest(r1, r2))
+def words_of(text: str | None) -> frozenset[str]:
+    return frozenset(x for x in _BETWEEN.split((text or "").lower()) if x)
+
+
+def token_set_ratio(ta: frozenset[str], tb: frozenset[str]) -> float:
+    """Similarity 0 to 100 of two sets of words: the shared words against each remainder."""
+    if not ta or not tb:
+        return 0.0
+    both, only_a, only_b = (" ".join(sorted(x)) for x in (ta & tb, ta - tb, tb - ta))
+    s, la, lb = len(both), len(only_a), len(only_b)
+    if s and not (la and lb):
+        return 100.0
+    sep = 1 if s else 0
+    best = 100 - 100 * (la + lb - 2 * common_subsequence(only_a, only_b)) / (2 * (s + sep) + la + lb)
+    if s:
+        best = max(best, 100 - 100 * (sep + la) / (s + s + sep + la), 100 - 100 * (sep + lb) / (s + s + sep + lb))
+    return best
 
 
 def title_match(title: Column, targets: list[str]) -> Column:
+    """The best similarity, 0 to 1, of a title and a target; null without targets. Equal titles of a batch are compared once."""
     if not targets:
         return F.lit(None).cast("double")
-    return F.greatest(*(token_set_ratio(title, F.lit(t)) for t in targets), F.lit(0.0)) / 100
+    wanted = [words_of(t) for t in targets]
+
+    def match(titles: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(titles, use_na_sentinel=False)
+        best = [max(token_set_ratio(words_of(t if isinstance(t, str) else None), w) for w in wanted) / 100 for t in distinct]
+        return pd.Series(best, dtype="float64").take(codes).reset_index(drop=True)
+
+    return F.pandas_udf(match, "double")(title)
 
 
 def skill_coverage(posting: Column, profile: list[str]) -> Column:
@@ -119,3 +138,14 @@ def why(coverage: Column, n_covered: Column, n_skills: Column, match: Column, po
     parts = F.array(F.when(coverage.isNotNull(), F.format_string("covers %d/%d skills", n_covered, n_skills)), F.when(match >= 0.8, "title"), F.when(posted_at.isNotNull(), F.concat(F.floor(age_days(posted_at, now)).cast("string"), F.lit("d"))))
     text = F.array_join(F.array_compact(parts), " · ")
     return F.when(text == "", "no ranking signals").otherwise(text)
+
+
+def details(coverage: Column, n_covered: Column, n_skills: Column, match: Column, recent: Column, fit: Column, half_life_days: float = 14.0) -> list[Column]:
+    """A line for each component that says what it stands for, or why it is undefined."""
+    either = lambda c, yes, no: F.when(c.isNotNull(), F.lit(yes)).otherwise(F.lit(no))
+    return [
+        F.when(coverage.isNotNull(), F.format_string("covers %d/%d skills", n_covered, n_skills)).when(n_skills > 0, "no recognized skills in your profile").otherwise("no recognized skills in this posting"),
+        either(match, "best fuzzy match over target titles", "no target titles set"),
+        either(recent, f"exp decay, half-life {half_life_days:g}d", "posting date unknown"),
+        either(fit, "exact / remote-OK / mismatch -> 1 / 0.5 / 0", "no location preferences set"),
+    ]

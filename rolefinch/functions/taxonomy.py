@@ -27,7 +27,8 @@ class TaxonomyError(ValueError):
 
 
 class Taxonomy:
-    def __init__(self, patterns: list[Pattern]):
+    def __init__(self, patterns: list[Pattern], document: object = None):
+        """``document`` is what the version is taken from: the whole file an own taxonomy was read from."""
         if not patterns:
             raise TaxonomyError("the taxonomy has no patterns")
         seen = set()
@@ -42,8 +43,9 @@ class Taxonomy:
             except re.error as e:
                 raise TaxonomyError(f"{p.name}: {e}") from e
         self.patterns = patterns
-        canonical = json.dumps([list(p) for p in patterns], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        self.version = hashlib.sha256(f"{canonical}|revision={REVISION}".encode()).hexdigest()
+        document = document or {"version": 1, "patterns": [p._asdict() for p in patterns]}
+        canonical = json.dumps(document, sort_keys=True, separators=(",", ":"))
+        self.version = hashlib.sha256(f"{canonical}|extractor_revision={REVISION}".encode()).hexdigest()
 
     def skills(self, text: Column) -> Column:
         """Names of the patterns that occur in the text, in code-point order."""
@@ -56,16 +58,31 @@ class Taxonomy:
 
 
 def load(path: str | Path | None = None) -> Taxonomy:
-    """A file of lines ``name <tab> category <tab> i or c <tab> pattern``; an own file replaces the bundled one."""
+    """The bundled taxonomy, or an own file that replaces it: YAML with a list ``patterns`` of mappings, or lines ``name <tab> category <tab> i or c <tab> pattern``."""
     source = Path(path) if path else BUNDLED
-    out = []
-    for n, line in enumerate(source.read_text(encoding="utf-8").splitlines(), 1):
-        if line and not line.startswith("#"):
-            parts = line.split("\t")
-            if len(parts) != 4 or parts[2] not in ("i", "c"):
-                raise TaxonomyError(f"{source}, line {n}: four fields are required")
-            out.append(Pattern(parts[0], parts[1], parts[3], parts[2] == "c"))
+    out, document = [], None
     try:
-        return Taxonomy(out)
+        if source.suffix in (".yaml", ".yml"):
+            import yaml
+
+            try:
+                document = yaml.safe_load(source.read_text(encoding="utf-8"))
+            except yaml.YAMLError as e:
+                raise TaxonomyError(str(e)) from e
+            listed = document.get("patterns") if isinstance(document, dict) else None
+            if not isinstance(listed, list):
+                raise TaxonomyError("a list of patterns is required")
+            for n, x in enumerate(listed, 1):
+                if not isinstance(x, dict):
+                    raise TaxonomyError(f"pattern {n}: a mapping is required")
+                out.append(Pattern(*(x.get(k) or "" for k in ("name", "category", "pattern")), bool(x.get("case_sensitive", False))))
+        else:
+            for n, line in enumerate(source.read_text(encoding="utf-8").splitlines(), 1):
+                if line and not line.startswith("#"):
+                    parts = line.split("\t")
+                    if len(parts) != 4 or parts[2] not in ("i", "c"):
+                        raise TaxonomyError(f"line {n}: four fields are required")
+                    out.append(Pattern(parts[0], parts[1], parts[3], parts[2] == "c"))
+        return Taxonomy(out, document)
     except TaxonomyError as e:
         raise TaxonomyError(f"{source}: {e}") from e

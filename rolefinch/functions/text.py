@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,21 +49,57 @@ def content_hash(c: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """All HTML entities, named and numeric, decoded once."""
-    return F.udf(_unescaped, "string")(c)
+    return F.pandas_udf(_unescaped, "string")(c)
 
 
-def _unescaped(s: str | None) -> str | None:
-    return None if s is None else html.unescape(s)
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+class _Visible(HTMLParser):
+    """Collects visible text; block tags put a newline before and after what they hold."""
+
+    HIDDEN = frozenset(("head", "script", "style"))
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "body":
+            self.hidden.clear()
+        elif tag in self.HIDDEN:
+            self.hidden.append(tag)
+        elif tag in BLOCK_TAGS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            self.hidden = self.hidden[: self.hidden.index(tag)]
+        elif tag in BLOCK_TAGS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data.replace("\n", " "))
+
+
+def visible_text(source: str | None) -> str:
+    parser = _Visible()
+    parser.feed(source or "")
+    parser.close()
+    lines = (" ".join(x.split()) for x in "".join(parser.parts).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def _visible_texts(sources: pd.Series) -> pd.Series:
+    return sources.map(visible_text)
 
 
 def html_to_text(c: Column) -> Column:
     """Visible text: block tags break lines, other tags vanish, entities decode, blank lines go; null gives an empty text."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<!--.*?-->|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>", "")
-    c = F.regexp_replace(c, r"[\r\n]", " ")
-    c = F.regexp_replace(c, rf"(?i)</?({'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n")
-    c = unescape(F.regexp_replace(c, r"<[^>]*>", ""))
-    lines = F.transform(F.split(c, "\n"), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return F.pandas_udf(_visible_texts, "string")(c)
 
 
 def role_family(title: Column) -> Column:
@@ -72,6 +110,15 @@ def role_family(title: Column) -> Column:
     return out
 
 
+def posting_key(company: Column, posting: Column) -> Column:
+    return F.struct(company.alias("company_id"), posting.alias("provider_posting_id"))
+
+
+def naive_utc(c: Column) -> Column:
+    """A timestamp as naive UTC; the session's time zone has to be UTC."""
+    return c.cast("timestamp").cast("timestamp_ntz")
+
+
 def split_csv(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.translate(c, "\n", ","), ","), strip), lambda x: x != "")
 

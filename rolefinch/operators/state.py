@@ -20,55 +20,83 @@ def validated(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("_n", n).withColumn("posting_id", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("listed twice: "), F.col("posting_id").cast("string")))).otherwise(F.col("posting_id"))).drop("_n")
 
 
+#: What a listing refreshes although its content is the same, as far as state and snapshot have it.
+MUTABLE = ("title", "normalized_title", "url", "locations", "remote_policy", "department", "posted_at", "updated_at", "salary_min", "salary_max", "salary_currency", "salary_period", "raw_json")
+
+
 def apply_snapshot(state: DataFrame, snapshot: DataFrame, scans: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """(new state, events) after one scan of each board.
 
-    ``state(board, posting_id, content_hash, body_text, title, status, missing, first_seen, last_seen, closed_at)``,
-    ``snapshot(board, posting_id, content_hash, body_text, title)``, ``scans(board, status)``, ``now`` a column. One
+    ``state(board, posting_id, content_hash, body_text, MUTABLE..., status, missing, first_seen, last_seen, closed_at)``,
+    ``snapshot(board, posting_id, content_hash, body_text, MUTABLE...)``, ``scans(board, status)``, ``now`` a column. One
     join on (board, posting) gives both; boards that are not scanned keep their state.
     """
     at = now.cast("timestamp_ntz")
+    mutable = [c for c in MUTABLE if c in state.columns and c in snapshot.columns]
     lists = scans.where(F.col("status").isin("complete", "partial")).select("board", F.col("status").alias("scan"))
-    new = validated(snapshot.join(lists, "board", "left_semi")).select("board", "posting_id", *(F.col(c).alias(f"new_{c}") for c in ("content_hash", "body_text", "title")), F.lit(True).alias("listed"))
+    new = validated(snapshot.join(lists, "board", "left_semi")).select("board", "posting_id", *(F.col(c).alias(f"new_{c}") for c in ("content_hash", "body_text", *mutable)), F.lit(True).alias("listed"))
     j = state.withColumn("known", F.lit(True)).join(new, ["board", "posting_id"], "full").join(lists, "board", "left")
     listed, known = F.coalesce("listed", F.lit(False)), F.coalesce("known", F.lit(False))
     missed = ~listed & (F.col("scan") == "complete") & (F.col("status") == "open")
     closes = F.coalesce(missed & (F.col("missing") + 1 >= MISSES), F.lit(False))
     revised = listed & known & (F.col("new_content_hash") != F.col("content_hash"))
-    takes_body = listed & (~known | revised)  # an edit that leaves the hash leaves the stored text
-    events = j.select("board", "posting_id", F.explode(F.array_compact(F.array(F.when(listed & ~known, "new"), F.when(listed & known & (F.col("status") == "closed"), "reopened"), F.when(revised, "revised"), F.when(closes, "closed")))).alias("kind"), at.alias("at"))
-    out = j.select(
-        "board", "posting_id", F.when(listed, F.col("new_content_hash")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(takes_body, F.col("new_body_text")).otherwise(F.col("body_text")).alias("body_text"),
-        F.when(listed, F.col("new_title")).otherwise(F.col("title")).alias("title"), F.when(listed, "open").when(closes, "closed").otherwise(F.col("status")).alias("status"),
-        F.when(listed, 0).when(missed, F.col("missing") + 1).otherwise(F.col("missing")).cast("int").alias("missing"), F.when(known, F.col("first_seen")).otherwise(at).alias("first_seen"),
-        F.when(listed, at).otherwise(F.col("last_seen")).alias("last_seen"), F.when(listed, F.lit(None)).when(closes, at).otherwise(F.col("closed_at")).alias("closed_at"),
-    )
-    return out, events
+    new_values = {
+        "content_hash": F.when(listed, F.col("new_content_hash")).otherwise(F.col("content_hash")),
+        "body_text": F.when(listed & (~known | revised), F.col("new_body_text")).otherwise(F.col("body_text")),  # an edit that leaves the hash leaves the stored text
+        **{c: F.when(listed, F.col(f"new_{c}")).otherwise(F.col(c)) for c in mutable},
+        "status": F.when(listed, "open").when(closes, "closed").otherwise(F.col("status")),
+        "missing": F.when(listed, 0).when(missed, F.col("missing") + 1).otherwise(F.col("missing")).cast("int"),
+        "first_seen": F.when(known, F.col("first_seen")).otherwise(at),
+        "last_seen": F.when(listed, at).otherwise(F.col("last_seen")),
+        "closed_at": F.when(listed, F.lit(None)).when(closes, at).otherwise(F.col("closed_at")),
+    }
+    kinds = F.array(F.when(listed & ~known, "new"), F.when(listed & known & (F.col("status") == "closed"), "reopened"), F.when(revised, "revised"), F.when(closes, "closed"))
+    events = j.select("board", "posting_id", F.posexplode(F.array_compact(kinds)).alias("step", "kind"), at.alias("at"))
+    return j.select(*(new_values.get(c, F.col(c)).alias(c) for c in state.columns)), events
+
+
+def append_events(log: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("board", "posting_id", "step"), buckets: int = 256) -> DataFrame:
+    """``log(id, ...)`` with ``events`` after it, numbered on from the greatest id without gaps.
+
+    Rows are numbered in buckets of a hash, in order of ``keys``; only the bucket sizes are summed in one place, so
+    no task sees all events. An id is a cursor: what is greater was appended later.
+    """
+    x = events.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    sizes = x.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.sum("n").over(W.orderBy("bucket")) - F.col("n")).drop("n")  # a row for each bucket
+    x = x.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(*keys))).join(F.broadcast(starts), "bucket")
+    x = x.crossJoin(F.broadcast(log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))))  # one row
+    return log.unionByName(x.withColumn("id", F.col("top") + F.col("start") + F.col("rank")).select(*log.columns))
 
 
 def replay_history(scans: DataFrame, listings: DataFrame) -> DataFrame:
-    """Every (board, posting, seq) from the first listing on, with ``listed, miss, pm, ph, content_hash``, by windows alone.
+    """A row for each listing of a complete or partial scan, with what follows it, by windows over listings alone.
 
     ``scans(board, seq, status)`` and ``listings(board, posting_id, seq, content_hash)``; listings of failed and
-    unchanged scans do not count.
+    unchanged scans do not count. ``gap`` is how many complete scans missed the posting since its listing before,
+    ``ahead`` how many miss it after this one and until its next, ``closing`` the scan of the second of them.
     """
-    per_board = W.partitionBy("board").orderBy("seq")
-    live = scans.where(F.col("status").isin("complete", "partial")).withColumn("cc", F.sum((F.col("status") == "complete").cast("int")).over(per_board))
-    good = listings.join(live.select("board", "seq"), ["board", "seq"], "left_semi")
-    first = good.groupBy("board", "posting_id").agg(F.min("seq").alias("first"))
-    spine = first.join(live, "board").where("seq >= first").select("board", "posting_id", "seq", "cc")
-    x = spine.join(good, ["board", "posting_id", "seq"], "left")
+    per_board = W.partitionBy("board")
+    live = scans.where(F.col("status").isin("complete", "partial")).withColumn("whole", (F.col("status") == "complete").cast("int"))
+    live = live.withColumn("cc", F.sum("whole").over(per_board.orderBy("seq"))).withColumn("total", F.sum("whole").over(per_board))
+    closings = live.where("whole = 1").select("board", (F.col("cc") - MISSES).alias("cc"), F.col("seq").alias("closing"))
+    live = live.join(closings, ["board", "cc"], "left").select("board", "seq", "whole", "cc", "total", "closing")
     w = W.partitionBy("board", "posting_id").orderBy("seq")
-    x = x.withColumn("listed", F.col("content_hash").isNotNull())
-    x = x.withColumn("miss", F.least(F.lit(MISSES), F.col("cc") - F.last(F.when(F.col("listed"), F.col("cc")), ignorenulls=True).over(w)))
-    return x.withColumn("pm", F.lag("miss").over(w)).withColumn("last_hash", F.last("content_hash", ignorenulls=True).over(w)).withColumn("ph", F.lag("last_hash").over(w))
+    x = listings.join(live, ["board", "seq"])
+    missed_before = F.col("cc") - F.col("whole") - F.lag("cc").over(w)
+    missed_after = F.coalesce(F.lead(F.col("cc") - F.col("whole")).over(w), F.col("total")) - F.col("cc")
+    return x.select("board", "posting_id", "seq", "content_hash", F.lag("content_hash").over(w).alias("before"), missed_before.alias("gap"), missed_after.alias("ahead"), "closing", F.lead("seq").over(w).isNull().alias("last"))
 
 
 def history_events(history: DataFrame) -> DataFrame:
-    kinds = F.array(F.when(F.col("ph").isNull(), "new"), F.when(F.col("listed") & (F.col("pm") >= MISSES), "reopened"), F.when(F.col("listed") & (F.col("ph") != F.col("content_hash")), "revised"), F.when(~F.col("listed") & (F.col("miss") == MISSES) & (F.col("pm") == MISSES - 1), "closed"))
-    return history.select("board", "posting_id", "seq", F.explode(F.array_compact(kinds)).alias("kind"))
+    known = F.col("before").isNotNull()
+    kinds = F.array(
+        F.when(~known, F.struct("seq", F.lit("new").alias("kind"))), F.when(known & (F.col("gap") >= MISSES), F.struct("seq", F.lit("reopened").alias("kind"))),
+        F.when(known & (F.col("before") != F.col("content_hash")), F.struct("seq", F.lit("revised").alias("kind"))), F.when(F.col("ahead") >= MISSES, F.struct(F.col("closing").alias("seq"), F.lit("closed").alias("kind"))),
+    )
+    return history.select("board", "posting_id", F.inline(F.array_compact(kinds)))
 
 
 def history_final(history: DataFrame) -> DataFrame:
-    last = history.groupBy("board", "posting_id").agg(F.max(F.struct("seq", "miss", "last_hash")).alias("z"))
-    return last.select("board", "posting_id", F.when(F.col("z.miss") >= MISSES, "closed").otherwise("open").alias("status"), F.col("z.miss").alias("missing"), F.col("z.last_hash").alias("content_hash"))
+    missing = F.least(F.lit(MISSES), F.col("ahead")).cast("int")
+    return history.where("last").select("board", "posting_id", F.when(missing >= MISSES, "closed").otherwise("open").alias("status"), missing.alias("missing"), "content_hash")

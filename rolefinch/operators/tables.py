@@ -19,10 +19,19 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti"))
 
 
-def missing_extractions(postings: DataFrame, extractions: DataFrame, version: str | Column, kind: str = "taxonomy") -> DataFrame:
-    """Open postings without a current extraction of their present content."""
+def missing_extractions(postings: DataFrame, extractions: DataFrame, version: str | Column, kind: str = "taxonomy", ordered: bool = False) -> DataFrame:
+    """Open postings without a current extraction of their present content, ``ordered`` by id if wanted."""
     current = extractions.where((F.col("kind") == kind) & (F.col("engine_version") == version)).select("posting_id", "content_hash")
-    return postings.where("status = 'open'").join(current, ["posting_id", "content_hash"], "left_anti")
+    out = postings.where("status = 'open'").join(current, ["posting_id", "content_hash"], "left_anti")
+    return out.orderBy("posting_id") if ordered else out
+
+
+def extraction_state(postings: DataFrame, extractions: DataFrame, version: str, kind: str = "taxonomy") -> DataFrame:
+    """``postings`` with ``extraction``: current, superseded (only for other content or another version) or missing."""
+    current = (F.col("e.engine_version") == version) & (F.col("e.content_hash") == F.col("p.content_hash"))
+    known = postings.alias("p").join(extractions.where(F.col("kind") == kind).alias("e"), "posting_id").groupBy("posting_id").agg(F.max(current.cast("int")).alias("now"))
+    said = F.when(F.col("now") == 1, "current").when(F.col("now") == 0, "superseded").otherwise("missing")
+    return postings.join(known, "posting_id", "left").withColumn("extraction", said).drop("now")
 
 
 def current_extractions(postings: DataFrame, extractions: DataFrame, version: str, kind: str = "taxonomy") -> DataFrame:
@@ -32,13 +41,57 @@ def current_extractions(postings: DataFrame, extractions: DataFrame, version: st
 
 def extract(postings: DataFrame, taxonomy, kind: str = "taxonomy") -> DataFrame:
     """Extraction rows of postings: the memo's key, the skills and their categories."""
-    x = postings.select("posting_id", "content_hash", F.lit(kind).alias("kind"), F.lit(taxonomy.version).alias("engine_version"), taxonomy.skills(F.col("body_text")).alias("skills"))
+    x = postings.select("posting_id", "content_hash", F.lit(kind).alias("kind"), F.lit(taxonomy.version).alias("engine_version"), F.explode(F.array(taxonomy.skills(F.col("body_text")))).alias("skills"))  # found once, though categories and filters use them
     return x.withColumn("categories", taxonomy.categories(F.col("skills")))
 
 
-def run_summary(scan_log: DataFrame) -> DataFrame:
-    """One row for a run from ``scan_log(board, status, listed, new, reopened, closed, error)``; only failed boards' errors are kept."""
-    return scan_log.agg(
+def refresh_profile(profile: DataFrame, taxonomy) -> DataFrame:
+    """``profile(..., text, skills, taxonomy_version)`` with skills found anew where another taxonomy version found them."""
+    stale = ~F.col("taxonomy_version").eqNullSafe(F.lit(taxonomy.version))
+    out = {"skills": F.when(stale, taxonomy.skills(F.col("text"))).otherwise(F.col("skills")), "taxonomy_version": F.lit(taxonomy.version)}
+    return profile.select(*(out.get(c, F.col(c)).alias(c) for c in profile.columns))
+
+
+def stale_profile(profile: DataFrame, version: str) -> DataFrame:
+    return profile.where(~F.col("taxonomy_version").eqNullSafe(F.lit(version)))
+
+
+def by_id(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; the filter reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def providers(companies: DataFrame) -> DataFrame:
+    """The different providers of watched companies."""
+    return companies.where("watched").select("provider").distinct()
+
+
+def requests(boards: DataFrame, http_cache: DataFrame) -> DataFrame:
+    """Boards with the validators last kept for their url, null where there are none."""
+    return boards.join(http_cache.select("url", "etag", "last_modified"), "url", "left")
+
+
+def persist_validators(http_cache: DataFrame, observed: DataFrame) -> DataFrame:
+    """``http_cache(url, etag, last_modified)`` after a scan: only complete scans count, and only if they showed validators."""
+    new = observed.where("status = 'complete' and (etag is not null or last_modified is not null)").select("url", "etag", "last_modified")
+    return upsert(http_cache, new, ["url"], ["etag", "last_modified"])
+
+
+def open_run(runs: DataFrame, started_at: Column) -> DataFrame:
+    """``runs`` with a new row, its id one more than the greatest, that counts nothing yet."""
+    row = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).alias("run_id")).select("run_id", started_at.cast("timestamp_ntz").alias("started_at"))
+    return runs.unionByName(row.withColumn("boards_attempted", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def finalize_run(runs: DataFrame, run_id: int, summary: DataFrame, finished_at: Column) -> DataFrame:
+    """``runs`` with the counts of ``summary`` (one row) and the end in the row of ``run_id``."""
+    counts = summary.select(F.lit(run_id).cast("long").alias("run_id"), finished_at.cast("timestamp_ntz").alias("finished_at"), *(c for c in summary.columns if c in runs.columns))
+    return upsert(runs, counts.unionByName(runs.limit(0), allowMissingColumns=True).select(*runs.columns), ["run_id"], [c for c in counts.columns if c != "run_id"])
+
+
+def run_summary(scan_log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for a run (for each value of ``by``) from ``scan_log(board, status, listed, new, reopened, closed, error)``; only failed boards' errors are kept."""
+    return scan_log.groupBy(*by).agg(
         F.count("*").alias("boards_attempted"), F.count_if(F.col("status") == "complete").alias("boards_complete"), F.coalesce(F.sum("listed"), F.lit(0)).alias("postings_seen"), F.coalesce(F.sum("new"), F.lit(0)).alias("new_count"),
         F.coalesce(F.sum("reopened"), F.lit(0)).alias("reopened_count"), F.coalesce(F.sum("closed"), F.lit(0)).alias("closed_count"), F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("error")))).alias("errors"),
     )

@@ -6,15 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..operators.tables import current_extractions
 
 COMPONENTS = ("skill_coverage", "title_match", "recency", "location_fit")
 
 
+def candidates(postings: DataFrame, companies: DataFrame, extractions: DataFrame, version: str) -> DataFrame:
+    """Open postings with their company's name and, from the memo, the skills of their present content (null if not extracted).
+
+    ``postings(posting_id, company_id, content_hash, status, ...)``, ``companies(company_id, company)``; unwatched
+    companies count too.
+    """
+    return current_extractions(postings.where("status = 'open'"), extractions, version).join(companies.select("company_id", "company"), "company_id")
+
+
 def score(postings: DataFrame, profile: S.Profile, now, weights: S.Weights = S.Weights(), half_life_days: float = 14.0, hard_location: bool = False) -> DataFrame:
     """Postings with ``skills`` that pass the hard filters, with their components, ``total`` and ``why``. Filters come first: titles are compared only for rows that stay."""
     now = F.lit(now).cast("timestamp_ntz")
     fit = S.location_fit(F.col("locations"), F.col("remote_policy"), profile)
     x = postings.where(S.passes(F.col("title"), fit, profile, hard_location))
+    x = x.withColumn("skills", F.explode(F.array("skills")))  # found once, though several columns use them
     x = x.withColumns({"skill_coverage": S.skill_coverage(F.col("skills"), profile.skills), "n_covered": S.covered(F.col("skills"), profile.skills), "n_skills": F.size("skills"), "title_match": S.title_match(F.col("title"), profile.target_titles), "recency": S.recency(F.col("posted_at"), now, half_life_days), "location_fit": fit})
     x = x.withColumn("total", S.total([F.col(c) for c in COMPONENTS], weights))
     return x.withColumn("why", S.why(F.col("skill_coverage"), F.col("n_covered"), F.col("n_skills"), F.col("title_match"), F.col("posted_at"), now))
@@ -24,7 +35,8 @@ def top(scored: DataFrame, n: int = 10) -> DataFrame:
     return scored.orderBy(F.col("total").desc(), "posting_id").limit(n)
 
 
-def explain(scored: DataFrame, weights: S.Weights = S.Weights()) -> DataFrame:
-    """Four rows for each posting, in order: value, weight and weighted value, null where undefined."""
-    rows = [F.struct(F.lit(k).alias("position"), F.lit(c).alias("component"), F.col(c).cast("double").alias("value"), F.lit(float(w)).alias("weight"), (F.col(c) * w).cast("double").alias("weighted")) for k, (c, w) in enumerate(zip(COMPONENTS, weights.values(), strict=True))]
+def explain(scored: DataFrame, weights: S.Weights = S.Weights(), half_life_days: float = 14.0) -> DataFrame:
+    """Four rows for each posting, in order: value, weight, weighted value (null where undefined) and detail."""
+    said = S.details(*(F.col(c) for c in ("skill_coverage", "n_covered", "n_skills", "title_match", "recency", "location_fit")), half_life_days)
+    rows = [F.struct(F.lit(k).alias("position"), F.lit(c).alias("component"), F.col(c).cast("double").alias("value"), F.lit(float(w)).alias("weight"), (F.col(c) * w).cast("double").alias("weighted"), said[k].alias("detail")) for k, (c, w) in enumerate(zip(COMPONENTS, weights.values(), strict=True))]
     return scored.select("posting_id", F.inline(F.array(*rows)))

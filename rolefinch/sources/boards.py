@@ -7,6 +7,7 @@ A payload is one JSON text of a board in one of three layouts: ``greenhouse`` (o
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text, strip, unescape
@@ -14,7 +15,8 @@ from ..functions.text import html_to_text, strip, unescape
 LAYOUTS = ("greenhouse", "lever", "ashby")
 # Pay intervals.
 INTERVALS = {"1 YEAR": "year", "1 MONTH": "month", "1 WEEK": "week", "1 DAY": "day", "1 HOUR": "hour"}
-RETRIED = (429, 500, 502, 503, 504)
+# The first and last millisecond that a time may have.
+EPOCH_MS = (-62_135_596_800_000, 253_402_300_799_999)
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -40,7 +42,18 @@ def iso_time(c: Column) -> Column:
 
 
 def epoch_ms(c: Column) -> Column:
-    return F.timestamp_millis(c).cast("timestamp_ntz")
+    """Milliseconds of the epoch as naive UTC; out of range is null."""
+    return F.when(c.between(*EPOCH_MS), F.timestamp_millis(c.cast("long"))).cast("timestamp_ntz")
+
+
+def _present(v: Column, path: str) -> Column:
+    x = F.variant_get(v, path, "variant")
+    return x.isNotNull() & ~F.is_variant_null(x)
+
+
+def _number(v: Column, path: str) -> Column:
+    """A JSON number; anything else is null."""
+    return F.when(F.schema_of_variant(F.variant_get(v, path, "variant")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _get(v, path, "double"))
 
 
 def remote_policy(locations: Column, flag: Column | None = None) -> Column:
@@ -49,14 +62,15 @@ def remote_policy(locations: Column, flag: Column | None = None) -> Column:
 
 
 def compensation(v: Column) -> Column:
-    """Pay as a struct, only for exactly one tier of exactly one salary with a known interval, a currency and a bound."""
+    """Pay as a struct, only for exactly one tier of exactly one salary with a known interval, a currency and a bound; ``bad`` if a bound is no number."""
     tiers = _get(v, "$.compensation.compensationTiers", "array<variant>")
     parts = _get(F.get(tiers, 0), "$.components", "array<variant>")
     one = F.get(parts, 0)
-    interval = F.try_element_at(F.create_map(*(F.lit(x) for kv in INTERVALS.items() for x in kv)), _get(one, "$.interval"))
+    interval = F.try_element_at(F.create_map(*(F.lit(x) for kv in INTERVALS.items() for x in kv)), F.upper(_get(one, "$.interval")))
     low, high, currency = _get(one, "$.minValue", "double"), _get(one, "$.maxValue", "double"), _get(one, "$.currencyCode")
-    ok = (F.size(tiers) == 1) & (F.size(parts) == 1) & (F.lower(_get(one, "$.compensationType")) == "salary") & interval.isNotNull() & (currency != "") & (low.isNotNull() | high.isNotNull())
-    return F.when(ok, F.struct(low.alias("salary_min"), high.alias("salary_max"), currency.alias("salary_currency"), interval.alias("salary_period")))
+    bad = (_present(one, "$.minValue") & low.isNull()) | (_present(one, "$.maxValue") & high.isNull())
+    ok = (F.size(tiers) == 1) & (F.size(parts) == 1) & (F.lower(_get(one, "$.compensationType")) == "salary") & interval.isNotNull() & (currency != "") & (_present(one, "$.minValue") | _present(one, "$.maxValue"))
+    return F.when(ok, F.struct(low.alias("salary_min"), high.alias("salary_max"), currency.alias("salary_currency"), interval.alias("salary_period"), bad.alias("bad")))
 
 
 def _fields(layout: str, v: Column) -> dict[str, Column]:
@@ -70,7 +84,7 @@ def _fields(layout: str, v: Column) -> dict[str, Column]:
         single = _get(v, "$.categories.location")
         places = F.when(F.size(_get(v, "$.categories.allLocations", "array<variant>")) > 0, every).when(single != "", F.array(single)).otherwise(F.array().cast("array<string>"))
         body = F.array_join(F.filter(F.array(_get(v, "$.descriptionPlain"), _get(v, "$.additionalPlain")), lambda x: x.isNotNull() & (x != "")), "\n\n")
-        return dict(id=_text(v, "$.id"), title=_text(v, "$.text"), url=_get(v, "$.hostedUrl"), locations=places, department=_get(v, "$.categories.team"), body_text=body, remote_policy=remote_policy(places), posted_at=epoch_ms(_get(v, "$.createdAt", "long")), updated_at=epoch_ms(_get(v, "$.updatedAt", "long")), pay=none)
+        return dict(id=_text(v, "$.id"), title=_text(v, "$.text"), url=_get(v, "$.hostedUrl"), locations=places, department=_get(v, "$.categories.team"), body_text=body, remote_policy=remote_policy(places), posted_at=epoch_ms(_number(v, "$.createdAt")), updated_at=epoch_ms(_number(v, "$.updatedAt")), pay=none, bad_time=F.coalesce(~_number(v, "$.createdAt").between(*EPOCH_MS), F.lit(False)) | F.coalesce(~_number(v, "$.updatedAt").between(*EPOCH_MS), F.lit(False)))
     if layout == "ashby":
         places = _dedup(F.concat(F.array(_get(v, "$.location")), _names(v, "$.secondaryLocations", "$.location")))
         remote = F.when(F.schema_of_variant(F.variant_get(v, "$.isRemote", "variant")) == "BOOLEAN", _get(v, "$.isRemote", "boolean"))
@@ -79,27 +93,46 @@ def _fields(layout: str, v: Column) -> dict[str, Column]:
 
 
 def elements(payloads: DataFrame, layout: str) -> DataFrame:
-    """One row for each element of ``payloads(board, content)``; a payload that is no inventory gives one row without an element."""
-    v = F.try_parse_json("content")
-    jobs = F.try_variant_get(v, "$" if layout == "lever" else "$.jobs", "array<variant>")
-    return payloads.select("board", jobs.alias("jobs")).select("board", F.col("jobs").isNotNull().alias("valid"), F.posexplode_outer("jobs").alias("pos", "raw"))
+    """One row for each element of ``payloads(board, content)``; a payload that is no inventory gives one row without an element and with its cause.
+
+    Of repeated JSON keys the last counts, for which the session's ``spark.sql.variant.allowDuplicateKeys`` is set.
+    """
+    payloads.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    x = payloads.select("board", F.try_parse_json("content").alias("v"))
+    jobs = F.try_variant_get("v", "$" if layout == "lever" else "$.jobs", "array<variant>")
+    cause = F.when(F.col("v").isNull(), "not JSON").when(jobs.isNull(), "no list of jobs")
+    return x.select("board", jobs.alias("jobs"), cause.alias("cause")).select("board", F.col("cause").isNull().alias("valid"), "cause", F.posexplode_outer("jobs").alias("pos", "raw"))
 
 
 def parse(payloads: DataFrame, layout: str) -> DataFrame:
-    """``board, valid, pos, provider_posting_id, title, ..., error``: every element, with its own error or none."""
+    """``board, valid, cause, pos, provider_posting_id, title, ..., error``: every element, with its own error or none."""
     e = elements(payloads, layout)
     f = _fields(layout, F.col("raw"))
-    title, pay = strip(f["title"]), f["pay"].cast("struct<salary_min double, salary_max double, salary_currency string, salary_period string>")
-    error = F.when(F.col("raw").isNotNull(), F.when(f["id"].isNull(), "missing id").when(f["title"].isNull(), "missing title").when(title == "", "empty title"))
-    return e.select("board", "valid", "pos", f["id"].alias("provider_posting_id"), title.alias("title"), F.coalesce(f["url"], F.lit("")).alias("url"), f["locations"].alias("locations"), f["department"].alias("department"), f["body_text"].alias("body_text"), f["remote_policy"].alias("remote_policy"), f["posted_at"].alias("posted_at"), f["updated_at"].alias("updated_at"), pay["salary_min"].alias("salary_min"), pay["salary_max"].alias("salary_max"), pay["salary_currency"].alias("salary_currency"), pay["salary_period"].alias("salary_period"), F.to_json("raw").alias("raw_json"), error.alias("error"))
+    title, pay = strip(f["title"]), f["pay"].cast("struct<salary_min double, salary_max double, salary_currency string, salary_period string, bad boolean>")
+    bad_pay, bad_time = F.coalesce(pay["bad"], F.lit(False)), f.get("bad_time", F.lit(False))
+    error = F.when(F.col("raw").isNotNull(), F.when(f["id"].isNull(), "missing id").when(f["title"].isNull(), "missing title").when(title == "", "empty title").when(bad_time, "time out of range").when(bad_pay, "pay is no number"))
+    return e.select("board", "valid", "cause", "pos", f["id"].alias("provider_posting_id"), title.alias("title"), F.coalesce(f["url"], F.lit("")).alias("url"), f["locations"].alias("locations"), f["department"].alias("department"), f["body_text"].alias("body_text"), f["remote_policy"].alias("remote_policy"), f["posted_at"].alias("posted_at"), f["updated_at"].alias("updated_at"), pay["salary_min"].alias("salary_min"), pay["salary_max"].alias("salary_max"), pay["salary_currency"].alias("salary_currency"), pay["salary_period"].alias("salary_period"), F.to_json("raw").alias("raw_json"), error.alias("error"))
 
 
 def snapshot_status(parsed: DataFrame) -> DataFrame:
-    """``board, status, listed, error``: complete without errors, partial with some, failed if all rows or the payload failed; the first three messages are told."""
-    g = parsed.groupBy("board").agg(F.first("valid").alias("valid"), F.count("pos").alias("n"), F.count("error").alias("bad"), F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("pos", "error")))).alias("errors"))
-    said = F.concat(F.col("bad").cast("string"), F.lit(" rows failed: "), F.array_join(F.transform(F.slice("errors", 1, 3), lambda x: x["error"]), "; "))
+    """``board, status, listed, error``: complete without errors, partial with some, failed if all rows or the payload failed; the first three are told with their ids."""
+    told = F.struct("pos", F.coalesce("provider_posting_id", F.lit("?")).alias("id"), "error")
+    # The three first of each task at most, so that a board of errors only is not gathered.
+    first = F.min_by(told, F.when(F.col("error").isNotNull(), F.col("pos")))
+    g = parsed.groupBy("board").agg(F.first("valid").alias("valid"), F.first("cause").alias("cause"), F.count("pos").alias("n"), F.count("error").alias("bad"), first.alias("e1"))
+    rest = parsed.where("error is not null").join(g.where("bad > 1").select("board"), "board").withColumn("told", told)
+    rest = rest.withColumn("rank", F.row_number().over(W.partitionBy("board").orderBy("pos"))).where("rank in (2, 3)").groupBy("board").agg(F.array_sort(F.collect_list("told")).alias("more"))
+    g = g.join(rest, "board", "left")
+    listed = F.concat(F.array("e1"), F.coalesce("more", F.array().cast("array<struct<pos int, id string, error string>>")))
+    said = F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" jobs failed to parse: "), F.array_join(F.transform(listed, lambda x: F.concat(F.lit("job "), x["id"], F.lit(": "), x["error"])), "; "))
     status = F.when(~F.col("valid"), "failed").when(F.col("bad") == 0, "complete").when(F.col("bad") == F.col("n"), "failed").otherwise("partial")
-    return g.select("board", status.alias("status"), (F.col("n") - F.col("bad")).alias("listed"), F.when(~F.col("valid"), "invalid board payload").when(F.col("bad") > 0, said).alias("error"))
+    error = F.when(~F.col("valid"), F.concat(F.lit("invalid board payload: "), "cause")).when((F.col("bad") == F.col("n")) & (F.col("n") > 0), F.concat(F.lit("all "), F.col("n").cast("string"), F.lit(" jobs failed to parse"))).when(F.col("bad") > 0, said)
+    return g.select("board", status.alias("status"), (F.col("n") - F.col("bad")).alias("listed"), error.alias("error"))
+
+
+def scan_rows(statuses: DataFrame, run_id: int, at) -> DataFrame:
+    """A row of the scan log for each board of a run, whatever its status; only failed boards' errors are kept."""
+    return statuses.select(F.lit(run_id).cast("long").alias("run_id"), "board", "status", F.when(F.col("status").isin("complete", "partial"), F.col("listed")).otherwise(0).alias("listed"), F.when(F.col("status") == "failed", F.col("error")).alias("error"), at.cast("timestamp_ntz").alias("at"))
 
 
 def health(code: Column, n_jobs: Column) -> Column:

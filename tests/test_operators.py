@@ -20,9 +20,9 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize("f, given, want", [
-    (X.normalize_company, "Stripe, Inc.", "stripe"), (X.normalize_company, "Tata & Co.", "tata"), (X.normalize_company, "Coinbase", "coinbase"), (X.normalize_company, "Celonis GmbH", "celonis gmbh"), (X.normalize_company, "Café Münster Labs", "caf mnster"),
-    (X.normalize_title, "C++ Developer", "c developer"), (X.normalize_body, " A  b\n", "a b"), (X.role_family, "Mobile Security Engineer", "mobile"), (X.role_family, "ML Infrastructure Engineer", "devops_sre"), (X.role_family, "Engineer", "general_swe"),
-    (X.html_to_text, "<p>First paragraph.</p><p>Second paragraph.</p>", "First paragraph.\nSecond paragraph."), (X.html_to_text, "a <b>bo</b>ld<script>x</script>", "a bold"), (X.html_to_text, "", ""),
+    (X.normalize_company, "Harbour, Inc.", "harbour"), (X.normalize_company, "Reed & Co.", "reed"), (X.normalize_company, "Lanternworks", "lanternworks"), (X.normalize_company, "Nordlicht GmbH", "nordlicht gmbh"), (X.normalize_company, "Crêpe Würfel Labs", "crpe wrfel"),
+    (X.normalize_title, "F# / C++ Tinkerer", "f c tinkerer"), (X.normalize_body, " A  b\n", "a b"), (X.role_family, "Android Security Lead", "mobile"), (X.role_family, "AI Platform Engineer", "devops_sre"), (X.role_family, "Engineer", "general_swe"),
+    (X.html_to_text, "<div>One line.</div><p>And one more.</p>", "One line.\nAnd one more."), (X.html_to_text, "half <i>slan</i>ted<style>x</style>", "half slanted"), (X.html_to_text, "", ""),
 ])
 def test_text(spark, f, given, want):
     assert one(spark, f(F.lit(given))) == want
@@ -84,7 +84,7 @@ def test_parse_greenhouse(spark):
     assert (a["provider_posting_id"], a["title"], a["locations"], a["department"], a["body_text"], a["remote_policy"], str(a["posted_at"]), a["error"]) == ("7", "Engineer", ["Remote - US", "Berlin"], "Eng", "A", "remote", "2024-01-02 03:04:05", None)
     assert b["error"] == "missing title" and c["error"] == "empty title" and (d["provider_posting_id"], d["title"]) == ("None", "None")
     s = boards.snapshot_status(df).first()
-    assert (s["status"], s["listed"], s["error"]) == ("partial", 2, "2 rows failed: missing title; empty title")
+    assert (s["status"], s["listed"], s["error"]) == ("partial", 2, "2 of 4 jobs failed to parse: job 8: missing title; job 9: empty title")
 
 
 @pytest.mark.parametrize("content, want", [("{", "failed"), ("{}", "failed"), ('{"jobs": 3}', "failed"), ('{"jobs": []}', "complete"), ('{"jobs": [{"id": 1}]}', "failed")])
@@ -186,3 +186,57 @@ def test_upsert_keeps_what_it_does_not_refresh(spark):
 
 def test_all_entities_decode(spark):
     assert one(spark, X.html_to_text(F.lit("<p>caf&eacute; &#8217;s &#x2019; &uuml;&ldquo;x&rdquo;&bull;&euro;&amp;eacute;</p>"))) == "café ’s ’ ü“x”•€&eacute;"
+
+
+def test_html_of_a_real_parser(spark):
+    t = lambda s: one(spark, X.html_to_text(F.lit(s)))
+    assert t('<p title="a>b">x</p>') == "x" and t("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2" and t(None) == ""
+    assert t("<html><head><title>no</title></head><body>We&#8217;re caf&eacute;<br>&euro;<script>if (a<b) {}</script></body></html>") == "We’re café\n€"
+
+
+def test_common_subsequence_against_a_table():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(9))) for _ in "xy")
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[-1]))
+            rows.append(row)
+        assert S.common_subsequence(a, b) == rows[-1][-1]
+
+
+def test_own_yaml_replaces_the_bundled_taxonomy(spark, tmp_path):
+    f = tmp_path / "own.yaml"
+    f.write_text("patterns:\n  - {name: Tea, category: drink, pattern: '\\btea\\b', case_sensitive: true}\nversion: 3\n")
+    t = load(f)
+    assert one(spark, t.skills(F.lit("Tea or tea"))) == ["Tea"] and one(spark, t.skills(F.lit("Tea"))) == []
+    f.write_text("version: 3\npatterns: [{category: drink, case_sensitive: true, pattern: '\\btea\\b', name: Tea}]\n")
+    assert load(f).version == t.version
+    for bad in ("patterns: 3", "patterns: [x]", "patterns: [{name: a}]", "patterns: [{name: a, category: b, pattern: '('}]", "a: ["):
+        f.write_text(bad)
+        with pytest.raises(TaxonomyError, match="own.yaml"):
+            load(f)
+
+
+def test_bad_values_are_row_errors(spark):
+    jobs = [{"id": "a", "text": "T", "createdAt": 9223372036854775807}, {"id": "b", "text": "T", "createdAt": "soon"}, {"id": "c", "text": "T", "createdAt": 10**30}]
+    got = parsed(spark, "lever", jobs).orderBy("pos").collect()
+    assert [r["error"] for r in got] == ["time out of range", None, "time out of range"] and got[1]["posted_at"] is None
+    part = {"compensationType": "Salary", "interval": "1 year", "currencyCode": "EUR", "minValue": "x", "maxValue": 2}
+    job = lambda p: {"id": "1", "title": "t", "compensation": {"compensationTiers": [{"components": [p]}]}}
+    a, b = parsed(spark, "ashby", {"jobs": [job(part), job(part | {"minValue": "3"})]}).orderBy("pos").collect()
+    assert a["error"] == "pay is no number" and (b["error"], b["salary_min"], b["salary_period"]) == (None, 3.0, "year")
+    twice = parsed(spark, "greenhouse", '{"jobs":[{"id":1,"title":"a","title":"b"}]}').first()
+    assert (twice["title"], twice["error"]) == ("b", None)
+
+
+def test_a_listing_refreshes_all_mutable_fields(spark):
+    kinds = "board string, posting_id int, content_hash string, body_text string, title string, url string, locations array<string>, salary_min double"
+    new = spark.createDataFrame([("b", 1, "h", "new body", "new", "u2", ["x"], 2.0)], kinds)
+    old = spark.createDataFrame([("b", 1, "h", "old body", "old", "u1", ["y"], 1.0)], kinds).selectExpr("*", "'closed' as status", "2 as missing", f"timestamp_ntz'{NOW}' as first_seen", f"timestamp_ntz'{NOW}' as last_seen", f"timestamp_ntz'{NOW}' as closed_at")
+    out, events = state.apply_snapshot(old, new, spark.createDataFrame([("b", "partial")], "board string, status string"), F.lit("2024-02-01 00:00:00"))
+    r = out.first()
+    assert (r["title"], r["url"], r["locations"], r["salary_min"], r["body_text"], r["status"], r["missing"], r["closed_at"]) == ("new", "u2", ["x"], 2.0, "old body", "open", 0, None)
+    assert [e["kind"] for e in events.collect()] == ["reopened"]
