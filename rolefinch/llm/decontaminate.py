@@ -5,7 +5,7 @@ many of its shingles, and of the windows that hold the same ones the one that be
 the most similar. So item-sized windows are laid where a text holds a shingle of an item and enough others of
 it follow within the item's size. Each window's SimHash is looked up by multi-index Hamming blocks: of two
 64-bit fingerprints within ``RADIUS`` bits, one of eight bytes differs by ``RADIUS // 8`` bits at most, so all
-items within the radius are found by that byte. The weighted similarity of the shingles, each as often as it
+items within the radius are found by that byte; a window looks among the items whose shingles it holds. The weighted similarity of the shingles, each as often as it
 occurs, then decides exactly.
 """
 
@@ -54,7 +54,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
     A row says that a window of the item's size reaches a weighted similarity of ``percent`` / 100 (sum of the
     lesser over sum of the greater shingle counts) and a SimHash within ``radius`` bits. Items of fewer than five
     words are one shingle. Texts and items that are null or hold no word match nothing, null ids neither.
-    Repeated rows of an id are one document with several texts, repeated items one item. Ties go to the first
+    Repeated rows of an id are one document with several texts; an item with several texts matches by any of them. Ties go to the first
     window. Empty tables give an empty result; other columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item"), _words(F.col(item_text).cast("string")).alias("w")).where("item is not null and size(w) > 0").distinct()
@@ -78,19 +78,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
     hits = found.join(marks.select("item", "m", "k", "x").distinct(), ["k", "x"]).groupBy("id", "t", "item", "m", "k").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("p")).alias("at"))
     hits = hits.withColumn("need", F.ceil(F.lit(percent) * (F.col("m") - F.col("k") + 1) / 100).cast("int")).where("size(at) >= need")
     begin = F.filter("at", lambda p, j: F.get(F.col("at"), j + F.col("need") - 1) - p <= F.col("m") - F.col("k"))
-    hits = hits.select("id", "t", "m", "k", F.transform(begin, lambda p: F.greatest(F.lit(0), F.least(p, F.col("n") - F.col("m")))).alias("begin")).select("id", "t", "m", "k", F.explode("begin").alias("p0"))
-    places = stage(hits.groupBy("id", "t").agg(F.collect_set(F.struct("p0", "m", "k")).alias("at")), "places")
+    hits = hits.select("id", "t", "item", "m", "k", F.explode(F.array_distinct(F.transform(begin, lambda p: F.greatest(F.lit(0), F.least(p, F.col("n") - F.col("m")))))).alias("p0"))
+    places = stage(hits.groupBy("id", "t").agg(F.collect_list(F.struct("item", "m", "k", "p0")).alias("at")), "places")
     texts = source.join(_small(places.select("id", "t")), ["id", "t"], "left_semi").select("id", "t", F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    windows = texts.join(places, ["id", "t"]).select("id", "h", F.explode("at").alias("a")).select("id", "a.p0", "a.m", "a.k", F.slice("h", F.col("a.p0") + 1, F.col("a.m")).alias("h"))
-    windows = windows.withColumn("s", pick(F.col("h"), F.size("h"))).where("size(s) > 0").distinct().withColumn("f", simhash(F.col("s")))
-    windows = stage(windows.select("id", "p0", "m", "k", "s", "f"), "windows")
-    keys = windows.select("id", "p0", "m", "k", "s", "f", F.explode(_bytes(F.col("f"))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    texts = texts.groupBy("id", "t").agg(F.first("h").alias("h"))  # rows that repeat id and text
+    windows = texts.join(places, ["id", "t"]).select("id", "t", "h", F.explode("at").alias("a")).select("id", "t", "a.item", "a.p0", "a.m", "a.k", F.slice("h", F.col("a.p0") + 1, F.col("a.m")).alias("h"))
+    windows = windows.withColumn("s", pick(F.col("h"), F.size("h"))).where("size(s) > 0").withColumn("f", simhash(F.col("s")))
+    windows = stage(windows.select("id", "t", "item", "p0", "m", "s", "f"), "windows")
+    # Only fingerprints meet in the index: a window's bytes look among those that its item's bytes can become.
+    keys = windows.select("id", "t", "item", "p0", "f", F.explode(_bytes(F.col("f"))).alias("b")).select("id", "t", "item", "p0", "f", "b.block", "b.value")
     flips = [sum(1 << b for b in c) for n in range(radius // 8 + 1) for c in combinations(range(8), n)]
-    probes = items.select("item", F.col("m").alias("m2"), F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("f").alias("f2"), F.explode(_bytes(F.col("f"))).alias("b"))
-    probes = probes.select("*", F.explode(F.array(*(F.lit(x).cast("long") for x in flips))).alias("flip")).select("item", "m2", "k2", "s2", "f2", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
-    near = keys.join(probes, (keys["block"] == probes["block"]) & (keys["value"] == probes["value"]) & (F.col("m") == F.col("m2")) & (F.col("k") == F.col("k2")))
-    near = near.withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("f2")))).where(F.col("distance") <= radius)
-    near = near.groupBy("id", "item", "p0", "m", "s", "s2").agg(F.first("distance").alias("distance"))
+    probes = items.select("item", "h", F.col("f").alias("f2"), F.explode(_bytes(F.col("f"))).alias("b"))
+    probes = probes.select("item", "f2", "b", F.explode(F.array(*(F.lit(x).cast("long") for x in flips))).alias("flip"))
+    probes = probes.select("item", "f2", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip")).alias("value")).distinct()
+    near = keys.join(probes, ["item", "block", "value"]).withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("f2")))).where(F.col("distance") <= radius)
+    near = near.groupBy("id", "t", "item", "p0", "f2").agg(F.first("distance").alias("distance"))
+    # The shingles of what is left decide.
+    near = near.join(windows.select("id", "t", "item", "p0", "m", "s"), ["id", "t", "item", "p0"]).join(items.select("item", F.col("m"), F.col("f").alias("f2"), F.col("s").alias("s2")), ["item", "m", "f2"])
     times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     least = F.aggregate(F.array_distinct(F.array_intersect("s", "s2")), F.lit(0), lambda n, x: n + F.least(times(F.col("s"), x), times(F.col("s2"), x)))
     exact = near.withColumn("both", least).withColumn("all", F.size("s") + F.size("s2") - F.col("both")).where(f"100 * both >= {percent} * `all`")
