@@ -1,8 +1,8 @@
 """Packing token sequences by exact-complement hashing, then best fit.
 
 Only lengths matter for a plan, and there are at most ``capacity`` of them. The plan works on counts: it keeps
-an index of the single, pair and triple sums of available lengths, and for each length takes the combination
-that fills its gap exactly as often as counts allow. What is left is packed best-fit. The plan has a few rows for each length however many
+an index of the single, pair and triple sums of available lengths, by sum, and for each length takes the
+combinations that fill its gap exactly as often as counts allow. What is left is packed best-fit. The plan has a few rows for each length however many
 documents there are; Spark counts lengths, ranks the pieces of each length, and gives each its place.
 """
 
@@ -14,12 +14,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small_batches, stage, unused
 from .text import spans
 
-PER_SALT = 20_000  # pieces of one length that one task ranks, about
+PER_SALT = 500  # pieces of one length that are ranked together, about; more where that makes over ``SALTS`` groups
+SALTS = 4096
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -31,43 +35,62 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
     return min((_plan(counts, capacity, depth) for depth in (3, 2, 1)), key=lambda p: sum(times for times, _ in p))
 
 
-def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[int, list[int]]]:
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    out: list[tuple[int, list[int]]] = []
+class Sums:
+    """How many single lengths, pairs and triples of available lengths make each sum up to ``capacity``."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        self.pairs, self.triples = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.have[length] = n
+            self._change(length, 1)
+
+    def _change(self, x: int, sign: int):
+        """Add or remove what length x, which is available, makes with all that are."""
+        there = np.flatnonzero(self.have[: len(self.have) - x])
+        if sign > 0:
+            self.pairs[there + x] += 1
+        self.triples[x:] += sign * self.pairs[: len(self.pairs) - x]
+        if sign < 0:
+            self.pairs[there + x] -= 1
 
-    def take(lengths: list[int]) -> bool:
+    def take(self, lengths: list[int]) -> int:
+        """Use up a combination as often as it is available; returns how often."""
         need = {x: lengths.count(x) for x in lengths}
-        times = min(int(have[x]) // n for x, n in need.items())
-        if times:
-            for x, n in need.items():
-                have[x] -= times * n
-            out.append((times, lengths))
-        return times > 0
-
-    take([capacity])
+        times = min(int(self.have[x]) // n for x, n in need.items())
+        for x, n in need.items() if times else ():
+            if self.have[x] == times * n:
+                self._change(x, -1)
+            self.have[x] -= times * n
+        return times
+
+    def fills(self, gap: int, depth: int):
+        """Combinations of at most ``depth`` available lengths that sum to ``gap``: singles, pairs most evenly available first, then triples."""
+        if self.have[gap]:
+            yield [gap]
+        if depth > 1 and self.pairs[gap]:
+            a = np.flatnonzero(self.have[: gap // 2 + 1])
+            a = a[self.have[gap - a] > 0]
+            yield from ([int(x), gap - int(x)] for x in a[np.argsort(-np.minimum(self.have[a], self.have[gap - a]), kind="stable")])
+        if depth > 2 and self.triples[gap]:
+            c = np.flatnonzero(self.have[: gap + 1])[::-1]
+            for x in c[self.pairs[gap - c] > 0]:
+                rest = gap - int(x)
+                a = np.flatnonzero(self.have[: rest // 2 + 1])
+                yield from ([int(x), int(y), rest - int(y)] for y in a[self.have[rest - a] > 0])
+
+
+def _plan(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[int, list[int]]]:
+    sums = Sums(counts, capacity)
+    have, out = sums.have, []
+    if times := sums.take([capacity]):
+        out.append((times, [capacity]))
     for first in range(capacity - 1, 0, -1):
         while have[first]:
-            gap = capacity - first
-            if take([first, gap]):
-                continue
-            # Pairs that sum to the gap, most evenly available first; then triples.
-            there = np.flatnonzero(have[: gap + 1]) if depth > 1 else []
-            pairs = [(int(a), gap - int(a)) for a in there if a <= gap - a and have[gap - a]]
-            pairs.sort(key=lambda p: -min(have[p[0]], have[p[1]]))
-            if any(take([first, a, b]) for a, b in pairs):
-                continue
-            done = False
-            for c in there[::-1] if depth > 2 else []:
-                rest = gap - int(c)
-                a = there[there <= rest // 2]
-                a = a[have[rest - a] > 0]
-                if len(a) and any(take([first, int(c), int(x), rest - int(x)]) for x in a[:4]):
-                    done = True
-                    break
-            if not done:
+            found = next(((times, [first, *x]) for x in sums.fills(capacity - first, depth) if (times := sums.take([first, *x]))), None)
+            if not found:
                 break
+            out.append(found)
     # Best fit, longest first: open sequences by the room they have left.
     rooms: dict[int, dict[tuple[int, ...], int]] = {}
     for length in range(capacity, 0, -1):
@@ -98,11 +121,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     Sequences are gapless from 0. Ties among pieces of equal length are broken by a hash of the row, equal rows
     share a rank's order arbitrarily but get different places. Rows with a null length or a length outside the
-    range raise an error. An empty table gives an empty result.
+    range raise an error. Other columns are kept, whatever their names, except that ``sequence_id`` and ``offset``
+    are replaced. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
     bad = F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity)
     pieces = stage(pieces.withColumn("length", F.when(bad, F.raise_error(F.lit("a piece has no length from 1 to the capacity"))).otherwise(F.col("length"))), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     counts = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # Where each length's ranks go: (length, first rank, first sequence, offset); at most a few for each length.
@@ -120,30 +145,28 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     base = np.array([(r, s, o) for _, r, s, o in rows], np.int64).reshape(-1, 3)
     steps = spark.sparkContext.broadcast((keys, base))
 
-    # Ranks without gathering a length in one task: rank within salts of bounded size, plus the salts before.
-    salts = F.create_map(*(F.lit(v) for x, n in counts.items() if n > PER_SALT for v in (x, -(-n // PER_SALT)))) if any(n > PER_SALT for n in counts.values()) else None
+    # Ranks without gathering a length in one task: rank within salts, plus the salts before. There are at most
+    # ``SALTS`` salts besides the lengths, so what is collected and broadcast is bounded.
+    per_salt = max(PER_SALT, -(-sum(counts.values()) // SALTS))
+    salts = F.create_map(*(F.lit(v) for x, n in counts.items() if n > per_salt for v in (x, -(-n // per_salt)))) if any(n > per_salt for n in counts.values()) else None
     n_salts = F.lit(1) if salts is None else F.coalesce(F.try_element_at(salts, F.col("length").cast("int")), F.lit(1))
-    key = F.xxhash64(*(F.col(c) for c in names))
-    salted = pieces.withColumn("_key", key).withColumn("_salt", F.pmod(F.col("_key"), n_salts))
-    from pyspark.sql import Window as W
-
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()
-    start, before = {}, {}
-    for r in sorted(sizes, key=lambda r: (r["length"], r["_salt"])):
-        start[r["length"], r["_salt"]] = before.get(r["length"], 0)
-        before[r["length"]] = start[r["length"], r["_salt"]] + r["n"]
-    starts = spark.createDataFrame([(int(a), int(b), int(n)) for (a, b), n in start.items()] or [(0, 0, 0)], "length long, _salt long, _start long")
-    ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("_key")) - 1)
-    ranked = ranked.join(F.broadcast(starts), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_start")).select(*names, "_rank")
+    key, salt, start, rank = (unused(pieces, x) for x in ("key", "salt", "start_rank", "rank"))
+    salted = pieces.withColumn(key, F.xxhash64(*(F.col(f"`{c}`") for c in names))).withColumn(salt, F.pmod(F.col(key), n_salts))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias("n")).collect()
+    starts, before = [], {}
+    for length, k, n in sorted((int(r["length"]), r[salt], r["n"]) for r in sizes):
+        starts.append((length, k, before.get(length, 0)))
+        before[length] = starts[-1][2] + n
+    starts = spark.createDataFrame(starts or [(0, 0, 0)], f"length long, `{salt}` long, `{start}` long")
+    ranked = salted.withColumn(rank, F.row_number().over(W.partitionBy("length", salt).orderBy(key)) - 1)
+    ranked = ranked.join(F.broadcast(starts), ["length", salt]).withColumn(rank, F.col(rank) + F.col(start)).select(*(f"`{c}`" for c in names), rank)
 
     def place(batches):
         k, b = steps.value
         for x in batches:
-            length, rank = (x.column(c).to_numpy().astype(np.int64) for c in ("length", "_rank"))
-            i = np.searchsorted(k, (length << 44) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names), pa.array(b[i, 1] + rank - b[i, 0]), pa.array(b[i, 2])], [*names, "sequence_id", "offset"])
-
-    from pyspark.sql import types as T
+            length, at = (x.column(c).to_numpy().astype(np.int64) for c in ("length", rank))
+            i = np.searchsorted(k, (length << 44) + at, "right") - 1
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names), pa.array(b[i, 1] + at - b[i, 0]), pa.array(b[i, 2])], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
@@ -282,11 +305,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     The first piece takes the remainder; all others have ``capacity`` ids. A null text is empty: one piece of one
     id. A null id stays null and repeated rows are documents of their own. Texts are tokenised whole.
     """
-    from pyspark.sql import types as T
-
     id_type = docs.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     small_batches(docs.sparkSession)
     arrow_id = to_arrow_type(id_type)
 
