@@ -1,9 +1,9 @@
 """Quality classifier on random-indexing word vectors.
 
 Every word has a fixed sparse index vector (two entries of +1 or -1, from its hash). A word's context vector is
-the sum of the index vectors of its neighbours over all documents. Words share ``SLOTS`` slots by hash, and each
-word has a second slot for its shape (capitals, first and last characters, length), so the vectors have a fixed
-size whatever the vocabulary. A document is the mean and deviation of its words' vectors; a two-layer network
+the sum of the index vectors of its neighbours over all documents. Vectors are hashed: words share ``SLOTS`` slots,
+at any real vocabulary many words one, in which the commonest tells most, and each word has a second slot for its
+shape (capitals, first and last characters, length). So the vectors have a fixed size whatever the vocabulary. A document is the mean and deviation of its words' vectors; a two-layer network
 gives a logit, and a temperature fitted on rows set aside turns it into a probability.
 """
 
@@ -152,9 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = 5, held_out
         for b in batches:
             for c in chunks(b.column("text")):
                 f = pooled(c, vectors.value)
-                at = slice(c.lo, c.hi)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(c.lo, c.hi - c.lo).cast(pa.string()), b.column("y").slice(c.lo, c.hi - c.lo), pa.array([x.tobytes() for x in f], pa.binary())], ["id", "y", "x"])
-                del at
 
     train = training_rows(docs, labels, label, buckets, held_out, sample, id_col, text_col).mapInArrow(features, "id string, y int, x binary").collect()
     train.sort(key=lambda r: r["id"])

@@ -17,32 +17,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import merged_counters, stage
+
 BINS = 512
 QUERY_BLOCK = 4096  # queries broadcast and scored at once
 ROWS = 2048  # rows scored at once
 
 
-def quantized(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and floor(scale * x) of the vectors that are whole; rows with another id type or null ids do not come here."""
-    ids, out = [], []
-    col = batch.column(1)
-    whole = pc.and_(col.is_valid(), batch.column(0).is_valid())
-    for i, v in zip(batch.column(0).filter(whole).to_numpy(zero_copy_only=False), col.filter(whole), strict=True):
-        v = v.values
-        if v.null_count:
-            continue
-        x = v.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.isfinite(x).all():
-            ids.append(i)
-            out.append(np.floor(scale * x))
-    return np.array(ids, np.int64), out
+def quantized(batch: pa.RecordBatch, scale: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and floor(scale * x) of the vectors that are whole; rows have ``dim`` components, the missing ones 0, further ones left out."""
+    ids, col = batch.column(0), batch.column(1)
+    start, end = col.offsets[:-1].to_numpy(), col.offsets[1:].to_numpy()
+    x = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])  # a null is NaN here
+    whole = np.flatnonzero(pc.and_(col.is_valid(), ids.is_valid()).to_numpy(zero_copy_only=False) & (bad[end] == bad[start]))
+    at = start[whole, None] + np.arange(dim)
+    there = at < end[whole, None]
+    out = np.zeros((len(whole), dim))
+    out[there] = np.floor(scale * x[at[there]])
+    return ids.take(pa.array(whole)).to_numpy(zero_copy_only=False).astype(np.int64), out
 
 
 def _matrix(vectors: list[np.ndarray], dim: int) -> np.ndarray:
     """Rows padded with zeros to ``dim`` components, which leaves inner products as they are over shared components."""
     m = np.zeros((len(vectors), dim))
     for k, v in enumerate(vectors):
-        m[k, : min(dim, len(v))] = v[:dim]
+        m[k, : len(v)] = v
     return m
 
 
@@ -60,10 +60,11 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")]
     data, asked = rows.select(cols), queries.select(cols).where("id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     schema = "query_id long, rank int, vec_id long, score long"
+    asked = stage(asked.groupBy("id").agg(F.min("v").alias("v")), "asked")
     result, after = None, None
     while True:
         block = asked if after is None else asked.where(F.col("id") > after)
-        block = block.groupBy("id").agg(F.min("v").alias("v")).orderBy("id").limit(QUERY_BLOCK).collect()
+        block = block.orderBy("id").limit(QUERY_BLOCK).collect()
         if not block:
             break
         after = block[-1]["id"]
@@ -85,18 +86,18 @@ def _block(data: DataFrame, block: list, k: int, scale: int) -> DataFrame:
         """Ids and scores, queries down and rows across; a query's own rows score NaN."""
         ids, q = queries.value
         for b in batches:
-            own, vec = quantized(b, scale)
+            own, vec = quantized(b, scale, dim)
             for lo in range(0, len(own), ROWS):
-                s = q @ _matrix(vec[lo : lo + ROWS], dim).T
+                s = q @ vec[lo : lo + ROWS].T
                 s[ids[:, None] == own[None, lo : lo + ROWS]] = np.nan
                 yield own[lo : lo + ROWS], s
 
     def norms(batches):
         n, most = 0, 0.0
         for b in batches:
-            own, vec = quantized(b, scale)
+            own, vec = quantized(b, scale, dim)
             n += len(own)
-            most = max([most, *(float(np.sqrt((v * v).sum())) for v in vec)])
+            most = max(most, float(np.sqrt((vec * vec).sum(axis=1).max(initial=0))))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([most], pa.float64())], ["n", "most"])
 
     size = data.mapInArrow(norms, "n long, most double").agg(F.sum("n").alias("n"), F.max("most").alias("most")).first()
@@ -120,8 +121,6 @@ def _block(data: DataFrame, block: list, k: int, scale: int) -> DataFrame:
                 total += np.bincount((np.arange(len(lo))[:, None] * BINS + np.where(ok, bin_, 0)).astype(np.int64)[ok], minlength=len(total))
             yield total
 
-        from .shared import merged_counters
-
         return merged_counters(data, lambda batches: next(fill(batches)), len(low) * BINS, np.int64).reshape(len(low), BINS)
 
     high = low + width * BINS
