@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import release, small_batches, stage
-from .text import chunks, mix, signed, words
+from .text import chunks, gathered, mix, signed, words
 
 MIX = 0.7  # weight of bigrams against single words
 HELD = 200_000  # different words that a task counts before it hands them on
@@ -126,7 +126,7 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
 
     def coded(batches):
         part = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in gathered(batches, "text", PART):
             target = b.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
             for c in chunks(b.column("text"), PART):
                 w = words(c)

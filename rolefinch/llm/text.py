@@ -79,6 +79,19 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
         lo = hi
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` has about ``size`` bytes."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(column).nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def words(c: Chunk, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text with 64-bit hashes (A-Z folded if ``lower``)."""
     n, m = len(c.buf), len(c.offsets) - 1
