@@ -595,3 +595,73 @@ def test_odd_results(spark):
     assert quality[4][0]["score"] == quality[4][1]["score"] and quality[1][0]["score"] == quality[2][0]["score"]
     lines = by(CASES["lines"](spark, odd_rows(spark)).collect())
     assert lines[1][0]["text"] is None and lines[2][0]["text"] == "" and lines[6][0]["text"] == "" and lines[5][0]["text"]
+
+
+CLASH = "_text text_ runs h id _hash _lines _left _id _h _key _salt _rank key salt rank start_rank node token item t p0 row_key windows content fingerprint line word part y x n c a b m k s f at kept held_out score predicted n_hits n_lines n_deleted label lang_pred bits sequence_id offset piece start length ids_crc32".split()
+
+
+def wide(df):
+    """With a column of every name that an operator might use itself."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *(F.lit("zz").alias(c) for c in CLASH if c not in df.columns))
+
+
+def comparable(rows, columns):
+    return sorted(repr([r[c] for c in columns]) for r in rows)
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_clashing_columns_change_nothing(spark, name):
+    plain = odd_rows(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    want, got = CASES[name](spark, plain), CASES[name](spark, wide(plain))
+    assert set(want.columns) <= set(got.columns)
+    assert comparable(got.collect(), want.columns) == comparable(want.collect(), want.columns)
+
+
+def test_packing_keeps_other_columns(spark):
+    from rolefinch.llm.packing import pack
+
+    rows = [(i % 7, "x", None if i % 3 else "y", 1 + i * 37 % 100, i) for i in range(200)] + [(None, None, None, 100, 999)] * 2
+    df = spark.createDataFrame(rows, "key int, salt string, _rank string, length int, rank int")
+    got = pack(df, 100).collect()
+    assert comparable(got, df.columns) == comparable(df.collect(), df.columns)
+    room = defaultdict(list)
+    for r in got:
+        room[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in room.values():
+        assert [o for o, _ in sorted(held)] == [sum(x for _, x in sorted(held)[:k]) for k in range(len(held))] and sum(x for _, x in held) <= 100
+    for bad in (None, 0, 101):
+        with pytest.raises(Exception, match="no length"):
+            pack(spark.createDataFrame([(bad,)], "length int"), 100).collect()
+
+
+def test_topk_with_repeated_ids_and_clashing_columns(spark):
+    from rolefinch.llm.topk import exact_topk
+
+    rows = [(i % 40, [float(i % 7), 1.0], "zz", 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, rank int")
+    got = exact_topk(df, df.where("vec_id % 20 = 0"), k=5).collect()
+    vectors = defaultdict(list)
+    for i, v, *_ in rows:
+        vectors[i].append([int(64 * x) for x in v])
+    for q in (0, 20):
+        own = min(vectors[q])
+        all_ = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, vs in vectors.items() if i != q for v in vs)[:5]
+        assert [(r["rank"], -r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(k + 1, *x) for k, x in enumerate(all_)]
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from rolefinch.llm.entry import oracle_sql, queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{DATA}/sf0.001/{t}.parquet')")
+    for name, sql in oracle_sql().items():
+        found = con.execute(sql)
+        names = [x[0] for x in found.description]
+        got = queries()[name](spark, f"{DATA}/sf0.001")
+        assert sorted(names) == sorted(got.columns)
+        assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(found.fetchall())
