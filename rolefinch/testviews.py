@@ -34,7 +34,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     boards = e.select(F.col("event_type").alias("board")).distinct()
     d = F.dayofmonth("day") % 7
     status = F.when(d == 3, "partial").when(d == 5, "failed").when(d == 6, "unchanged").otherwise("complete")
-    return boards.join(F.broadcast(days)).select("board", F.datediff("day", F.lit("2024-01-01").cast("date")).alias("seq"), status.alias("status"))
+    return boards.crossJoin(days).select("board", F.datediff("day", F.lit("2024-01-01").cast("date")).alias("seq"), status.alias("status"))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
