@@ -25,19 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import merged_counters, release, stage, unstage
+from .shared import merged_counters, release, small_batches, stage, unstage
 from .text import chunks, mix, shingles, signed, words
 
 SKETCH_BITS = 21  # counters of the frequency sketch: 2 M of one byte each after merging
 BLOOM_BITS = 26  # bits of the filter that names the sets to be verified: 8 MB; with more nodes than it can tell apart, a join does it
 BLOOM_SLICES = 64
 MIN_L, MAX_L = 6, 24  # prefix shingles that a pair has to share, where the sets are large enough
-MARK = 16  # words of 64 bits of a parity bitmap
+MARK = 16  # words of 64 bits of a parity bitmap in the rows of a join
 HUB_ROUNDS = 4
+BROADCAST_PAIRS = 500_000  # pairs of two numbers, 8 MB
 VERIFY_COST = 30.0  # of a verification, in rows of a bucket
 
 
@@ -59,11 +60,24 @@ def _node(u: np.ndarray) -> int:
 
 
 def _parity(u: np.ndarray) -> list[int]:
-    """A bitmap of ``MARK`` words; each shingle flips the bit that its hash names."""
-    flips = np.bincount((u >> np.uint64(24) & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK)
+    """A bitmap of two bits a shingle or more, ``MARK`` words at least; each shingle flips the bit that its hash names."""
+    width = max(64 * MARK, 1 << (2 * len(u) - 1).bit_length())
+    flips = np.bincount((u >> np.uint64(24) & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits(flips & 1, bitorder="little").view(np.int64).tolist()
 
 
+def _folded(mark: Column, words: Column) -> Column:
+    """A bitmap folded to so many words, as if it had been made with them."""
+    fold = lambda i: F.aggregate(F.sequence(i, F.size(mark) - 1, words), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(mark, j)))
+    return F.when(F.size(mark) == words, mark).otherwise(F.transform(F.sequence(F.lit(0), words - 1), fold))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ, the wider one folded: at most the size of the sets' difference."""
+    words = F.least(F.size(x), F.size(y))
+    return F.aggregate(F.zip_with(_folded(x, words), _folded(y, words), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def _bits(node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """A node's slice of the filter and its bits there."""
     h = mix(node.astype(np.int64).view(np.uint64))
@@ -97,6 +111,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns, of whatever names, are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     mask = np.uint64((1 << SKETCH_BITS) - 1)
@@ -134,23 +149,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_smaller = n - math.ceil(2 * percent * n / (100 + percent)) + best
         return u[head[: n - need + best]], best, as_smaller, n
 
-    def coded_rows(batches):
+    def node_rows(batches):
         def rows():
-            for i, u in _sets(batches, "id", "text"):
+            for _, u in _sets(batches, "id", "text"):
                 if len(u):
                     tokens, best, small, n = prefix(u)
-                    yield i.as_py(), n, _node(u), best, small, signed(tokens), _parity(u)
-                else:
-                    yield i.as_py(), 0, _node(u), 0, 0, None, None
+                    yield _node(u), n, best, small, signed(tokens), _parity(u)
 
         many = pa.list_(pa.int64())
-        yield from _batches(rows(), ["id", "n", "node", "l", "small", "tokens", "mark"], [id_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), many, many])
+        yield from _batches(rows(), ["node", "n", "l", "small", "tokens", "mark"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), many, many])
 
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    coded = stage(src.mapInArrow(coded_rows, f"id {kind}, n long, node long, l int, small int, tokens array<long>, mark array<long>"), "coded")
-    members = coded.select("id", "n", "node")
-    nodes = coded.where("n > 0").groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens", "mark")))
-    nodes = stage(nodes, "nodes")
+    nodes = src.mapInArrow(node_rows, "node long, n int, l int, small int, tokens array<long>, mark array<long>")
+    nodes = stage(nodes.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens", "mark"))), "nodes")
     release(spark)
 
     # Of each node the prefix shingles that other nodes have in theirs, with their exact numbers of nodes. Only
@@ -159,9 +169,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
     kept = nodes.select("node", F.posexplode("tokens").alias("pos", "token")).join(often, "token").groupBy("node").agg(F.collect_list(F.struct("token", "pos", "df")).alias("kept"))
     # A node has a partner only if it shares as many of its shingles as the least l that both could have.
-    live = kept.join(nodes.select("node", "n", "l", "small", "mark"), "node").where(f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))")
+    enough = f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))"
+    live = kept.join(nodes.select("node", "n", "l", "small", "mark"), "node").where(enough)
     live = stage(live.withColumn("c", F.col("node")), "live")
     unstage(nodes, often)
+    del nodes, often, kept
     release(spark)
     n_live = live.count()
 
@@ -202,24 +214,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     ok.append(100 * both >= percent * union)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(dist, pa.float64()), pa.array(ok, pa.bool_())], ["a", "b", "dist", "linked"])
 
-        x = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
-        y = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("s").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, dist double, linked boolean")
+        # Few pairs go to the sets instead of the sets to them.
+        few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
+        x = sets.withColumnsRenamed({"node": "a", "s": "x"}).join(few(pairs), "a")
+        y = sets.join(few(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi").withColumnsRenamed({"node": "b", "s": "y"})
+        return x.join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long, dist double, linked boolean")
+
+    def sift(pairs: DataFrame) -> DataFrame:
+        """``a, b, lo, open``: a lower bound of each pair's distance, and whether it leaves a link possible."""
+        x = live.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("mark").alias("x"))
+        y = live.select(F.col("node").alias("b"), F.col("n"), F.col("mark").alias("y"))
+        both = pairs.join(x, "a").join(y, "b").withColumn("apart", F.explode(F.array(_apart(F.col("x"), F.col("y")))))
+        return both.select("a", "b", (2 * F.col("apart") / (F.col("m") + F.col("n") + F.col("apart"))).alias("lo"), F.expr(f"{100 + percent} * apart <= {100 - percent} * (m + n)").alias("open"))
 
     links, rounds = None, 0
     for k in range(HUB_ROUNDS):
         # A text whose prefix is all in use by others is likely the one that the others are edited from: first hub.
         order = F.expr(f"-100 * size(kept) div (n - ceil({percent} * n / 100) + l)") if k == 0 else F.xxhash64("c", F.lit(k))
-        rows = live.select("node", "n", "c", order.alias("o"), F.explode("kept.token").alias("token"))
-        hubs = rows.groupBy("token").agg(F.min(F.struct("o", F.xxhash64("node").alias("h"), "c", "node", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub")
-        pairs = rows.join(hubs, "token").where(f"c != hub.c and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+        rows = live.select("node", "n", "c", order.alias("o"), F.explode("kept").alias("e"))
+        hubs = rows.groupBy("e.token").agg(F.min(F.struct("o", "node", "c", "n")).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token", "hub.node", "hub.c", "hub.n").withColumnsRenamed({"node": "b", "c": "hub_c", "n": "hub_n"})
+        rows = rows.select("node", "n", *(["c", "e"] if k else []), F.col("e.token").alias("token"))
+        met = rows.join(hubs, "token").drop("token").withColumn("c", F.col("c" if k else "node"))
+        if k:  # what is left of each node: shingles that two components have
+            met = stage(met, "met")
+        pairs = met.where(f"c != hub_c and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("node", "b")
         # The hub that shares most of a node's buckets is the likeliest partner.
-        pairs = pairs.groupBy("node", F.col("hub.node").alias("b")).agg(F.count("*").alias("hits"))
+        pairs = pairs.groupBy("node", "b").agg(F.count("*").alias("hits"))
         pairs = pairs.groupBy("node").agg(F.max(F.struct("hits", F.xxhash64("b", F.lit(k)).alias("o"), "b")).alias("h")).select(F.col("node").alias("a"), F.col("h.b").alias("b"))
-        x = live.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("mark").alias("x"))
-        y = live.select(F.col("node").alias("b"), F.col("n"), F.col("mark").alias("y"))
-        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        sifted = pairs.join(x, "a").join(y, "b").withColumn("apart", apart).select("a", "b", (2 * F.col("apart") / (F.col("m") + F.col("n") + F.col("apart"))).alias("lo"), F.expr(f"{100 + percent} * apart <= {100 - percent} * (m + n)").alias("open"))
+        sifted = sift(pairs)
         sifted = stage(sifted, "sifted")
         release(spark)
         found = stage(verify(sifted.where("open").select("a", "b")), "found")
@@ -229,38 +251,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         n_new = new.count()
         # Distances to the round's hub: exact ones, or a lower bound (then at most 1).
         seen = sifted.join(found.select("a", "b", "dist"), ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias(f"h{k}"), F.coalesce("dist", "lo").alias(f"lo{k}"), F.coalesce("dist", F.lit(1.0)).alias(f"hi{k}"))
-        known = live.join(seen, "node", "left")
+        known = live
+        if k:
+            known = live.drop("kept").join(met.groupBy("node").agg(F.collect_list("e").alias("kept")), "node").where(enough)
+        known = known.join(seen, "node", "left")
         if n_new:
-            known = known.drop("c").join(connected(links), "node", "left").withColumn("c", F.coalesce("c", "node"))
+            label = live.select("node", "c")
+            met_c = new.join(label.withColumnsRenamed({"node": "a", "c": "p"}), "a").join(label.withColumnsRenamed({"node": "b", "c": "q"}), "b") if k else new.withColumnsRenamed({"a": "p", "b": "q"})
+            known = known.join(stage(merged(met_c.select("p", "q")), "merged"), "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
         known = stage(known, "live")
-        unstage(live, sifted)
-        release(spark)
+        unstage(live, sifted, *([met] if k else []))
         live, rounds = known, k + 1
+        del known, seen, met, pairs, rows, hubs, sifted
+        release(spark)
         if n_new < max(20, n_live // 500):
             break
 
     # Pairs of different components: rows of the smaller set (s), without its most frequent shingles, meet those of the larger (t).
     mixed = live.select("c", F.explode("kept.token").alias("token")).groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    known = ["node", "n", "l", "c", *(f"{x}{k}" for k in range(rounds) for x in ("h", "lo", "hi")), *(F.col("mark")[w].alias(f"m{w}") for w in range(MARK))]
+    known = ["node", "n", "l", "c", *(f"{x}{k}" for k in range(rounds) for x in ("h", "lo", "hi")), *(F.col("fold")[w].alias(f"m{w}") for w in range(MARK))]
+    folded = live.withColumn("fold", F.explode(F.array(_folded(F.col("mark"), F.lit(MARK)))))
     ranked = F.expr("transform(array_sort(transform(filter(kept, x -> x.pos < small), x -> struct(-x.df, x.token as token))), x -> x.token)")
-    s = live.select(*known, F.posexplode(ranked).alias("rank", "token")).join(mixed, "token").alias("s")
-    t = live.select(*known, F.explode("kept.token").alias("token")).join(mixed, "token").alias("t")
+    s = folded.select(*known, F.posexplode(ranked).alias("rank", "token")).join(mixed, "token").alias("s")
+    t = folded.select(*known, F.explode("kept.token").alias("token")).join(mixed, "token").alias("t")
     most = 1 - percent / 100 + 1e-9
     near = [f"s.token = t.token and s.c != t.c and struct(s.n, s.node) < struct(t.n, t.node) and 100 * s.n >= {percent} * t.n and s.rank >= least(s.l, t.l) - 1"]
     near.append(f"{100 + percent} * ({' + '.join(f'bit_count(s.m{w} ^ t.m{w})' for w in range(MARK))}) <= {100 - percent} * (s.n + t.n)")
     near.append("not coalesce(" + " or ".join(f"(s.h{k} = t.h{k} and (s.lo{k} - t.hi{k} > {most!r} or t.lo{k} - s.hi{k} > {most!r}))" for k in range(rounds)) + ", false)")
     pairs = stage(s.join(t, F.expr(" and ".join(near))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct(), "pairs")
     release(spark)
-    # The whole prefixes then have to share as many shingles as the smaller l.
+    # The wider bitmaps have to leave a link possible, and the prefixes to share as many shingles as the smaller l.
     x = live.select(F.col("node").alias("a"), F.col("l").alias("l"), F.expr("transform(filter(kept, x -> x.pos < small), x -> x.token)").alias("x"))
     y = live.select(F.col("node").alias("b"), F.col("l").alias("k"), F.col("kept.token").alias("y"))
-    shared_ = stage(pairs.join(x, "a").join(y, "b").where("size(array_intersect(x, y)) >= least(l, k)").select("a", "b"), "shared")
+    near = sift(pairs).where("open").select("a", "b")
+    shared_ = stage(near.join(x, "a").join(y, "b").where("size(array_intersect(x, y)) >= least(l, k)").select("a", "b"), "shared")
     release(spark)
     found = stage(verify(shared_), "found")
     links = links.unionByName(found.where("linked").select("a", "b"))
     comps = stage(connected(links).withColumnRenamed("c", "comp"), "components")
     unstage(live, sets, pairs, shared_)
 
+    def member_rows(batches):
+        yield from _batches(((i.as_py(), len(u), _node(u)) for i, u in _sets(batches, "id", "text")), ["id", "n", "node"], [id_type, pa.int64(), pa.int64()])
+
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    members = stage(src.mapInArrow(member_rows, f"id {kind}, n long, node long"), "members")
     some = members.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     linked = some.join(comps, "node")
     low = linked.groupBy("comp").agg(F.min("least").alias("low"))
@@ -290,6 +325,20 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def merged(links: DataFrame, steps: int = 3) -> DataFrame:
+    """``c, to``: a common name for components that ``links(p, q)`` connect, by taking the least name of all neighbours a few times.
+
+    That is all for a hub and its partners. On longer chains the names of connected components may still differ,
+    but equal names always mean connected ones.
+    """
+    both = links.union(links.select("q", "p")).where("p != q").distinct()
+    to = both.groupBy("p").agg(F.least("p", F.min("q")).alias("to"))
+    for _ in range(steps - 1):
+        near = both.join(to.withColumnsRenamed({"p": "q"}), "q").groupBy("p").agg(F.min("to").alias("near"))
+        to = to.join(near, "p").select("p", F.least("to", "near").alias("to"))
+    return to.withColumnRenamed("p", "c")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node, c``: the least node of each node's component, for all nodes of ``links(a, b)``.
 
