@@ -29,7 +29,7 @@ from .text import chunks, gathered, mix, signed, words
 
 MIX = 0.7  # weight of bigrams against single words
 HELD = 200_000  # different words that a task counts before it hands them on
-PART = 6_000_000  # bytes of text that are coded together
+PART = 8_000_000  # bytes of text that are coded together
 BUCKET = 4_000_000  # tokens for each bucket, about
 _START, _UNKNOWN = np.uint64(0x5D1F2A9C3B7E4861), np.uint64(0xA3C59AC2E81B7F05)
 
@@ -128,7 +128,7 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
         part = TaskContext.get().partitionId() << 32
         for b in gathered(batches, "text", PART):
             target = b.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
-            for c in chunks(b.column("text"), PART):
+            for c in chunks(b.column("text"), 3 * PART // 2):
                 w = words(c)
                 keys, code = np.unique(w.hash if kept is None else np.where(np.isin(w.hash, kept.value), w.hash, _UNKNOWN), return_inverse=True)
                 size, of = np.diff(w.first), target[c.lo : c.hi]
