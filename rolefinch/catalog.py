@@ -231,11 +231,16 @@ def board_scan_log(spark, d):
 
 @query(f"WITH {HISTORY} SELECT seq, count(*) AS boards_attempted, CAST(sum(ok) AS BIGINT) AS boards_complete, CAST(sum(listed) AS BIGINT) AS postings_seen, CAST(sum(n) AS BIGINT) AS new_count, CAST(sum(r) AS BIGINT) AS reopened_count, CAST(sum(c) AS BIGINT) AS closed_count FROM (SELECT CAST(s.seq AS INT) AS seq, CASE WHEN s.status = 'complete' THEN 1 ELSE 0 END AS ok, (SELECT count(*) FROM good g WHERE g.board = s.board AND g.seq = s.seq) AS listed, (SELECT count(*) FROM evs e WHERE e.board = s.board AND e.seq = s.seq AND kind = 'new') AS n, (SELECT count(*) FROM evs e WHERE e.board = s.board AND e.seq = s.seq AND kind = 'reopened') AS r, (SELECT count(*) FROM evs e WHERE e.board = s.board AND e.seq = s.seq AND kind = 'closed') AS c FROM scans s) GROUP BY seq")
 def run_summary(spark, d):
-    counts = state.history_events(history(spark, d)).groupBy("board", "seq").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "reopened", "closed")))
+    counts = board_counters(spark, d)
     log = board_scan_log(spark, d).join(counts, ["board", "seq"], "left")
     return log.groupBy("seq").agg(F.count("*").alias("boards_attempted"), F.count_if(F.col("status") == "complete").alias("boards_complete"), F.sum("listed").alias("postings_seen"), *(F.sum(F.coalesce(k, F.lit(0))).alias(f"{k}_count") for k in ("new", "reopened", "closed")))
 
 
+@query(f"WITH {HISTORY} SELECT board, CAST(seq AS INT) AS seq, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("new", "reopened", "revised", "closed")) + " FROM evs GROUP BY board, seq")
+def board_counters(spark, d):
+    return state.board_counters(state_events(spark, d))
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 AND s_nationkey = 3")
 def watched_filter(spark, d):
     c = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") > 0).alias("watched"), F.col("s_nationkey").cast("string").alias("provider"), F.lower("s_name").alias("slug"))
@@ -441,7 +446,7 @@ def component_details(spark, d):
 
 @query(f"WITH {HISTORY} SELECT CAST(seq AS INT) AS seq, count(*) AS boards_attempted, count(*) FILTER (status = 'complete') AS boards_complete, count(*) FILTER (status = 'failed') AS n_errors FROM scans GROUP BY seq")
 def run_rollup(spark, d):
-    counts = state.history_events(history(spark, d)).groupBy("board", "seq").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "reopened", "closed")))
+    counts = board_counters(spark, d)
     log = board_scan_log(spark, d).join(counts, ["board", "seq"], "left").withColumn("error", F.concat(F.lit("no answer of "), "board"))
     return tables.run_summary(log, ("seq",)).select("seq", "boards_attempted", "boards_complete", F.size("errors").cast("long").alias("n_errors"))
 

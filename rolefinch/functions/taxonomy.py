@@ -8,7 +8,7 @@ import re
 from pathlib import Path
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 REVISION = 1
@@ -47,6 +47,19 @@ class Taxonomy:
         canonical = json.dumps(document, sort_keys=True, separators=(",", ":"))
         self.version = hashlib.sha256(f"{canonical}|extractor_revision={REVISION}".encode()).hexdigest()
 
+    def checked(self, spark: SparkSession) -> Taxonomy:
+        """Itself, if Spark's regex dialect takes every pattern too; else an error that names the first it refuses."""
+        try:
+            spark.range(1).select(self.skills(F.lit("").alias("x"))).collect()
+        except Exception:
+            for p in self.patterns:
+                try:
+                    spark.range(1).select(F.concat(F.lit(""), F.col("id").cast("string")).rlike(f"(?U){p.pattern}")).collect()
+                except Exception as e:
+                    raise TaxonomyError(f"{p.name}: Spark does not take its pattern") from e
+            raise
+        return self
+
     def skills(self, text: Column) -> Column:
         """Names of the patterns that occur in the text, in code-point order."""
         hit = (F.when(text.rlike(f"(?{'' if p.case_sensitive else 'i'}U){p.pattern}"), p.name) for p in self.patterns)

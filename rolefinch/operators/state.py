@@ -100,3 +100,8 @@ def history_events(history: DataFrame) -> DataFrame:
 def history_final(history: DataFrame) -> DataFrame:
     missing = F.least(F.lit(MISSES), F.col("ahead")).cast("int")
     return history.where("last").select("board", "posting_id", F.when(missing >= MISSES, "closed").otherwise("open").alias("status"), missing.alias("missing"), "content_hash")
+
+
+def board_counters(events: DataFrame) -> DataFrame:
+    """``board, seq, new, reopened, revised, closed``: how many events of each kind every scan of a board made."""
+    return events.groupBy("board", "seq").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("new", "reopened", "revised", "closed")))

@@ -240,3 +240,9 @@ def test_a_listing_refreshes_all_mutable_fields(spark):
     r = out.first()
     assert (r["title"], r["url"], r["locations"], r["salary_min"], r["body_text"], r["status"], r["missing"], r["closed_at"]) == ("new", "u2", ["x"], 2.0, "old body", "open", 0, None)
     assert [e["kind"] for e in events.collect()] == ["reopened"]
+
+
+def test_patterns_have_to_suit_spark_too(spark):
+    assert load().checked(spark).patterns
+    with pytest.raises(TaxonomyError, match="odd"):
+        Taxonomy([Pattern("fine", "x", "a"), Pattern("odd", "x", r"(?P<y>a)(?P=y)")]).checked(spark)
