@@ -40,7 +40,8 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target domain is one source of the documents."""
     from .lm_score import score_cross_entropy
 
-    return score_cross_entropy(_table(spark, sf_dir, "documents"), F.col("source") == "src0")
+    out = score_cross_entropy(_table(spark, sf_dir, "documents"), F.col("source") == "src0")
+    return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "difference")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

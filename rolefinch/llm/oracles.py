@@ -28,4 +28,17 @@ TOPK = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(flo
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
-SQL = {"op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK}
+LOSSES = rf"""WITH w AS (SELECT doc_id, coalesce(source = 'src0', false) AS t, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+tok AS (SELECT doc_id, t, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+pair AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM tok),
+one AS (SELECT x, count(*) AS b, count(*) FILTER (t) AS t FROM tok GROUP BY x UNION ALL SELECT NULL, count(*), count(*) FILTER (t) FROM pair WHERE before IS NULL),
+two AS (SELECT before, x, count(*) AS b, count(*) FILTER (t) AS t FROM pair GROUP BY before, x),
+size AS (SELECT count(*) AS b, count(*) FILTER (t) AS t, count(DISTINCT x) AS words FROM tok),
+loss AS (SELECT two.before, two.x,
+  -ln(0.7 * CASE WHEN f.t > 0 THEN two.t / f.t ELSE (o.t + 1) / (size.t + words + 2) END + 0.3 * (o.t + 1) / (size.t + words + 2)) AS lt,
+  -ln(0.7 * CASE WHEN f.b > 0 THEN two.b / f.b ELSE (o.b + 1) / (size.b + words + 2) END + 0.3 * (o.b + 1) / (size.b + words + 2)) AS lb
+  FROM two JOIN one o ON o.x = two.x JOIN one f ON f.x IS NOT DISTINCT FROM two.before, size),
+doc AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM pair JOIN loss ON loss.x = pair.x AND loss.before IS NOT DISTINCT FROM pair.before GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_tokens, round(lt, 6) AS loss_target, round(lb, 6) AS loss_background, round(lt - lb, 6) AS difference FROM documents LEFT JOIN doc USING (doc_id)"""
+
+SQL = {"op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK}
