@@ -41,4 +41,18 @@ loss AS (SELECT two.before, two.x,
 doc AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM pair JOIN loss ON loss.x = pair.x AND loss.before IS NOT DISTINCT FROM pair.before GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_tokens, round(lt, 6) AS loss_target, round(lb, 6) AS loss_background, round(lt - lb, 6) AS difference FROM documents LEFT JOIN doc USING (doc_id)"""
 
-SQL = {"op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK}
+_PARTS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+WINDOWS = rf"""WITH d AS (SELECT doc_id, {_PARTS} AS w FROM documents),
+i AS (SELECT item_id, w, len(w) AS m, least(len(w), 5) AS k FROM (SELECT item_id, {_PARTS} AS w FROM benchmark) WHERE len(w) > 0),
+ic AS (SELECT item_id, m, k, x, count(*) AS n FROM (SELECT item_id, m, k, unnest(list_transform(range(1, m - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS x FROM i) GROUP BY ALL),
+ds AS (SELECT doc_id, size, k, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS p FROM (SELECT doc_id, len(w) AS size, k, list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' ')) AS s FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, item_id, m, k, size, p FROM ds JOIN ic USING (k, x)),
+near AS (SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, m, k HAVING count(*) >= ceil(0.75 * (m - k + 1))),
+begun AS (SELECT DISTINCT doc_id, item_id, m, k, size, greatest(0, least(p, size - m)) AS p0 FROM hit SEMI JOIN near USING (doc_id, item_id)),
+held AS (SELECT b.doc_id, b.item_id, b.m, b.k, b.size, b.p0, ds.x, count(*) AS n FROM begun b JOIN ds ON ds.doc_id = b.doc_id AND ds.k = b.k AND ds.p BETWEEN b.p0 AND b.p0 + least(b.m, b.size) - b.k GROUP BY ALL),
+met AS (SELECT doc_id, item_id, m, p0, sum(least(held.n, ic.n)) AS common, any_value(least(m, size) - k + 1 + m - k + 1) AS total FROM held JOIN ic USING (item_id, m, k, x) GROUP BY doc_id, item_id, m, p0)
+SELECT doc_id, item_id, CAST(p0 AS INT) AS start_word, CAST(m AS INT) AS n_words, common / (total - common) AS similarity FROM met WHERE 100 * common >= 75 * (total - common)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / (total - common) DESC, p0) = 1"""
+
+SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK}

@@ -657,7 +657,7 @@ def test_queries_equal_their_sql(spark):
     from rolefinch.llm.entry import oracle_sql, queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/sf0.001/{t}.parquet')")
     for name, sql in oracle_sql().items():
         found = con.execute(sql)
