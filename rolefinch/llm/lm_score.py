@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import release, small_batches, stage
-from .text import chunks, gathered, mix, signed, words
+from .text import chunks, gathered, give_back, mix, signed, words
 
 MIX = 0.7  # weight of bigrams against single words
 HELD = 200_000  # different words that a task counts before it hands them on
-PART = 8_000_000  # bytes of text that are coded together
+PART = 6_000_000  # bytes of text that are coded together
 BUCKET = 4_000_000  # tokens for each bucket, about
 _START, _UNKNOWN = np.uint64(0x5D1F2A9C3B7E4861), np.uint64(0xA3C59AC2E81B7F05)
 
@@ -155,6 +155,7 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
                 cut = lambda x: pa.array([_packed(x[a:z]) for a, z in cuts], pa.binary())
                 keys = pa.array([_packed(_steps(p.keys[a:z])) for a, z in cuts], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), b.column("part")[k].as_py(), np.int64)), keys, cut(p.t), cut(p.b)], ["bucket", "part", "keys", "t", "b"])
+            give_back()
 
     def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, keys, t, b = [], [], [], []
@@ -170,6 +171,7 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
         for k, (part, z) in enumerate(zip(of, ends, strict=True)):
             at = inverse[z - len(keys[k]) : z]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([key[0].as_py()], pa.int64()), *(pa.array([_packed(s[at])], pa.binary()) for s in sums), pa.array([new if k == 0 else 0], pa.int64())], ["part", "bucket", "t", "b", "n_words"])
+        give_back()
 
     sums = parts.select("part", *names[2:6]).mapInArrow(sent, T.StructType([*long("bucket", "part"), *blob("keys", "t", "b")])).groupBy("bucket").applyInArrow(added, T.StructType([*long("part", "bucket"), *blob("t", "b"), *long("n_words")]))
     sums = stage(sums, "lm-sums")
@@ -194,6 +196,7 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
                 loss = np.bincount(p.doc, -np.log(MIX * two + (1 - MIX) * share), len(p.size))
                 row.append(pa.array(loss / np.maximum(p.size, 1), mask=p.size == 0))
             out.append(pa.Table.from_arrays(row, ["id", "n_tokens", "t", "b"]))
+        give_back()
         return pa.concat_tables(out)
 
     scored = sums.select("part", "bucket", "t", "b").groupBy("part").cogroup(parts.select("part", "ids", *names[2:6]).groupBy("part")).applyInArrow(losses, T.StructType([T.StructField("id", id_type), *long("n_tokens"), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small_batches, stage, unused
-from .text import spans
+from .text import give_back, spans
 
 PER_SALT = 500  # pieces of one length that are ranked together, about; more where that makes over ``SALTS`` groups
 SALTS = 4096
@@ -230,7 +230,7 @@ def word_starts(text: str) -> np.ndarray:
 class Encoder:
     """Ids of many texts at once: each different word is tokenised once in a while, the rest is array work."""
 
-    WORDS = 1_500_000  # words remembered
+    WORDS = 500_000  # words remembered
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -316,7 +316,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
             lo = 0
             while lo < len(texts):
                 held, total, hi = [], 0, lo
-                while hi < len(texts) and (hi == lo or total < 1_000_000):
+                while hi < len(texts) and (hi == lo or total < 500_000):
                     held.append(texts[hi].as_py() or "")
                     total += len(held[-1])
                     hi += 1
@@ -329,6 +329,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                 at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)).cast(arrow_id), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], [id_col, "piece", "start", "length", "ids_crc32"])
                 lo = hi
+            give_back()
 
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, out)

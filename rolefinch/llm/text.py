@@ -6,14 +6,16 @@ bytes, or one longer text, so that memory does not grow with the number of rows
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1_000_000
+CHUNK = 500_000
 SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
@@ -77,6 +79,21 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         yield Chunk(lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
+    give_back()
+
+
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: workers live on between tasks, and allocators keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
