@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, unused
+from .shared import small_batches, stage, unused
 from .text import _SPACE, Chunk, chunks, signed, spans
 
 
@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = keyed.select("id", "h", "text").mapInArrow(emit, schema)
     shared = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     rows = places.join(shared, "fingerprint").select("id", "h", "fingerprint", F.explode("windows").alias("w"))
-    rows = rows.select("fingerprint", "w.content", "w.b", F.struct(F.col("id").isNull().alias("last"), "id", "h", "w.a").alias("at"))
+    rows = stage(rows.select("fingerprint", "w.content", "w.b", F.struct(F.col("id").isNull().alias("last"), "id", "h", "w.a").alias("at")), "windows")
     first = rows.groupBy("fingerprint", "content").agg(F.min("at").alias("first"), F.max("at").alias("final")).where("first != final").drop("final")
     later = rows.join(first, ["fingerprint", "content"]).where("at > first")
     key, mark, runs = unused(docs, "id"), unused(docs, "h"), unused(docs, "runs")
