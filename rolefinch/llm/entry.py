@@ -78,8 +78,14 @@ def op10_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    named = [op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_benchmark_decontamination, op8_best_fit_packing, op9_line_dedup, op10_exact_topk_search]
+    named = [op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_benchmark_decontamination, op8_best_fit_packing, op9_line_dedup, op10_exact_topk_search, op13_centroid_clustering]
     return {f.__name__: f for f in named}
 
 

@@ -55,4 +55,19 @@ met AS (SELECT doc_id, item_id, m, p0, sum(least(held.n, ic.n)) AS common, any_v
 SELECT doc_id, item_id, CAST(p0 AS INT) AS start_word, CAST(m AS INT) AS n_words, common / (total - common) AS similarity FROM met WHERE 100 * common >= 75 * (total - common)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / (total - common) DESC, p0) = 1"""
 
-SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK}
+_WHOLE = "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _clusters(rounds: int = 5) -> str:
+    parts = [f"v AS MATERIALIZED ({_WHOLE})", "c0 AS MATERIALIZED (SELECT c, v AS m FROM (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INT) AS c, v FROM v) WHERE c < 40)"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS k FROM (SELECT vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r})) WHERE k = 1)")
+        if r < rounds:
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) n USING (c))")
+    parts.append(f"said AS (SELECT c, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM c{rounds})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN said USING (c)"
+
+
+CLUSTERS = _clusters()
+
+SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK, "op13_centroid_clustering": CLUSTERS}
