@@ -78,6 +78,12 @@ def op10_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster
 
@@ -85,7 +91,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_benchmark_decontamination, op8_best_fit_packing, op9_line_dedup, op10_exact_topk_search, op13_centroid_clustering]
+    named = [op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_benchmark_decontamination, op8_best_fit_packing, op9_line_dedup, op10_exact_topk_search, op12_phrase_collocations, op13_centroid_clustering]
     return {f.__name__: f for f in named}
 
 

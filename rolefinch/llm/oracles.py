@@ -70,4 +70,14 @@ def _clusters(rounds: int = 5) -> str:
 
 CLUSTERS = _clusters()
 
-SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK, "op13_centroid_clustering": CLUSTERS}
+PHRASES = rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+size AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+cuts AS (SELECT x.lang, x.phrase, x.f AS a, j, l.f AS l, r.f AS r, n, (1000::HUGEINT * x.f * n) // (l.f::HUGEINT * r.f) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) x JOIN size USING (lang) JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, f FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+kept AS (SELECT * FROM least x WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.lang = x.lang AND held.phrase = x.phrase AND 100 * held.f >= 100 * x.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept QUALIFY rank <= 2000"""
+
+SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK, "op12_phrase_collocations": PHRASES, "op13_centroid_clustering": CLUSTERS}
