@@ -78,6 +78,12 @@ def op10_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main
+
+    return extract_main(_table(spark, sf_dir, "pages"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -91,7 +97,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_benchmark_decontamination, op8_best_fit_packing, op9_line_dedup, op10_exact_topk_search, op12_phrase_collocations, op13_centroid_clustering]
+    named = [op1_license_scan, op2_ngram_jaccard_join, op3_toxicity, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_benchmark_decontamination, op8_best_fit_packing, op9_line_dedup, op10_exact_topk_search, op11_html_extraction, op12_phrase_collocations, op13_centroid_clustering]
     return {f.__name__: f for f in named}
 
 

