@@ -11,6 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .matcher import names_in
+
 REVISION = 1
 BUNDLED = Path(__file__).with_name("taxonomy.txt")
 
@@ -50,7 +52,7 @@ class Taxonomy:
     def checked(self, spark: SparkSession) -> Taxonomy:
         """Itself, if Spark's regex dialect takes every pattern too; else an error that names the first it refuses."""
         try:
-            spark.range(1).select(self.skills(F.lit("").alias("x"))).collect()
+            spark.range(1).select(self.skills_by_rlike(F.lit("").alias("x"))).collect()
         except Exception:
             for p in self.patterns:
                 try:
@@ -61,7 +63,11 @@ class Taxonomy:
         return self
 
     def skills(self, text: Column) -> Column:
-        """Names of the patterns that occur in the text, in code-point order."""
+        """Names of the patterns that occur in the text, in code-point order; one pass over each text."""
+        return F.pandas_udf(names_in(tuple((p.name, p.pattern, p.case_sensitive) for p in self.patterns)), "array<string>")(text)
+
+    def skills_by_rlike(self, text: Column) -> Column:
+        """The same by one ``rlike`` a pattern, within the JVM: for a few patterns that Spark's dialect takes."""
         hit = (F.when(text.rlike(f"(?{'' if p.case_sensitive else 'i'}U){p.pattern}"), p.name) for p in self.patterns)
         return F.array_sort(F.array_compact(F.array(*hit)))
 
