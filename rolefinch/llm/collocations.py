@@ -25,15 +25,14 @@ from pyspark.sql import functions as F
 
 from .perfect_hash import PerfectHash
 from .shared import merged_counters, small_batches, stage, unstage
-from .text import LOWER, Chunk, chunks, mix, running, spans_of, words
+from .text import LOWER, Chunk, chunks, give_back, mix, running, spans_of, words
 
 LONGEST = 5
 MINIMUM = 100
 TOP = 2000
 BLOCK = 1 << 22  # keys of one perfect hash
 ROW = 1 << 14  # slots in a row of the arrays, more only without a break
-TEXT = 2_000_000  # bytes of text read at once
-SEEN = 1 << 20  # slots whose phrases are told together
+SEEN = 1 << 18  # slots whose phrases are told together
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 32]] = True
@@ -50,7 +49,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Chunk,
     """Chunks of texts with their languages, words, which words begin a piece, and two 64-bit keys of each word."""
     for b in batches:
         langs = b.column(0).to_pylist()
-        for c in chunks(b.column(1), TEXT):
+        for c in chunks(b.column(1)):
             w = words(c, True, _SPACE | _BREAK)
             ends = np.concatenate([[0], np.cumsum(_BREAK[c.buf])])
             fresh = np.ones(len(w.start), bool)
@@ -110,6 +109,7 @@ def _arrays(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if size >= SEEN:
                 yield joined()
                 held, size = [], 0
+                give_back()
     if held:
         yield joined()
 
