@@ -451,12 +451,12 @@ def run_rollup(spark, d):
     return tables.run_summary(log, ("seq",)).select("seq", "boards_attempted", "boards_complete", F.size("errors").cast("long").alias("n_errors"))
 
 
-@query(f"WITH {HISTORY} SELECT count(*) + 5 AS n, count(*) + 5 AS top, 1::BIGINT AS least, count(*) FILTER (kind = 'closed') AS closed FROM evs")
+@query(f"""WITH {HISTORY} SELECT 0::BIGINT + id AS id, board, posting_id, seq, kind FROM (SELECT i AS id, 'b' AS board, 0::BIGINT AS posting_id, 0 AS seq, 'new' AS kind FROM range(1, 6) r(i)
+UNION ALL SELECT 5 + row_number() OVER (ORDER BY seq, board, kind = 'closed', posting_id, list_position(['new', 'reopened', 'revised', 'closed'], kind)), board, posting_id, CAST(seq AS INT), kind FROM evs)""")
 def event_log(spark, d):
-    """Numbered events after a log of five: the ids are 1 to n."""
+    """All events of the history, numbered in their order after a log of five."""
     log = spark.range(1, 6).selectExpr("id", "'b' as board", "cast(0 as bigint) as posting_id", "0 as seq", "'new' as kind")
-    out = state.append_events(log, state_events(spark, d), ("board", "posting_id", "seq", "kind"))
-    return out.agg(F.countDistinct("id").alias("n"), F.max("id").alias("top"), F.min("id").alias("least"), F.count_if(F.col("kind") == "closed").alias("closed"))
+    return state.append_events(log, state_events(spark, d), "seq")
 
 
 @query("""WITH s AS (SELECT source AS board, CASE (ascii(right(source, 1)) % 4) WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'failed' ELSE 'complete' END AS scan FROM documents GROUP BY ALL),

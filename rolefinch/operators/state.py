@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..stored import kept
+
 MISSES = 2
 
 
@@ -55,18 +57,25 @@ def apply_snapshot(state: DataFrame, snapshot: DataFrame, scans: DataFrame, now)
     return j.select(*(new_values.get(c, F.col(c)).alias(c) for c in state.columns)), events
 
 
-def append_events(log: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("board", "posting_id", "step"), buckets: int = 256) -> DataFrame:
-    """``log(id, ...)`` with ``events`` after it, numbered on from the greatest id without gaps.
+#: The order of a posting's events in one scan; closings come after all listings of their board.
+STEPS = ("new", "reopened", "revised", "closed")
+
+
+def append_events(log: DataFrame, events: DataFrame, scan: str | None = None) -> DataFrame:
+    """``log(id, ...)`` with ``events(board, posting_id, kind, ...)`` after it, numbered on from the greatest id without gaps.
 
-    Rows are numbered in buckets of a hash, in order of ``keys``; only the bucket sizes are summed in one place, so
-    no task sees all events. An id is a cursor: what is greater was appended later.
+    An id is a cursor: what is greater happened later. The order is that of scans (column ``scan``, if given), in a scan
+    that of boards, on a board listings before closings, then postings, of a posting ``STEPS``. Rows are dealt to
+    partitions by ranges of this order and sorted there; only the partitions' sizes are summed up in one place.
     """
-    x = events.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    sizes = x.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.sum("n").over(W.orderBy("bucket")) - F.col("n")).drop("n")  # a row for each bucket
-    x = x.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy(*keys))).join(F.broadcast(starts), "bucket")
-    x = x.crossJoin(F.broadcast(log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))))  # one row
-    return log.unionByName(x.withColumn("id", F.col("top") + F.col("start") + F.col("rank")).select(*log.columns))
+    keys = [*([F.col(scan)] if scan else []), F.col("board"), F.col("kind") == STEPS[-1], F.col("posting_id"), F.array_position(F.array(*map(F.lit, STEPS)), F.col("kind"))]
+    place = F.monotonically_increasing_id()  # the partition's number, then the row's in it
+    x = kept(events.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", place), "events").withColumn("_part", F.shiftright("_place", 33))
+    sizes = x.groupBy("_part").agg(F.count("*").alias("n"))
+    starts = sizes.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_start"))  # a row for each partition
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    x = x.join(F.broadcast(starts), "_part").withColumn("id", top + F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return log.unionByName(x.select(*log.columns))
 
 
 def replay_history(scans: DataFrame, listings: DataFrame) -> DataFrame:

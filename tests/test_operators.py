@@ -246,3 +246,17 @@ def test_patterns_have_to_suit_spark_too(spark):
     assert load().checked(spark).patterns
     with pytest.raises(TaxonomyError, match="odd"):
         Taxonomy([Pattern("fine", "x", "a"), Pattern("odd", "x", r"(?P<y>a)(?P=y)")]).checked(spark)
+
+
+def test_event_ids_are_in_order(spark):
+    """Postings reopened and revised in one scan: the numbers follow scans, boards, closings last, postings, steps."""
+    rng = random.Random(2)
+    rows = [(b, p, k, s) for s in range(3) for b in "yx" for p in range(200) for k in rng.sample(["revised", "reopened", "closed", "new"], 2)]
+    want = sorted(rows, key=lambda r: (r[3], r[0], r[2] == "closed", r[1], state.STEPS.index(r[2])))
+    rng.shuffle(rows)
+    kind = "board string, posting_id long, kind string, seq int"
+    log = spark.createDataFrame([(7, "z", 1, "new", 0)], f"id long, {kind}")
+    got = state.append_events(log, spark.createDataFrame(rows, kind).repartition(7), "seq").orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got[1:]] == want and [r["id"] for r in got] == list(range(7, 8 + len(want)))
+    again = state.append_events(spark.createDataFrame([], log.schema), spark.createDataFrame(rows[:0], kind)).collect()
+    assert again == []
