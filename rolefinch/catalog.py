@@ -12,7 +12,7 @@ from .functions import text as X
 from .operators import state, tables
 from .plans import shortlist
 from .sources import boards
-from .testviews import NOW, PROFILE, WORDS, listings, postings, scans, table
+from .testviews import NOW, PROFILE, WORDS, listings, postings, scans, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,8 +48,12 @@ def skilled(spark: SparkSession, d: str) -> DataFrame:
     return postings(spark, d).withColumn("skills", F.explode(F.array(WORDS.skills(F.col("body_text")))))
 
 
+def open_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return shortlist.candidates(*stored(spark, d), WORDS.version)
+
+
 def ranked(spark: SparkSession, d: str, profile=UNTITLED) -> DataFrame:
-    return shortlist.score(skilled(spark, d).where("status = 'open'"), profile, NOW)
+    return shortlist.score(open_candidates(spark, d), profile, NOW)
 
 
 @query(f"WITH {POSTINGS} SELECT company, count(*) AS n FROM postings WHERE status = 'open' GROUP BY company")
@@ -160,8 +164,8 @@ TITLED = f"""titled AS (SELECT s.*, m.title_match, (CASE WHEN cov IS NULL THEN 0
 
 @query(f"WITH {POSTINGS}, {SKILLS}, {SCORED}, {TITLED} SELECT posting_id, title, title_match, round(best, 6) AS total, CASE WHEN cov IS NOT NULL THEN 'covers ' || n_covered || '/' || n_skills || ' skills · ' ELSE '' END || CASE WHEN title_match >= 0.8 THEN 'title · ' ELSE '' END || CAST(floor(age) AS BIGINT) || 'd' AS why FROM titled ORDER BY best DESC, posting_id LIMIT 10")
 def rank_top_titles(spark, d):
-    """The shortlist with fuzzy title matching."""
-    return shortlist.top(ranked(spark, d, PROFILE), 10).select("posting_id", "title", F.round("title_match", 6).alias("title_match"), F.round("total", 6).alias("total"), "why")
+    """The shortlist with fuzzy title matching, from stored postings, companies and extractions."""
+    return shortlist.best(open_candidates(spark, d), PROFILE, NOW, 10).select("posting_id", "title", F.round("title_match", 6).alias("title_match"), F.round("total", 6).alias("total"), "why")
 
 
 @query(f"WITH {POSTINGS}, {SKILLS}, {SCORED} SELECT posting_id, position, component, round(value, 6) AS value, weight, round(value * weight, 6) AS weighted FROM (SELECT posting_id, 0 AS position, 'skill_coverage' AS component, cov AS value, 0.5::DOUBLE AS weight FROM scored UNION ALL SELECT posting_id, 1, 'title_match', NULL, 0.25::DOUBLE FROM scored UNION ALL SELECT posting_id, 2, 'recency', rec, 0.15::DOUBLE FROM scored UNION ALL SELECT posting_id, 3, 'location_fit', fit, 0.1::DOUBLE FROM scored)")

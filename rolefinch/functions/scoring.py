@@ -9,6 +9,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import casefold, folded
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -113,8 +115,8 @@ def location_fit(locations: Column, remote_policy: Column, profile: Profile) ->
         return F.when(remote_policy == "remote", 1.0).otherwise(0.0)
     if not profile.locations:
         return F.lit(None).cast("double")
-    wanted = _array([x.lower() for x in profile.locations])
-    fits = F.exists(locations, lambda p: F.exists(wanted, lambda w: F.contains(F.lower(p), w) | F.contains(w, F.lower(p))))
+    wanted = _array([folded(x) for x in profile.locations])
+    fits = F.exists(F.transform(locations, casefold), lambda p: F.exists(wanted, lambda w: F.contains(p, w) | F.contains(w, p)))
     return F.when(F.coalesce(fits, F.lit(False)), 1.0).when(remote_policy == "remote", 0.5).otherwise(0.0)
 
 
@@ -126,7 +128,10 @@ def total(components: list[Column], weights: Weights) -> Column:
 
 
 def vetoed(title: Column, profile: Profile) -> Column:
-    return F.coalesce(F.exists(_array([x.lower() for x in profile.exclude_titles]), lambda x: F.contains(F.lower(title), x)), F.lit(False))
+    if not profile.exclude_titles:
+        return F.lit(False)
+    unwanted = _array([folded(x) for x in profile.exclude_titles])
+    return F.coalesce(F.exists(F.transform(F.array(title), casefold), lambda t: F.exists(unwanted, lambda x: F.contains(t, x))), F.lit(False))
 
 
 def passes(title: Column, fit: Column, profile: Profile, hard_location: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 from html.parser import HTMLParser
 
@@ -30,6 +31,27 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+@functools.lru_cache(1)
+def _special_folds() -> dict[str, str]:
+    """Letters of the basic plane that Unicode case folding takes to something else than their lower case."""
+    every = (chr(k) for k in range(0x80, 0xD800))
+    every = (*every, *(chr(k) for k in range(0xE000, 0x10000)))
+    return {c: c.casefold() for c in every if c.casefold() != c.lower() or c == "\u03a3"}  # a final sigma has a lower case of its own
+
+
+def folded(text: str) -> str:
+    """What ``casefold`` makes of a text: a few scripts fold to capitals, which are lower-cased as well."""
+    return text.casefold().lower()
+
+
+def casefold(c: Column) -> Column:
+    """Unicode case folding: ``Straße`` and ``STRASSE`` are equal after it. Texts without special letters only pay for a search."""
+    special = _special_folds()
+    folds = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in special.items())), F.lit(","), F.lit(":"))
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(folds, x), x))
+    return F.lower(F.when(c.rlike(f"[{''.join(special)}]"), F.array_join(letters, "")).otherwise(c))
+
+
 def normalize_company(c: Column) -> Column:
     kept = F.regexp_replace(strip(F.lower(c)), "[^a-z0-9 ]", "")
     return strip(F.regexp_replace(F.regexp_replace(kept, rf"\b({'|'.join(COMPANY_SUFFIXES)})\b", ""), r"\s+", " "))
@@ -128,5 +150,7 @@ def slug(c: Column) -> Column:
 
 
 def display_name(c: Column) -> Column:
-    """Each run of letters capitalised, also after hyphens."""
-    return F.array_join(F.transform(F.split(c, "-"), lambda x: F.initcap(x)), "-")
+    """Each run of cased letters capitalised: digits, underscores and apostrophes break words too."""
+    first = lambda x: F.upper(F.substring(x, 1, 1))
+    word = lambda x: F.concat(F.substring(first(x), 1, 1), F.lower(F.substring(first(x), 2, 9)), F.lower(F.substring(x, 2, 1 << 30)))
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), 1), word), "")

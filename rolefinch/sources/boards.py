@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import html_to_text, strip, unescape
+from ..functions.text import casefold, html_to_text, strip, unescape
 
 LAYOUTS = ("greenhouse", "lever", "ashby")
 # Pay intervals.
@@ -57,7 +57,7 @@ def _number(v: Column, path: str) -> Column:
 
 
 def remote_policy(locations: Column, flag: Column | None = None) -> Column:
-    said = F.exists(locations, lambda x: F.contains(F.lower(x), F.lit("remote")))
+    said = F.exists(locations, lambda x: F.contains(casefold(x), F.lit("remote")))
     return F.when(said if flag is None else said | F.coalesce(flag, F.lit(False)), "remote").otherwise("unknown")
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions.scoring import Profile
 from .functions.taxonomy import Pattern, Taxonomy
+from .functions.text import content_hash
+from .operators.backfill import backfill, memo
+from .stored import new_path
 
 NOW = "2024-01-31 00:00:00"
 #: Stop words stand for skills: the test texts are invented prose.
@@ -27,6 +30,23 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``postings``, ``companies`` and the extraction memo as a job keeps them, written on first use and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        paths = {name: new_path(spark, name) for name in ("postings", "companies", "extractions")}
+        p = postings(spark, sf_dir).withColumn("content_hash", content_hash(F.col("body_text"))).withColumn("company_id", F.xxhash64("company"))
+        p.drop("company").repartition(spark.sparkContext.defaultParallelism).write.parquet(paths["postings"])
+        p.select("company_id", "company").distinct().write.parquet(paths["companies"])
+        backfill(spark.read.parquet(paths["postings"]), paths["extractions"], WORDS)
+        _stored[key] = paths
+    paths = _stored[key]
+    return spark.read.parquet(paths["postings"]), spark.read.parquet(paths["companies"]), memo(spark, paths["extractions"])
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """board, seq, status: one scan of each board a day."""
     e = table(spark, sf_dir, "events")

@@ -260,3 +260,69 @@ def test_event_ids_are_in_order(spark):
     assert [tuple(r)[1:] for r in got[1:]] == want and [r["id"] for r in got] == list(range(7, 8 + len(want)))
     again = state.append_events(spark.createDataFrame([], log.schema), spark.createDataFrame(rows[:0], kind)).collect()
     assert again == []
+
+
+def scored_postings(spark, n=400):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["backend", "data", "Straße", "senior", "clerk", "of", "harbour"])
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(1, 4))), rng.choice([None, [], ["a"], ["a", "b"], ["c"]]), rng.choice([["Berlin"], ["Paris"], []]), rng.choice(["remote", "unknown"]), rng.choice([None, rng.randrange(90)])) for k in range(n)]
+    df = spark.createDataFrame(rows, "posting_id long, title string, skills array<string>, locations array<string>, remote_policy string, days int").repartition(5)
+    return df.withColumn("posted_at", F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(days)"))
+
+
+@pytest.mark.parametrize("weights", [S.Weights(), S.Weights(0.1, 0.9, 0.3, 0.0), S.Weights(0, 0, 0, 0), S.Weights(1, 0, 0, 0)])
+def test_the_pruned_shortlist_equals_full_scoring(spark, weights):
+    from rolefinch.plans import shortlist
+
+    df = scored_postings(spark)
+    for n in (1, 10, 1000):
+        for p in (S.Profile(["a", "c"], ["senior data clerk", "harbour"], ["of"], ["berlin"]), S.Profile(target_titles=["backend"]), S.Profile(["a"])):
+            cols = ["posting_id", "total", "title_match", "why"]
+            assert shortlist.best(df, p, NOW, n, weights).select(cols).collect() == shortlist.top(shortlist.score(df, p, NOW, weights), n).select(cols).collect()
+    assert shortlist.best(df.where("false"), S.Profile(target_titles=["x"]), NOW).collect() == []
+
+
+def test_titles_are_compared_only_where_they_can_matter(spark):
+    from rolefinch.plans import shortlist
+
+    df = spark.range(5000).selectExpr("id as posting_id", "concat('title ', id) as title", "array('a') as skills", "array('x') as locations", "'unknown' as remote_policy", f"timestamp_ntz'{NOW}' - make_dt_interval(cast(id as int)) as posted_at")
+    assert 3 <= shortlist.contenders(df, S.Profile(["a"], ["title 7"], [], ["y"]), NOW, 3, S.Weights(0.1, 0.1, 0.8, 0.0)).count() < 20
+
+
+def test_case_folding_equals_pythons(spark):
+    words = ["Straße", "STRASSE", "İstanbul", "ΟΔΟΣ", "Οδος", "ﬁn", "ẞ", "plain", "", "aΣ b", "Ꭰ"] + [f"{chr(k)}x" for k in range(0x80, 0x600)]
+    got = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").select("w", X.casefold(F.col("w")).alias("f")).collect()
+    assert all(r["f"] == (None if r["w"] is None else X.folded(r["w"])) for r in got)
+    p = S.Profile(exclude_titles=["STRASSE"], locations=["GRÜẞE"])
+    assert one(spark, S.vetoed(F.lit("Straßenbau"), p)) and not one(spark, S.vetoed(F.lit("Stra"), p))
+    assert one(spark, S.location_fit(F.array(F.lit("Grüsse")), F.lit("unknown"), p)) == 1 and one(spark, boards.remote_policy(F.array(F.lit("ℛ"), F.lit("REMOTE")))) == "remote"
+
+
+@pytest.mark.parametrize("slug", ["foo_bar", "acme2go", "two-words", "o'neil", "ÉCOLE x", "ABC", "", "a  b", "1a2b", "漢a"])
+def test_display_names(spark, slug):
+    assert one(spark, X.display_name(F.lit(slug))) == slug.title()
+
+
+def test_backfill_takes_up_where_it_stopped(spark, tmp_path):
+    from rolefinch.operators.backfill import backfill, memo
+
+    t = Taxonomy([Pattern("tea", "drink", r"\btea\b")])
+    rows = [(i, f"h{i}", "tea" if i % 2 else "mate", "closed" if i % 10 == 0 else "open") for i in range(100)]
+    df = spark.createDataFrame(rows, "posting_id long, content_hash string, body_text string, status string")
+    path, done = f"{tmp_path}/memo", []
+
+    def crash(k):
+        done.append(memo(spark, path).count())
+        if k == 1:
+            raise RuntimeError("power cut")
+
+    with pytest.raises(RuntimeError):
+        backfill(df, path, t, 20, crash)
+    assert len(done) == 2 and 0 < done[0] < done[1] < 90
+    assert backfill(df, path, t, 20) == 90 - done[1] and backfill(df, path, t, 20) == 0
+    got = memo(spark, path).collect()
+    assert sorted((r["posting_id"], r["skills"], r["categories"]) for r in got) == [(i, ["tea"] * (i % 2), {"tea": "drink"} if i % 2 else {}) for i in range(100) if i % 10]
+    other = Taxonomy([Pattern("mate", "drink", "mate")])
+    assert backfill(df, path, other, 1000) == 90 and memo(spark, path).count() == 180
+    edited = df.withColumn("content_hash", F.when(F.col("posting_id") < 5, "new").otherwise(F.col("content_hash")))
+    assert backfill(edited, path, t) == 4
