@@ -407,15 +407,60 @@ def test_contaminated_by_edited_passages(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == pytest.approx(want)
 
 
-def test_simhash_against_plain_votes(spark):
+def test_fingerprints_against_plain_votes(spark):
     from pyspark.sql import functions as F
 
-    from rolefinch.llm.decontaminate import simhash
+    from rolefinch.llm.decontaminate import LANES, fingerprints, tagged
+
+    rows = [(0, [1, -5, 77, 77]), (1, []), (2, [2**62, -(2**63), 123456789]), (3, [8] * 9 + [9])]
+    df = spark.createDataFrame(rows, "k int, s array<long>").select("k", tagged(F.col("s")).alias("bag"))
+    bags = {r["k"]: r["bag"] for r in df.collect()}
+    assert [len(set(bags[k])) for k in range(4)] == [4, 0, 3, 10]  # repeats are told apart
+    got = {r["k"]: r["f"] for r in fingerprints(df, ["k"], "bag").collect()}
+    assert set(got) == {0, 2, 3}
+    for k, f in got.items():
+        for lane in range(LANES):
+            y = [r["y"] for r in spark.createDataFrame([(x,) for x in bags[k]], "x long").select(F.xxhash64("x", F.lit(lane)).alias("y")).collect()]
+            assert f[lane] % (1 << 64) == sum(1 << b for b in range(64) if sum(1 if (x >> b) & 1 else -1 for x in y) > 0)
+
+
+def test_radius_against_chances():
+    """The chance of a bit against throws of random bags, the radius against the binomial tail."""
+    from rolefinch.llm.decontaminate import BITS, LOST, bit_differs, radius_for
+
+    rng = np.random.default_rng(1)
+    for a, b, both in ((4, 5, 4), (11, 11, 10), (33, 30, 27), (60, 60, 52)):
+        votes = rng.integers(0, 2, (200_000, a + b - both)) * 2 - 1
+        x, y = votes[:, :a].sum(axis=1) > 0, votes[:, a - both :].sum(axis=1) > 0
+        assert abs((x != y).mean() - bit_differs(a, b, both)) < 0.005
+    r = radius_for(75)
+    worst = max(bit_differs(a, b, -(-75 * (a + b) // 175)) for a in range(1, 101) for b in range(-(-75 * a // 100), a + 1) if -(-75 * (a + b) // 175) <= b)
+    throws = rng.binomial(BITS, worst, 10**6)
+    assert throws.max() <= r < BITS // 2 - 30 and LOST == 1e-9 and radius_for(100) == 0
+
+
+def test_contaminated_at_the_threshold_with_repeats(spark):
+    """Texts at the least similarity whose difference is one word many times over, and random bags with repeats."""
+    from rolefinch.llm.decontaminate import contaminated
 
-    rows = [([1, -5, 77, 77],), ([],), ([2**62, -(2**63), 123456789],)]
-    for r in spark.createDataFrame(rows, "s array<long>").select("s", simhash(F.col("s")).alias("f")).collect():
-        want = sum(1 << b for b in range(64) if sum(1 if (x >> b) & 1 else -1 for x in r["s"]) > 0)
-        assert r["f"] % (1 << 64) == want
+    rng = np.random.default_rng(21)
+    items, docs = [], []
+    for i in range(20):
+        w = [f"q{i}x{j}" for j in range(130)]
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join(w[:112] + ["again"] * 18)))  # 108 of 126 shingles in common, similarity 108 / 144
+    for i in range(20, 60):
+        w = [f"r{i}"] + [str(rng.choice(["a", "b", f"c{i}", f"d{i}"])) for _ in range(int(rng.integers(5, 60)))]
+        items.append((i, " ".join(w)))
+        for change in range(3):
+            v = list(w)
+            at = int(rng.integers(len(v)))
+            v[at : at + int(rng.integers(0, 4))] = ["a"] * int(rng.integers(0, 4))
+            docs.append((1000 + 3 * i + change, " ".join(["lead", "in"] * change + v + ["a"] * change)))
+    want = {k: v for k, v in best_windows(docs, items).items() if v >= 0.75}
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()}
+    assert got == pytest.approx(want) and all(got[i, i] == 0.75 for i in range(20)) and len(want) > 60
 
 
 def test_packing_round_trip(spark):
