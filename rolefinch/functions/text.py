@@ -136,11 +136,6 @@ def posting_key(company: Column, posting: Column) -> Column:
     return F.struct(company.alias("company_id"), posting.alias("provider_posting_id"))
 
 
-def naive_utc(c: Column) -> Column:
-    """A timestamp as naive UTC; the session's time zone has to be UTC."""
-    return c.cast("timestamp").cast("timestamp_ntz")
-
-
 def split_csv(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.translate(c, "\n", ","), ","), strip), lambda x: x != "")
 

@@ -7,16 +7,17 @@ A payload is one JSON text of a board in one of three layouts: ``greenhouse`` (o
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, html_to_text, strip, unescape
+from ..functions.times import EPOCH_MS, epoch_ms, iso_time
 
-LAYOUTS = ("greenhouse", "lever", "ashby")
 # Pay intervals.
 INTERVALS = {"1 YEAR": "year", "1 MONTH": "month", "1 WEEK": "week", "1 DAY": "day", "1 HOUR": "hour"}
-# The first and last millisecond that a time may have.
-EPOCH_MS = (-62_135_596_800_000, 253_402_300_799_999)
+# What a scan says of a payload and of rows that failed.
+INVALID, ALL_FAILED, SOME_FAILED, ONE_FAILED = "invalid board payload: ", "all %d jobs failed to parse", "%d of %d jobs failed to parse: ", "job %s: %s"
+TOLD = 3  # rows whose errors are told
+SPREAD = 10  # bits by which positions are grouped at each step of gathering them
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -36,24 +37,27 @@ def _names(v: Column, path: str, field: str) -> Column:
     return F.coalesce(F.transform(_get(v, path, "array<variant>"), lambda x: _get(x, field)), F.array().cast("array<string>"))
 
 
-def iso_time(c: Column) -> Column:
-    """An ISO date or time as naive UTC; anything else is null."""
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(c)).cast("timestamp_ntz")
-
-
-def epoch_ms(c: Column) -> Column:
-    """Milliseconds of the epoch as naive UTC; out of range is null."""
-    return F.when(c.between(*EPOCH_MS), F.timestamp_millis(c.cast("long"))).cast("timestamp_ntz")
-
-
 def _present(v: Column, path: str) -> Column:
     x = F.variant_get(v, path, "variant")
     return x.isNotNull() & ~F.is_variant_null(x)
 
 
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
 def _number(v: Column, path: str) -> Column:
-    """A JSON number; anything else is null."""
-    return F.when(F.schema_of_variant(F.variant_get(v, path, "variant")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _get(v, path, "double"))
+    """A JSON number, true as 1 and false as 0; anything else is null."""
+    kind = _kind(F.variant_get(v, path, "variant"))
+    return F.when(kind == "BOOLEAN", _get(v, path, "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), _get(v, path, "double"))
+
+
+def _body_part(v: Column, path: str) -> tuple[Column, Column]:
+    """A part of a plain body, null if it is empty or nothing, and whether it is something else than text."""
+    x = F.variant_get(v, path, "variant")
+    text = F.when(_kind(x) == "STRING", F.nullif(_get(v, path), F.lit("")))
+    nothing = x.isNull() | F.is_variant_null(x) | (_kind(x) == "STRING") | (_number(v, path) == 0) | F.to_json(x).isin("[]", "{}")
+    return text, ~F.coalesce(nothing, F.lit(False))
 
 
 def remote_policy(locations: Column, flag: Column | None = None) -> Column:
@@ -61,34 +65,44 @@ def remote_policy(locations: Column, flag: Column | None = None) -> Column:
     return F.when(said if flag is None else said | F.coalesce(flag, F.lit(False)), "remote").otherwise("unknown")
 
 
-def compensation(v: Column) -> Column:
-    """Pay as a struct, only for exactly one tier of exactly one salary with a known interval, a currency and a bound; ``bad`` if a bound is no number."""
-    tiers = _get(v, "$.compensation.compensationTiers", "array<variant>")
-    parts = _get(F.get(tiers, 0), "$.components", "array<variant>")
-    one = F.get(parts, 0)
-    interval = F.try_element_at(F.create_map(*(F.lit(x) for kv in INTERVALS.items() for x in kv)), F.upper(_get(one, "$.interval")))
-    low, high, currency = _get(one, "$.minValue", "double"), _get(one, "$.maxValue", "double"), _get(one, "$.currencyCode")
-    bad = (_present(one, "$.minValue") & low.isNull()) | (_present(one, "$.maxValue") & high.isNull())
-    ok = (F.size(tiers) == 1) & (F.size(parts) == 1) & (F.lower(_get(one, "$.compensationType")) == "salary") & interval.isNotNull() & (currency != "") & (_present(one, "$.minValue") | _present(one, "$.maxValue"))
-    return F.when(ok, F.struct(low.alias("salary_min"), high.alias("salary_max"), currency.alias("salary_currency"), interval.alias("salary_period"), bad.alias("bad")))
+PAY = "struct<salary_min double, salary_max double, salary_currency string, salary_period string, bad boolean>"
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is used afterwards."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_pay(df: DataFrame, v: str = "raw") -> DataFrame:
+    """``df`` with ``pay``, only for exactly one tier of exactly one salary with a known interval, a currency and a bound; ``bad`` if a bound is no number."""
+    x = once(df, "_tiers", _get(F.col(v), "$.compensation.compensationTiers", "array<variant>"))
+    x = once(x, "_parts", F.when(F.size("_tiers") == 1, _get(F.get("_tiers", F.lit(0)), "$.components", "array<variant>")))
+    x = once(x, "_part", F.when(F.size("_parts") == 1, F.get("_parts", F.lit(0))))
+    one, kinds = F.col("_part"), F.create_map(*(F.lit(y) for kv in INTERVALS.items() for y in kv))
+    x = once(x, "_pay", F.struct(_get(one, "$.compensationType").alias("type"), F.try_element_at(kinds, F.upper(_get(one, "$.interval"))).alias("period"), _get(one, "$.currencyCode").alias("currency"), *(c for n in ("min", "max") for c in (_get(one, f"$.{n}Value", "double").alias(n), _present(one, f"$.{n}Value").alias(f"has_{n}")))))
+    p = lambda c: F.col(f"_pay.{c}")
+    bad = (p("has_min") & p("min").isNull()) | (p("has_max") & p("max").isNull())
+    ok = (F.lower(p("type")) == "salary") & p("period").isNotNull() & (p("currency") != "") & (p("has_min") | p("has_max"))
+    pay = F.when(ok, F.struct(p("min").alias("salary_min"), p("max").alias("salary_max"), p("currency").alias("salary_currency"), p("period").alias("salary_period"), bad.alias("bad")))
+    return x.withColumn("pay", pay).drop("_tiers", "_parts", "_part", "_pay")
 
 
 def _fields(layout: str, v: Column) -> dict[str, Column]:
-    none = F.lit(None)
     if layout == "greenhouse":
         places = _dedup(F.concat(F.array(_get(v, "$.location.name")), _names(v, "$.offices", "$.name")))
         body = html_to_text(unescape(F.coalesce(_get(v, "$.content"), F.lit(""))))
-        return dict(id=_text(v, "$.id"), title=_text(v, "$.title"), url=_get(v, "$.absolute_url"), locations=places, department=F.get(_names(v, "$.departments", "$.name"), 0), body_text=body, remote_policy=remote_policy(places), posted_at=F.coalesce(iso_time(_get(v, "$.first_published")), iso_time(_get(v, "$.created_at"))), updated_at=iso_time(_get(v, "$.updated_at")), pay=none)
+        return dict(id=_text(v, "$.id"), title=_text(v, "$.title"), url=_get(v, "$.absolute_url"), locations=places, department=F.get(_names(v, "$.departments", "$.name"), 0), body_text=body, remote_policy=remote_policy(places), posted_at=F.coalesce(iso_time(_get(v, "$.first_published")), iso_time(_get(v, "$.created_at"))), updated_at=iso_time(_get(v, "$.updated_at")))
     if layout == "lever":
         every = F.filter(_names(v, "$.categories.allLocations", "$"), lambda x: x.isNotNull() & (x != ""))
         single = _get(v, "$.categories.location")
         places = F.when(F.size(_get(v, "$.categories.allLocations", "array<variant>")) > 0, every).when(single != "", F.array(single)).otherwise(F.array().cast("array<string>"))
-        body = F.array_join(F.filter(F.array(_get(v, "$.descriptionPlain"), _get(v, "$.additionalPlain")), lambda x: x.isNotNull() & (x != "")), "\n\n")
-        return dict(id=_text(v, "$.id"), title=_text(v, "$.text"), url=_get(v, "$.hostedUrl"), locations=places, department=_get(v, "$.categories.team"), body_text=body, remote_policy=remote_policy(places), posted_at=epoch_ms(_number(v, "$.createdAt")), updated_at=epoch_ms(_number(v, "$.updatedAt")), pay=none, bad_time=F.coalesce(~_number(v, "$.createdAt").between(*EPOCH_MS), F.lit(False)) | F.coalesce(~_number(v, "$.updatedAt").between(*EPOCH_MS), F.lit(False)))
+        first, second = _body_part(v, "$.descriptionPlain"), _body_part(v, "$.additionalPlain")
+        body = F.concat_ws("\n\n", first[0], second[0])
+        return dict(id=_text(v, "$.id"), title=_text(v, "$.text"), url=_get(v, "$.hostedUrl"), locations=places, department=_get(v, "$.categories.team"), body_text=body, remote_policy=remote_policy(places), posted_at=epoch_ms(_number(v, "$.createdAt")), updated_at=epoch_ms(_number(v, "$.updatedAt")), bad_body=first[1] | second[1], bad_time=F.coalesce(~_number(v, "$.createdAt").between(*EPOCH_MS), F.lit(False)) | F.coalesce(~_number(v, "$.updatedAt").between(*EPOCH_MS), F.lit(False)))
     if layout == "ashby":
         places = _dedup(F.concat(F.array(_get(v, "$.location")), _names(v, "$.secondaryLocations", "$.location")))
         remote = F.when(F.schema_of_variant(F.variant_get(v, "$.isRemote", "variant")) == "BOOLEAN", _get(v, "$.isRemote", "boolean"))
-        return dict(id=_text(v, "$.id"), title=_text(v, "$.title"), url=_get(v, "$.jobUrl"), locations=places, department=_get(v, "$.department"), body_text=html_to_text(_get(v, "$.descriptionHtml")), remote_policy=remote_policy(places, remote), posted_at=iso_time(_get(v, "$.publishedAt")), updated_at=none.cast("timestamp_ntz"), pay=compensation(v))
+        return dict(id=_text(v, "$.id"), title=_text(v, "$.title"), url=_get(v, "$.jobUrl"), locations=places, department=_get(v, "$.department"), body_text=html_to_text(_get(v, "$.descriptionHtml")), remote_policy=remote_policy(places, remote), posted_at=iso_time(_get(v, "$.publishedAt")), updated_at=F.lit(None).cast("timestamp_ntz"))
     raise ValueError(f"no such layout: {layout}")
 
 
@@ -107,26 +121,29 @@ def elements(payloads: DataFrame, layout: str) -> DataFrame:
 def parse(payloads: DataFrame, layout: str) -> DataFrame:
     """``board, valid, cause, pos, provider_posting_id, title, ..., error``: every element, with its own error or none."""
     e = elements(payloads, layout)
+    e = with_pay(e) if layout == "ashby" else e.withColumn("pay", F.lit(None).cast(PAY))
     f = _fields(layout, F.col("raw"))
-    title, pay = strip(f["title"]), f["pay"].cast("struct<salary_min double, salary_max double, salary_currency string, salary_period string, bad boolean>")
-    bad_pay, bad_time = F.coalesce(pay["bad"], F.lit(False)), f.get("bad_time", F.lit(False))
-    error = F.when(F.col("raw").isNotNull(), F.when(f["id"].isNull(), "missing id").when(f["title"].isNull(), "missing title").when(title == "", "empty title").when(bad_time, "time out of range").when(bad_pay, "pay is no number"))
-    return e.select("board", "valid", "cause", "pos", f["id"].alias("provider_posting_id"), title.alias("title"), F.coalesce(f["url"], F.lit("")).alias("url"), f["locations"].alias("locations"), f["department"].alias("department"), f["body_text"].alias("body_text"), f["remote_policy"].alias("remote_policy"), f["posted_at"].alias("posted_at"), f["updated_at"].alias("updated_at"), pay["salary_min"].alias("salary_min"), pay["salary_max"].alias("salary_max"), pay["salary_currency"].alias("salary_currency"), pay["salary_period"].alias("salary_period"), F.to_json("raw").alias("raw_json"), error.alias("error"))
+    title, no = strip(f["title"]), F.lit(False)
+    error = F.when(F.col("raw").isNotNull(), F.when(f["id"].isNull(), "missing id").when(f["title"].isNull(), "missing title").when(title == "", "empty title").when(f.get("bad_body", no), "body is no text").when(f.get("bad_time", no), "time out of range").when(F.coalesce(F.col("pay.bad"), no), "pay is no number"))
+    return e.select("board", "valid", "cause", "pos", f["id"].alias("provider_posting_id"), title.alias("title"), F.coalesce(f["url"], F.lit("")).alias("url"), f["locations"].alias("locations"), f["department"].alias("department"), f["body_text"].alias("body_text"), f["remote_policy"].alias("remote_policy"), f["posted_at"].alias("posted_at"), f["updated_at"].alias("updated_at"), "pay.salary_min", "pay.salary_max", "pay.salary_currency", "pay.salary_period", F.to_json("raw").alias("raw_json"), error.alias("error"))
 
 
 def snapshot_status(parsed: DataFrame) -> DataFrame:
-    """``board, status, listed, error``: complete without errors, partial with some, failed if all rows or the payload failed; the first three are told with their ids."""
-    told = F.struct("pos", F.coalesce("provider_posting_id", F.lit("?")).alias("id"), "error")
-    # The three first of each task at most, so that a board of errors only is not gathered.
-    first = F.min_by(told, F.when(F.col("error").isNotNull(), F.col("pos")))
-    g = parsed.groupBy("board").agg(F.first("valid").alias("valid"), F.first("cause").alias("cause"), F.count("pos").alias("n"), F.count("error").alias("bad"), first.alias("e1"))
-    rest = parsed.where("error is not null").join(g.where("bad > 1").select("board"), "board").withColumn("told", told)
-    rest = rest.withColumn("rank", F.row_number().over(W.partitionBy("board").orderBy("pos"))).where("rank in (2, 3)").groupBy("board").agg(F.array_sort(F.collect_list("told")).alias("more"))
-    g = g.join(rest, "board", "left")
-    listed = F.concat(F.array("e1"), F.coalesce("more", F.array().cast("array<struct<pos int, id string, error string>>")))
-    said = F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" jobs failed to parse: "), F.array_join(F.transform(listed, lambda x: F.concat(F.lit("job "), x["id"], F.lit(": "), x["error"])), "; "))
+    """``board, status, listed, error``: complete without errors, partial with some, failed if all rows or the payload failed; the first three are told with their ids.
+
+    Rows are counted, and the first errors picked, by groups of positions, then by groups of such groups, then by
+    board: no group holds more than a few thousand errors, however many a board has.
+    """
+    told = F.when(F.col("error").isNotNull(), F.struct("pos", F.coalesce("provider_posting_id", F.lit("?")).alias("id"), "error"))
+    first = lambda c: F.slice(F.array_sort(c), 1, TOLD)
+    g = parsed.select("board", "valid", "cause", F.coalesce("pos", F.lit(0)).alias("at"), F.col("pos").isNotNull().cast("long").alias("n"), F.col("error").isNotNull().cast("long").alias("bad"), told.alias("told"))
+    sums = lambda firsts: (F.first("valid").alias("valid"), F.first("cause").alias("cause"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), first(firsts).alias("told"))
+    g = g.groupBy("board", F.shiftright("at", SPREAD).alias("at")).agg(*sums(F.collect_list("told")))
+    g = g.groupBy("board", F.shiftright("at", SPREAD).alias("at")).agg(*sums(F.flatten(F.collect_list("told"))))
+    g = g.groupBy("board").agg(*sums(F.flatten(F.collect_list("told"))))
+    said = F.concat(F.format_string(SOME_FAILED, "bad", "n"), F.array_join(F.transform("told", lambda x: F.format_string(ONE_FAILED, x["id"], x["error"])), "; "))
     status = F.when(~F.col("valid"), "failed").when(F.col("bad") == 0, "complete").when(F.col("bad") == F.col("n"), "failed").otherwise("partial")
-    error = F.when(~F.col("valid"), F.concat(F.lit("invalid board payload: "), "cause")).when((F.col("bad") == F.col("n")) & (F.col("n") > 0), F.concat(F.lit("all "), F.col("n").cast("string"), F.lit(" jobs failed to parse"))).when(F.col("bad") > 0, said)
+    error = F.when(~F.col("valid"), F.concat(F.lit(INVALID), "cause")).when((F.col("bad") == F.col("n")) & (F.col("n") > 0), F.format_string(ALL_FAILED, "n")).when(F.col("bad") > 0, said)
     return g.select("board", status.alias("status"), (F.col("n") - F.col("bad")).alias("listed"), error.alias("error"))
 
 
