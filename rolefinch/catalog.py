@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import scoring as S
 from .functions import text as X
-from .operators import state, tables
+from .operators import backfill, state, tables
 from .plans import shortlist
-from .sources import boards
+from .sources import boards, payloads
+from .stored import new_path
+from .streaming import fold
 from .testviews import NOW, PROFILE, WORDS, listings, postings, scans, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,6 +533,126 @@ def insert_extractions(spark, d):
     return tables.insert_if_absent(row(table(spark, d, "labels").select("doc_id").distinct(), "kept"), row(table(spark, d, "documents"), "added"), keys).select("posting_id", "payload")
 
 
+ALL_SCORED = SCORED.replace(f" AND NOT ({VETO})", "")
+
+
+@query(f"WITH {POSTINGS}, {SKILLS}, {ALL_SCORED} SELECT p.posting_id, p.status, round(total, 6) AS total, CASE WHEN p.status = 'closed' THEN 'closed — not ranked' ELSE CASE WHEN cov IS NOT NULL THEN 'covers ' || n_covered || '/' || n_skills || ' skills · ' ELSE '' END || CAST(floor(age) AS BIGINT) || 'd' END AS why FROM postings p LEFT JOIN scored USING (posting_id)")
+def shown_postings(spark, d):
+    """Every posting as it is shown: open ones with their score from the memo, closed ones without."""
+    return shortlist.shown(*stored(spark, d), WORDS.version, UNTITLED, NOW).select("posting_id", "status", F.round("total", 6).alias("total"), "why")
+
+
+@query(f"WITH {POSTINGS}, {SKILLS} SELECT posting_id, array_to_string(skills, ',') AS skills FROM skilled WHERE status = 'open'")
+def preflight_backfill(spark, d):
+    """The memo after two backfills in batches: of the labelled postings first, then of what is still missing."""
+    p, path = stored(spark, d)[0], new_path(spark, "memo")
+    known = p.join(table(spark, d, "labels").select(F.col("doc_id").alias("posting_id")).distinct(), "posting_id", "left_semi")
+    for todo in (known, p):
+        backfill.backfill(todo, path, WORDS, batch=max(1, p.count() // 3))
+    return backfill.memo(spark, path).select("posting_id", F.array_join("skills", ",").alias("skills"))
+
+
+@query("SELECT doc_id AS posting_id, doc_id % 4 < 3 AS vetoed, CASE WHEN doc_id % 3 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS fit, CASE WHEN doc_id % 3 < 2 THEN 'remote' ELSE 'unknown' END AS policy FROM documents")
+def folded_matches(spark, d):
+    """Vetoes, places and policies that only meet when case is folded."""
+    p = S.Profile(exclude_titles=["HAUPTSTRASSE", "İnanilmaz"], locations=["GROSSE BLEICHEN"])
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (F.col("doc_id") % n + 1).cast("int"))
+    title = F.concat(F.substring("text", 1, 30), pick(4, " Hauptstraße 1", " HAUPTSTRAẞE", " i̇NANILMAZ", " Hauptgasse"))
+    places = F.array(pick(3, "große bleichen", "x", "Kleine Bleichen"), pick(3, "RemotE", "Große Bleichen, remoTe", "y"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("posting_id"), S.vetoed(title, p).alias("vetoed"), S.location_fit(places, F.lit("unknown"), p).alias("fit"), boards.remote_policy(places).alias("policy"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN ts - INTERVAL 90 MINUTE WHEN 3 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('week', ts) END::TIMESTAMP AS at FROM events""")
+def iso_forms(spark, d):
+    """Basic and extended, calendar and week dates, with and without an offset; a month alone is no time."""
+    say = lambda f: F.date_format("ts", f)
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), "ts").cast("string"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
+    forms = [say("yyyyMMdd'T'HHmmss"), F.concat(week, F.lit("-"), (F.weekday("ts") + 1).cast("string"), say("'T'HH:mm")), say("yyyy-MM-dd HH:mm:ss.SSSSSS'+0130'"), say("yyyyMMdd"), week, say("yyyy-MM")]
+    text = F.coalesce(*(F.when(F.col("event_id") % 6 == k, f) for k, f in enumerate(forms)))
+    return table(spark, d, "events").select("event_id", boards.iso_time(text).alias("at"))
+
+
+@query(SQL["state_events"])
+def streamed_events(spark, d):
+    """The history as a stream, its state kept by Spark; the events are those of the whole history."""
+    rows = fold.scan_rows(scans(spark, d), listings(spark, d))
+    source, sink, marks = (new_path(spark, x) for x in ("scans", "streamed", "marks"))
+    rows.write.parquet(source)
+    out = fold.stream_events(spark.readStream.schema(rows.schema).parquet(source), parts=4).withColumn("seq", F.col("seq").cast("int"))
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+@query("""WITH x AS (SELECT doc_id, source, doc_id % 5 <> 0 AS known, doc_id % 3 <> 0 AND source IN ('src1', 'src3') AS listed, doc_id % 11 = 0 AS missed FROM documents)
+SELECT doc_id AS posting_id, source AS board, CASE WHEN NOT listed AND source = 'src1' AND missed THEN 'closed' ELSE 'open' END AS status, CASE WHEN listed THEN 0 WHEN source = 'src1' THEN CASE WHEN missed THEN 2 ELSE 1 END ELSE CASE WHEN missed THEN 1 ELSE 0 END END AS missing,
+CASE WHEN listed AND NOT known THEN 'new' WHEN NOT listed AND source = 'src1' AND missed THEN 'closed' END AS kind FROM x WHERE known OR listed""")
+def pruned_scan(spark, d):
+    """A scan of three boards merged into a state stored by board: src1 complete, src3 partial, src2 failed."""
+    t = table(spark, d, "documents").select(F.col("source").alias("board"), F.col("doc_id").alias("posting_id"))
+    path = new_path(spark, "state")
+    t.where("posting_id % 5 != 0").selectExpr("*", "'h' as content_hash", "'b' as body_text", "'open' as status", "if(posting_id % 11 = 0, 1, 0) as missing", f"timestamp_ntz'{NOW}' as first_seen", f"timestamp_ntz'{NOW}' as last_seen", "cast(null as timestamp_ntz) as closed_at").write.partitionBy("board").parquet(path)
+    new = t.where("posting_id % 3 != 0 and board in ('src1', 'src2', 'src3')").selectExpr("*", "'h' as content_hash", "'b' as body_text")
+    scan = t.select("board").distinct().where("board in ('src1', 'src2', 'src3')").selectExpr("board", "case board when 'src1' then 'complete' when 'src2' then 'failed' else 'partial' end as status")
+    events = state.merge_scan(path, new, scan, F.lit(NOW)).select("board", "posting_id", "kind")
+    return spark.read.parquet(path).join(events, ["board", "posting_id"], "left").select("posting_id", "board", "status", "missing", "kind")
+
+
+@query("SELECT n_name AS board, CASE WHEN n_nationkey % 3 = 0 THEN 'unchanged' WHEN n_nationkey % 3 = 1 THEN 'partial' ELSE 'complete' END AS status, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE count(*) END AS listed FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
+def payload_scan(spark, d):
+    """Payload files read a second time: boards whose first read was complete and cached are not opened again."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    job = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    made = n.join(s, n["n_nationkey"] == s["s_nationkey"]).groupBy("n_name", "n_nationkey").agg(F.collect_list(job).alias("jobs"))
+    bad = F.when(F.col("n_nationkey") % 3 == 1, F.array(F.struct(F.lit(None).cast("int").alias("id"), F.lit(" ").alias("title"))))
+    jobs = F.concat("jobs", F.coalesce(bad.cast(made.schema["jobs"].dataType), F.array().cast(made.schema["jobs"].dataType)))
+    path, cache = new_path(spark, "payloads"), new_path(spark, "validators")
+    made.select(F.col("n_name").alias("board"), F.to_json(F.struct(jobs.alias("jobs"))).alias("value")).repartition("board").write.partitionBy("board").text(path)
+    first = payloads.payloads(spark, path)
+    seen = payloads.statuses(first, "greenhouse").join(first.select("board", "url", "etag"), "board").join(n.select(F.col("n_name").alias("board"), "n_nationkey"), "board").where("n_nationkey % 3 != 2")
+    none = spark.createDataFrame([], "url string, etag string, last_modified string")
+    tables.persist_validators(none, seen.withColumn("last_modified", F.lit(None).cast("string"))).write.parquet(cache)
+    return payloads.statuses(payloads.payloads(spark, path, cache), "greenhouse").select("board", "status", "listed")
+
+
+@query("""SELECT CASE WHEN s_nationkey < 20 THEN s_name ELSE lower(s_name) END AS board, CASE WHEN s_nationkey < 20 THEN s_name || ': no answer' ELSE lower(s_name) || ': unknown provider ''p' || s_nationkey || '''' END AS error
+FROM supplier WHERE CASE WHEN s_nationkey < 20 THEN s_suppkey % 4 = 0 ELSE s_acctbal > 0 END""")
+def run_error_rows(spark, d):
+    """What a run reports: boards that failed, and watched companies whose provider no source reads."""
+    s = table(spark, d, "supplier")
+    companies = s.select(F.lower("s_name").alias("slug"), F.concat(F.lit("p"), "s_nationkey").alias("provider"), (F.col("s_acctbal") > 0).alias("watched"))
+    log = s.where("s_nationkey < 20").select(F.col("s_name").alias("board"), F.when(F.col("s_suppkey") % 4 == 0, "failed").otherwise("complete").alias("status"), F.when(F.col("s_suppkey") % 4 == 0, "no answer").alias("error"))
+    return tables.run_errors(log, companies, [f"p{k}" for k in range(20)])
+
+
+WHOLE = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, 'https://x.example/' || doc_id AS url, {WHOLE} AS body, TIMESTAMP '2024-02-03 04:05:06' AS updated_at, CAST(doc_id AS VARCHAR) AS raw_id FROM documents UNION ALL SELECT 'n' || doc_id, '', '', NULL, 'n' || doc_id FROM documents")
+def whole_greenhouse(spark, d):
+    """Two jobs a board: the whole text as escaped HTML with address and time of update, and one without them; the raw element is kept."""
+    body = F.concat(F.lit("<div><p>"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></div>"))
+    full = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.concat(F.lit("https://x.example/"), "doc_id").alias("absolute_url"), F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias("content"), F.lit("2024-02-03T05:05:06+01:00").alias("updated_at"))
+    bare = F.struct(F.concat(F.lit("n"), "doc_id").alias("id"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("absolute_url"), F.lit(None).cast("string").alias("content"), F.lit("late").alias("updated_at"))
+    return _whole(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("board"), F.to_json(F.struct(F.array(full, bare).alias("jobs"))).alias("content")), "greenhouse")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'https://y.example/' || doc_id AS url, coalesce(nullif(text, '') || chr(10) || chr(10), '') || 'more' AS body, TIMESTAMP '1970-01-01 00:00:00' + to_milliseconds(doc_id) AS updated_at, CAST(doc_id AS VARCHAR) AS raw_id FROM documents")
+def whole_lever(spark, d):
+    job = F.struct(F.col("doc_id").alias("id"), F.lit("t").alias("text"), F.concat(F.lit("https://y.example/"), "doc_id").alias("hostedUrl"), F.col("text").alias("descriptionPlain"), F.lit("more").alias("additionalPlain"), F.col("doc_id").alias("updatedAt"))
+    return _whole(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("board"), F.to_json(F.array(job)).alias("content")), "lever")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, 'https://z.example/' || doc_id AS url, {WHOLE} AS body, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(doc_id AS VARCHAR) AS raw_id FROM documents")
+def whole_ashby(spark, d):
+    body = F.concat(F.lit("<p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p><style>p {}</style>"))
+    job = F.struct(F.col("doc_id").alias("id"), F.lit("t").alias("title"), F.concat(F.lit("https://z.example/"), "doc_id").alias("jobUrl"), body.alias("descriptionHtml"))
+    return _whole(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("board"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("content")), "ashby")
+
+
+def _whole(payloads, layout):
+    return boards.parse(payloads, layout).select(F.col("provider_posting_id").alias("id"), "url", F.col("body_text").alias("body"), "updated_at", F.get_json_object("raw_json", "$.id").alias("raw_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

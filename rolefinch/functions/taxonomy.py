@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .matcher import names_in
 
 REVISION = 1
-BUNDLED = Path(__file__).with_name("taxonomy.txt")
+BUNDLED = Path(__file__).with_name("taxonomy.yaml")
 
 
 class Pattern(NamedTuple):

@@ -26,13 +26,8 @@ def validated(snapshot: DataFrame) -> DataFrame:
 MUTABLE = ("title", "normalized_title", "url", "locations", "remote_policy", "department", "posted_at", "updated_at", "salary_min", "salary_max", "salary_currency", "salary_period", "raw_json")
 
 
-def apply_snapshot(state: DataFrame, snapshot: DataFrame, scans: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """(new state, events) after one scan of each board.
-
-    ``state(board, posting_id, content_hash, body_text, MUTABLE..., status, missing, first_seen, last_seen, closed_at)``,
-    ``snapshot(board, posting_id, content_hash, body_text, MUTABLE...)``, ``scans(board, status)``, ``now`` a column. One
-    join on (board, posting) gives both; boards that are not scanned keep their state.
-    """
+def scan_result(state: DataFrame, snapshot: DataFrame, scans: DataFrame, now) -> DataFrame:
+    """The state after one scan of each board, with ``kinds``, the kinds of events in order; one join on (board, posting)."""
     at = now.cast("timestamp_ntz")
     mutable = [c for c in MUTABLE if c in state.columns and c in snapshot.columns]
     lists = scans.where(F.col("status").isin("complete", "partial")).select("board", F.col("status").alias("scan"))
@@ -53,8 +48,40 @@ def apply_snapshot(state: DataFrame, snapshot: DataFrame, scans: DataFrame, now)
         "closed_at": F.when(listed, F.lit(None)).when(closes, at).otherwise(F.col("closed_at")),
     }
     kinds = F.array(F.when(listed & ~known, "new"), F.when(listed & known & (F.col("status") == "closed"), "reopened"), F.when(revised, "revised"), F.when(closes, "closed"))
-    events = j.select("board", "posting_id", F.posexplode(F.array_compact(kinds)).alias("step", "kind"), at.alias("at"))
-    return j.select(*(new_values.get(c, F.col(c)).alias(c) for c in state.columns)), events
+    return j.select(*(new_values.get(c, F.col(c)).alias(c) for c in state.columns), F.array_compact(kinds).alias("kinds"))
+
+
+def result_events(result: DataFrame, now) -> DataFrame:
+    return result.select("board", "posting_id", F.posexplode("kinds").alias("step", "kind"), now.cast("timestamp_ntz").alias("at"))
+
+
+def apply_snapshot(state: DataFrame, snapshot: DataFrame, scans: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(new state, events) after one scan of each board.
+
+    ``state(board, posting_id, content_hash, body_text, MUTABLE..., status, missing, first_seen, last_seen, closed_at)``,
+    ``snapshot(board, posting_id, content_hash, body_text, MUTABLE...)``, ``scans(board, status)``, ``now`` a column.
+    Boards that are not scanned keep their state.
+    """
+    result = scan_result(state, snapshot, scans, now)
+    return result.drop("kinds"), result_events(result, now)
+
+
+def merge_scan(path: str, snapshot: DataFrame, scans: DataFrame, now) -> DataFrame:
+    """Bring the state stored under ``path``, partitioned by board, up to date with one scan of some boards; the events.
+
+    Only the partitions of boards with a complete or partial scan are read (Spark prunes them by the scans) and
+    written; the join is made once. A run that stops before the last write leaves the state as it was.
+    """
+    spark = snapshot.sparkSession
+    state = spark.read.parquet(path)
+    result = kept(scan_result(state.join(scanned(scans), "board", "left_semi"), snapshot, scans, now), "scan")
+    result.drop("kinds").select(*state.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board").parquet(path)
+    return result_events(result, now)
+
+
+def scanned(scans: DataFrame) -> DataFrame:
+    """The boards whose scan lists postings; failed and unchanged scans change nothing."""
+    return scans.where(F.col("status").isin("complete", "partial")).select("board")
 
 
 #: The order of a posting's events in one scan; closings come after all listings of their board.

@@ -56,6 +56,7 @@ def stale_profile(profile: DataFrame, version: str) -> DataFrame:
     return profile.where(~F.col("taxonomy_version").eqNullSafe(F.lit(version)))
 
 
+
 def by_id(df: DataFrame, key: str, value) -> DataFrame:
     """The rows of one key; the filter reaches the scan."""
     return df.where(F.col(key) == F.lit(value))
@@ -66,6 +67,22 @@ def providers(companies: DataFrame) -> DataFrame:
     return companies.where("watched").select("provider").distinct()
 
 
+def known_boards(companies: DataFrame, providers: list[str]) -> DataFrame:
+    """Watched companies whose provider there is a source for: the boards that a run attempts."""
+    return companies.where("watched").where(F.col("provider").isin(providers))
+
+
+def unknown_providers(companies: DataFrame, providers: list[str]) -> DataFrame:
+    """``board, error`` of watched companies that no source reads: errors of a run, though no boards of it."""
+    return companies.where("watched").where(~F.coalesce(F.col("provider").isin(providers), F.lit(False))).select(F.col("slug").alias("board"), F.format_string("%s: unknown provider '%s'", "slug", "provider").alias("error"))
+
+
+def run_errors(scan_log: DataFrame, companies: DataFrame, providers: list[str]) -> DataFrame:
+    """``board, error``: what a run reports, a row each: failed boards, and companies of unknown providers."""
+    failed = scan_log.where("status = 'failed'").select("board", F.format_string("%s: %s", "board", "error").alias("error"))
+    return failed.unionByName(unknown_providers(companies, providers))
+
+
 def requests(boards: DataFrame, http_cache: DataFrame) -> DataFrame:
     """Boards with the validators last kept for their url, null where there are none."""
     return boards.join(http_cache.select("url", "etag", "last_modified"), "url", "left")

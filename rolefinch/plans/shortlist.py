@@ -68,3 +68,12 @@ def explain(scored: DataFrame, weights: S.Weights = S.Weights(), half_life_days:
     said = S.details(*(F.col(c) for c in ("skill_coverage", "n_covered", "n_skills", "title_match", "recency", "location_fit")), half_life_days)
     rows = [F.struct(F.lit(k).alias("position"), F.lit(c).alias("component"), F.col(c).cast("double").alias("value"), F.lit(float(w)).alias("weight"), (F.col(c) * w).cast("double").alias("weighted"), said[k].alias("detail")) for k, (c, w) in enumerate(zip(COMPONENTS, weights.values(), strict=True))]
     return scored.select("posting_id", F.inline(F.array(*rows)))
+
+
+def shown(postings: DataFrame, companies: DataFrame, extractions: DataFrame, version: str, profile: S.Profile, now, weights: S.Weights = S.Weights(), half_life_days: float = 14.0) -> DataFrame:
+    """Postings of any status with their company and, where they are open, components and ``total``; closed ones are not ranked, nor is one left out by a filter."""
+    x = current_extractions(postings, extractions, version).join(companies.select("company_id", "company"), "company_id")
+    free = S.Profile(profile.skills, profile.target_titles, [], profile.locations, profile.remote_only)
+    x = whole(cheap(x, free, now, half_life_days), free, now, weights)
+    ranked = F.col("status") == "open"
+    return x.withColumns({c: F.when(ranked, F.col(c)) for c in (*COMPONENTS, "total", "n_covered", "n_skills")}).withColumn("why", F.when(ranked, F.col("why")).otherwise("closed — not ranked"))
