@@ -2,7 +2,8 @@
 
 The lexicon is learned from labelled documents: words and stems far likelier in toxic ones. Every different word
 of a chunk is matched by running its Levenshtein automaton along the trie, so that a misspelled term is found
-without comparing the word to all terms. A hit's context window tells quotation (quote marks, words of report)
+without comparing the word to all terms. So are terms cut up by other characters: pieces with one or two such
+characters between them, or single letters with spaces between them, are matched as one word. A hit's context window tells quotation (quote marks, words of report)
 from abuse (address, exclamation); exact and misspelled hits, weighted by context, are the features of a
 logistic model.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from .labels import SAMPLE, is_held_out, training_rows
 from .shared import small_batches, unused
-from .text import LOWER, Chunk, chunks, shingles, spans, words
+from .text import _SPACE, LOWER, Chunk, chunks, shingles, spans, words
 
 WINDOW = 6  # words on each side of a hit
 
@@ -134,29 +135,29 @@ class Lexicon:
     def __reduce__(self):
         return Lexicon, (self.terms, self.weights.tolist())
 
+    def _near(self, sizes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Which words can be within a term's edits: one changes the number of characters by one at most, and which ASCII letters there are by two."""
+        close = np.zeros(len(sizes), bool)
+        for t, s, d in zip(self.bits, self.sizes, self.edits, strict=True):
+            close |= (np.bitwise_count(letters ^ t) <= 2 * d) & (np.abs(sizes - s) <= d)
+        return close
+
     def hits(self, c: Chunk):
-        """Words of a chunk; for each word the matched term (or -1) and its distance."""
+        """Words of a chunk; for each word the matched term (or -1) and its distance. A term in pieces is matched at its first one, at a distance of one at least."""
         w = words(c, space=_SEPARATOR)
         term, far = np.full(len(w.start), -1, np.int64), np.zeros(len(w.start), np.int64)
         if not len(w.start) or not self.terms:
             return w, term, far
         _, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         characters = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])
-        size = characters[w.end[index]] - characters[w.start[index]]
-        most = self.edits.max()
-        near = np.flatnonzero((size >= self.sizes.min() - most) & (size <= self.sizes.max() + most))
-        near = near[np.argsort(index[near])]
-        # An edit changes the number of characters by one at most, and which ASCII letters there are by two.
+        sizes = characters[w.end] - characters[w.start]
         one = np.where(c.buf < 128, np.uint32(1) << (LOWER[c.buf] & 31).astype(np.uint32), np.uint32(0))
-        edges = np.stack([w.start[index[near]], w.end[index[near]]], 1).ravel()
-        letters = np.bitwise_or.reduceat(np.append(one, np.uint32(0)), edges)[::2] if len(near) else np.empty(0, np.uint32)
-        close = np.zeros(len(near), bool)
-        for t, s, d in zip(self.bits, self.sizes, self.edits, strict=True):
-            close |= (np.bitwise_count(letters ^ t) <= 2 * d) & (np.abs(size[near] - s) <= d)
+        letters = np.bitwise_or.reduceat(np.append(one, np.uint32(0)), np.stack([w.start, w.end], 1).ravel())[::2]
+        low = LOWER[c.buf]
+        spoken = lambda i: low[w.start[i] : w.end[i]].tobytes()
         found = {}
-        for k in near[close]:
-            i = index[k]
-            got = self.automaton.search(LOWER[c.buf[w.start[i] : w.end[i]]].tobytes().decode("utf-8", "replace"))
+        for k in np.flatnonzero(self._near(sizes[index], letters[index])):
+            got = self.automaton.search(spoken(index[k]).decode("utf-8", "replace"))
             if got:
                 found[k] = got
         if found:
@@ -164,8 +165,39 @@ class Lexicon:
             for k, (d, t) in found.items():
                 t_of[k], d_of[k] = t, d
             term, far = t_of[inverse], d_of[inverse]
+        taken = term >= 0
+        known: dict[bytes, tuple[int, int] | None] = {}
+        pieces = []
+        for first, n in self._pieces(c, w, sizes, letters):
+            word = b"".join(spoken(i) for i in range(first, first + n))
+            if word not in known:
+                known[word] = self.automaton.search(word.decode("utf-8", "replace"))
+            if known[word]:
+                pieces.append((known[word][0], -n, first, known[word][1]))
+        for d, n, first, t in sorted(pieces):  # the fewest edits, then the most pieces
+            if not taken[first : first - n].any():
+                taken[first : first - n] = True
+                term[first], far[first] = t, max(1, d)
         return w, term, far
 
+    def _pieces(self, c: Chunk, w, sizes: np.ndarray, letters: np.ndarray):
+        """(first word, number of words) of runs of two or more that together can be a term."""
+        gap = w.start[1:] - w.end[:-1]
+        blank = np.concatenate([[0], np.cumsum(_SPACE[c.buf])])
+        apart = blank[w.start[1:]] > blank[w.end[:-1]]
+        linked = np.append((w.doc[1:] == w.doc[:-1]) & (gap <= 2) & (~apart | ((sizes[1:] == 1) & (sizes[:-1] == 1))), False)
+        most = self.sizes.max() + self.edits.max()
+        first = np.flatnonzero(linked)
+        size, bits, n = sizes[first], letters[first], 1
+        while len(first):
+            size, bits, n = size + sizes[first + n], bits | letters[first + n], n + 1
+            fits = size <= most
+            first, size, bits = first[fits], size[fits], bits[fits]
+            for k in first[self._near(size, bits)].tolist():
+                yield k, n
+            more = linked[first + n - 1]
+            first, size, bits = first[more], size[more], bits[more]
+
     def features(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """A row of features for each text of a chunk, and its number of hits."""
         n = c.hi - c.lo
