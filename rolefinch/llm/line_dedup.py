@@ -3,10 +3,11 @@
 A window is a run of consecutive lines of one document with at least ``min_words`` words that is as short as it
 can be from its first line on, or from its last line back. Of each window the line with the least hash (the
 first of equal ones) is selected as fingerprint. A repeated run of at least that many words holds whole windows,
-and wherever such a window occurs the same line of it is selected: so only selected lines are joined, with their
-places, and lines selected once only drop out. From each shared place the match is extended both ways over the
-windows that selected it, by the hashes of their lines, and the repeated windows of a document merge into runs.
-Every occurrence but the first (in order of id, then line) is deleted.
+and wherever such a window occurs the same line of it is selected: so only places of selected lines are joined, and
+lines selected once only drop out. A place knows the hashes of the lines around it, as far as the windows reach that
+selected it, and it meets the first place at which one of these windows occurs. From there the match is extended
+both ways, line by line, to one maximal run; the runs of a document merge. Every occurrence but the first (in order
+of id, then line) is deleted.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, stage, unused
+from .shared import small_batches, stage, unstage, unused
 from .text import _SPACE, Chunk, chunks, signed, spans
 
+SALTS = 32  # parts into which the places of one line, or of one window, are dealt in a join
+
 
 def _lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, text number, and words before it (one more than there are lines), for all lines of a chunk."""
@@ -52,15 +55,13 @@ def _lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def selected(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
-    """All windows of a chunk, those of one selected line together.
+    """All windows of a chunk, those of one selected line together, and the hash of every line.
 
-    (text number, selected line, its hash, first and last line of the window, hash of the window's lines); lines
-    count from 0 in their text.
+    (text number, selected line, first and last line of the window, hash of the window's lines); lines count from 0 in
+    the chunk. Then the line hashes, and the first line of each line's text.
     """
     start, end, owner, words = _lines(c)
     n = len(start)
-    if not n:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
     line = np.arange(n)
     b = np.searchsorted(words, words[:-1] + min_words, "left") - 1
     ok = b < n
@@ -71,16 +72,17 @@ def selected(c: Chunk, min_words: int) -> tuple[np.ndarray, ...]:
     a = np.minimum(a, line)
     pairs = np.unique(np.concatenate([line[ok] * (n + 1) + b[ok], a[ok2] * (n + 1) + line[ok2]]))
     a, b = pairs // (n + 1), pairs % (n + 1)
-    if not len(a):
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    hashes, order = np.unique(spans(c.buf, start, end), return_inverse=True)
-    low = np.minimum.reduceat(np.append(order, n), np.stack([a, b + 1], 1).ravel())[::2]
-    places = np.sort(order * n + line)
-    at = places[np.searchsorted(places, low * n + a)] % n
+    each = spans(c.buf, start, end)
+    hashes, order = np.unique(each, return_inverse=True)
+    if len(a):
+        low = np.minimum.reduceat(np.append(order, n), np.stack([a, b + 1], 1).ravel())[::2]
+        places = np.sort(order * n + line)
+        at = places[np.searchsorted(places, low * n + a)] % n
+    else:
+        at = a
     by = np.lexsort((b, a, at))
-    a, b, at, low = a[by], b[by], at[by], low[by]
-    head = np.searchsorted(owner, owner[a])  # the text's first line
-    return owner[a], at - head, signed(hashes[low]), a - head, b - head, signed(spans(c.buf, start[a], end[b]))
+    a, b, at = a[by], b[by], at[by]
+    return owner[a], at, a, b, signed(spans(c.buf, start[a], end[b])), signed(each), np.searchsorted(owner, owner)
 
 
 def _without(text: str, runs: np.ndarray) -> tuple[str, int]:
@@ -105,28 +107,38 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("h", "line", "fingerprint"))])
-    schema = schema.add("windows", T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("content", T.LongType())])))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("h", "line", "fingerprint", "at")), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("lines", "windows"))])
 
     def emit(batches):
         for x in batches:
             ids, hs = x.column("id"), x.column("h")
             for c in chunks(x.column("text")):
-                d, line, low, a, b, content = selected(c, min_words)
-                first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0))
-                each = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(content)], ["a", "b", "content"])
-                at = pa.array(d[first] + c.lo)
-                ends = pa.array(np.append(first, len(d)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(line[first].astype(np.int64)), pa.array(low[first]), pa.ListArray.from_arrays(ends, each)], ["id", "h", "line", "fingerprint", "windows"])
-
+                d, at, a, b, content, each, head = selected(c, min_words)
+                first = np.flatnonzero(np.diff(at, prepend=-1) != 0)
+                if not len(first):
+                    continue
+                ends = np.append(first, len(d))
+                lo, hi = np.minimum.reduceat(a, first), np.maximum.reduceat(b, first) + 1
+                around = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                lines = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)), pa.array(each[around]))
+                of, place = pa.array(d[first] + c.lo), at[first]
+                yield pa.RecordBatch.from_arrays([ids.take(of), hs.take(of), pa.array(place - head[place]), pa.array(each[place]), pa.array(place - lo), lines, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(content))], schema.names)
+
+    salt = F.pmod(F.xxhash64("id", "h", "line"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     places = keyed.select("id", "h", "text").mapInArrow(emit, schema)
-    shared = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    rows = places.join(shared, "fingerprint").select("id", "h", "fingerprint", F.explode("windows").alias("w"))
-    rows = stage(rows.select("fingerprint", "w.content", "w.b", F.struct(F.col("id").isNull().alias("last"), "id", "h", "w.a").alias("at")), "windows")
-    first = rows.groupBy("fingerprint", "content").agg(F.min("at").alias("first"), F.max("at").alias("final")).where("first != final").drop("final")
-    later = rows.join(first, ["fingerprint", "content"]).where("at > first")
+    shared = places.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint", salts)
+    rows = stage(places.select("*", salt).join(shared, ["fingerprint", "salt"]), "places")
+    windows = rows.select("fingerprint", "salt", F.explode("windows").alias("window"), F.struct(F.col("id").isNull().alias("last"), "id", "h", "line").alias("place"), F.struct("at", "lines").alias("here"))
+    first = windows.groupBy("fingerprint", "window").agg(F.min("place").alias("first"), F.max("place").alias("final"), F.min_by("here", "place").alias("there")).where("first != final").select("fingerprint", "window", "first", "there", salts)
+    later = windows.join(first, ["fingerprint", "window", "salt"]).where("place > first")
+    same = lambda x, y: F.coalesce(F.nullif(F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False), F.lit(0)) - 1, F.size(x))  # noqa: E731  how many agree from the start; the longer one is padded with nulls
+    ahead = lambda w: F.slice(F.col(f"{w}.lines"), F.col(f"{w}.at") + 1, F.size(f"{w}.lines"))
+    behind = lambda w: F.reverse(F.slice(F.col(f"{w}.lines"), F.lit(1), F.col(f"{w}.at")))
+    run = F.struct((F.col("place.line") - same(behind("here"), behind("there"))).cast("int").alias("a"), (F.col("place.line") + same(ahead("here"), ahead("there")) - 1).cast("int").alias("b"))
     key, mark, runs = unused(docs, "id"), unused(docs, "h"), unused(docs, "runs")
-    found = later.groupBy(F.col("at.id").alias(key), F.col("at.h").alias(mark)).agg(F.collect_set(F.struct("at.a", "b")).alias(runs))
+    found = stage(later.groupBy(F.col("place.id").alias(key), F.col("place.h").alias(mark)).agg(F.collect_set(run).alias(runs)), "runs")
+    unstage(rows)
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
     whole = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept))
     joined = whole.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(mark)), "left").select(*(F.col(f"`{c}`") for c in kept), runs)
