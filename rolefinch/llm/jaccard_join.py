@@ -39,6 +39,8 @@ MIN_L, MAX_L = 6, 24  # prefix shingles that a pair has to share, where the sets
 MARK = 16  # words of 64 bits of a parity bitmap in the rows of a join
 HUB_ROUNDS = 4
 BROADCAST_PAIRS = 500_000  # pairs of two numbers, 8 MB
+COPIES = 1000  # of one text, beyond which they are named apart from the rest
+SALTS = 32
 VERIFY_COST = 30.0  # of a verification, in rows of a bucket
 
 
@@ -110,6 +112,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names a component unless all of its ids are null. Rows that repeat an id are documents of their own. Other
     columns, of whatever names, are not read. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
+    staged: list[DataFrame] = []
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        staged.append(stage(df, name))
+        return staged[-1]
+
+    try:
+        return stage(_components(docs, hold, id_col, text_col, percent), "jaccard")
+    finally:
+        unstage(*staged)
+
+
+def _components(docs: DataFrame, hold, id_col: str, text_col: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -160,18 +176,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield from _batches(rows(), ["node", "n", "l", "small", "tokens", "mark"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), many, many])
 
     nodes = src.mapInArrow(node_rows, "node long, n int, l int, small int, tokens array<long>, mark array<long>")
-    nodes = stage(nodes.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens", "mark"))), "nodes")
+    nodes = hold(nodes.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "l", "small", "tokens", "mark"))), "nodes")
     release(spark)
 
     # Of each node the prefix shingles that other nodes have in theirs, with their exact numbers of nodes. Only
     # shingle, node and place are shuffled; what is known of a node is joined when most rows are gone.
-    often = stage(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    often = hold(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     release(spark)
     kept = nodes.select("node", F.posexplode("tokens").alias("pos", "token")).join(often, "token").groupBy("node").agg(F.collect_list(F.struct("token", "pos", "df")).alias("kept"))
     # A node has a partner only if it shares as many of its shingles as the least l that both could have.
     enough = f"size(kept) >= least({MIN_L}, greatest(1, ceil({percent} * ceil({percent} * n / 100) / 100)))"
     live = kept.join(nodes.select("node", "n", "l", "small", "mark"), "node").where(enough)
-    live = stage(live.withColumn("c", F.col("node")), "live")
+    live = hold(live.withColumn("c", F.col("node")), "live")
     unstage(nodes, often)
     del nodes, often, kept
     release(spark)
@@ -197,7 +213,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return True
 
     sets = src.mapInArrow(set_rows, "node long, s binary").join(live.select("node"), "node", "left_semi")
-    sets = stage(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
+    sets = hold(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
     release(spark)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -236,15 +252,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = rows.select("node", "n", *(["c", "e"] if k else []), F.col("e.token").alias("token"))
         met = rows.join(hubs, "token").drop("token").withColumn("c", F.col("c" if k else "node"))
         if k:  # what is left of each node: shingles that two components have
-            met = stage(met, "met")
+            met = hold(met, "met")
         pairs = met.where(f"c != hub_c and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("node", "b")
         # The hub that shares most of a node's buckets is the likeliest partner.
         pairs = pairs.groupBy("node", "b").agg(F.count("*").alias("hits"))
         pairs = pairs.groupBy("node").agg(F.max(F.struct("hits", F.xxhash64("b", F.lit(k)).alias("o"), "b")).alias("h")).select(F.col("node").alias("a"), F.col("h.b").alias("b"))
         sifted = sift(pairs)
-        sifted = stage(sifted, "sifted")
+        sifted = hold(sifted, "sifted")
         release(spark)
-        found = stage(verify(sifted.where("open").select("a", "b")), "found")
+        found = hold(verify(sifted.where("open").select("a", "b")), "found")
         release(spark)
         new = found.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
@@ -258,8 +274,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if n_new:
             label = live.select("node", "c")
             met_c = new.join(label.withColumnsRenamed({"node": "a", "c": "p"}), "a").join(label.withColumnsRenamed({"node": "b", "c": "q"}), "b") if k else new.withColumnsRenamed({"a": "p", "b": "q"})
-            known = known.join(stage(merged(met_c.select("p", "q")), "merged"), "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
-        known = stage(known, "live")
+            known = known.join(hold(merged(met_c.select("p", "q")), "merged"), "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
+        known = hold(known, "live")
         unstage(live, sifted, *([met] if k else []))
         live, rounds = known, k + 1
         del known, seen, met, pairs, rows, hubs, sifted
@@ -278,30 +294,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = [f"s.token = t.token and s.c != t.c and struct(s.n, s.node) < struct(t.n, t.node) and 100 * s.n >= {percent} * t.n and s.rank >= least(s.l, t.l) - 1"]
     near.append(f"{100 + percent} * ({' + '.join(f'bit_count(s.m{w} ^ t.m{w})' for w in range(MARK))}) <= {100 - percent} * (s.n + t.n)")
     near.append("not coalesce(" + " or ".join(f"(s.h{k} = t.h{k} and (s.lo{k} - t.hi{k} > {most!r} or t.lo{k} - s.hi{k} > {most!r}))" for k in range(rounds)) + ", false)")
-    pairs = stage(s.join(t, F.expr(" and ".join(near))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct(), "pairs")
+    pairs = hold(s.join(t, F.expr(" and ".join(near))).select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct(), "pairs")
     release(spark)
     # The wider bitmaps have to leave a link possible, and the prefixes to share as many shingles as the smaller l.
     x = live.select(F.col("node").alias("a"), F.col("l").alias("l"), F.expr("transform(filter(kept, x -> x.pos < small), x -> x.token)").alias("x"))
     y = live.select(F.col("node").alias("b"), F.col("l").alias("k"), F.col("kept.token").alias("y"))
     near = sift(pairs).where("open").select("a", "b")
-    shared_ = stage(near.join(x, "a").join(y, "b").where("size(array_intersect(x, y)) >= least(l, k)").select("a", "b"), "shared")
+    shared_ = hold(near.join(x, "a").join(y, "b").where("size(array_intersect(x, y)) >= least(l, k)").select("a", "b"), "shared")
     release(spark)
-    found = stage(verify(shared_), "found")
+    found = hold(verify(shared_), "found")
     links = links.unionByName(found.where("linked").select("a", "b"))
-    comps = stage(connected(links).withColumnRenamed("c", "comp"), "components")
+    groups = connected(links)
+    comps = groups.withColumnRenamed("c", "comp")
     unstage(live, sets, pairs, shared_)
 
     def member_rows(batches):
         yield from _batches(((i.as_py(), len(u), _node(u)) for i, u in _sets(batches, "id", "text")), ["id", "n", "node"], [id_type, pa.int64(), pa.int64()])
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    members = stage(src.mapInArrow(member_rows, f"id {kind}, n long, node long"), "members")
-    some = members.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    members = hold(src.mapInArrow(member_rows, f"id {kind}, n long, node long"), "members")
+    some = members.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     linked = some.join(comps, "node")
     low = linked.groupBy("comp").agg(F.min("least").alias("low"))
     low = linked.join(low, "comp").select("node", "low")
-    named = some.join(low, "node", "left").select("node", F.coalesce("low", "least").alias("component_id"))
-    out = members.join(named, "node", "left")
+    named = hold(some.join(low, "node", "left").select("node", F.coalesce("low", "least").alias("component_id"), "copies"), "named")
+    unstage(groups)
+    # Texts with many copies are few; their copies are named apart from the rest, not all in one task.
+    common = named.where(F.col("copies") > COPIES).select("node", F.col("component_id").alias("common_id"))
+    if common.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        out = members.join(F.broadcast(common), "node", "left")
+    else:
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        out = salted.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["node", "salt"], "left")
+    out = out.withColumn("key", F.when(F.col("common_id").isNull() & (F.col("n") > 0), F.col("node")).otherwise(F.xxhash64("id", "n")))  # the others are dealt at random
+    out = out.join(named.where(F.col("copies") <= COPIES).select(F.col("node").alias("key"), "component_id"), "key", "left")
+    out = out.withColumn("component_id", F.coalesce("common_id", "component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -363,4 +390,6 @@ def connected(links: DataFrame) -> DataFrame:
         before = now
     c = edges.groupBy("a").agg(F.min("b").alias("c"))
     roots = c.select(F.col("c").alias("a")).distinct().withColumn("c", F.col("a"))
-    return c.union(roots).select(F.col("a").alias("node"), "c")
+    out = stage(c.union(roots).select(F.col("a").alias("node"), "c"), "components")
+    unstage(edges)
+    return out

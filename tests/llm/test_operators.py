@@ -710,3 +710,25 @@ def test_queries_equal_their_sql(spark):
         got = queries()[name](spark, f"{DATA}/sf0.001")
         assert sorted(names) == sorted(got.columns)
         assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(found.fetchall())
+
+
+@pytest.mark.parametrize("limit", [10, 0])
+def test_jaccard_names_many_copies(spark, monkeypatch, limit):
+    """Texts with many copies, one of them linked to another text, and many empty texts; nothing staged is left but the result."""
+    import os
+
+    from rolefinch.llm import jaccard_join as m
+    from rolefinch.llm.shared import shared_dir
+
+    monkeypatch.setattr(m, "COPIES", 20)
+    if not limit:
+        monkeypatch.setattr(m, "BROADCAST_PAIRS", 0)
+    base = [f"k{i}" for i in range(40)]
+    rows = [(1000 + i, " ".join(base)) for i in range(60)] + [(5, " ".join(base[:-1])), (6, "other words " * 9)] + [(2000 + i, "solo text of five words and more") for i in range(50)] + [(3000 + i, None) for i in range(90)]
+    sets = shingle_sets([{"text": t} for _, t in rows])
+    want = dict(zip([i for i, _ in rows], least_linked([i for i, _ in rows], sets), strict=True))
+    tables = shared_dir(spark).removeprefix("file://") + "/tables"
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    got = m.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want and want[1000] == 5
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(tables)) - before] == ["jaccard"]
