@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labels import is_held_out
-from .shared import small_batches
+from .shared import small_batches, stage, unstage
 from .text import Chunk, chunks
 
 ORDER = 4
 CHUNK = 1_000_000  # bytes scored or counted at once
 FLOOR = 2
+ENTRY, MODEL_BYTES = 32, 600_000_000  # bytes of an entry of a tree, and of all trees, which every worker gets
 PER_LANGUAGE = 2_000  # documents that a language is learned from, about, where it has more
 _LETTER = regex.compile(r"\p{L}")
 
@@ -48,34 +49,26 @@ def _parts(c: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield full[lo - back :], of, np.minimum(ORDER, np.arange(lo, hi) - c.offsets[of])
 
 
-class Model:
-    """Code lengths of all known contexts, one column for each language; one table for each order."""
+class Tree:
+    """Code lengths of all contexts that one language knows; one table for each order."""
 
-    def __init__(self, langs: list[str], order: np.ndarray, key: np.ndarray, count: np.ndarray):
-        """``count[i, k]`` is how often the last byte of ``key[i]`` followed the bytes before it in language k."""
-        self.langs = langs
-        n = len(langs)
+    def __init__(self, order: np.ndarray, key: np.ndarray, count: np.ndarray):
+        """``count[i]`` is how often the last byte of ``key[i]`` followed the bytes before it."""
         self.keys, self.bits, self.contexts, self.escapes = [], [], [], []
         for o in range(ORDER + 1):
             at = np.flatnonzero(order == o)
             at = at[np.argsort(key[at])]
             k, c = key[at], count[at].astype(np.float64)
-            uniq, inverse = np.unique(k >> np.uint64(8), return_inverse=True)
-            total, kinds = np.zeros((len(uniq), n)), np.zeros((len(uniq), n))
-            np.add.at(total, inverse, c)
-            np.add.at(kinds, inverse, c > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                own = -np.log2(c / (total + kinds)[inverse])
-            below = self.code(k & _mask(o - 1), o - 1) if o else np.full((len(k), n), 8.0)
+            uniq, inverse, kinds = np.unique(k >> np.uint64(8), return_inverse=True, return_counts=True)
+            total = np.bincount(inverse, c, len(uniq))
             self.keys.append(k)
-            self.bits.append(np.where(c > 0, own, escape[inverse] + below))
+            self.bits.append(-np.log2(c / (total + kinds)[inverse]))
             self.contexts.append(uniq)
-            self.escapes.append(escape)
+            self.escapes.append(-np.log2(kinds / (total + kinds)))
 
     def code(self, key: np.ndarray, order: int) -> np.ndarray:
         """Code lengths of bytes in contexts of one order, known or not."""
-        out = np.zeros((len(key), len(self.langs)))
+        out = np.zeros(len(key))
         at = np.arange(len(key))
         for o in range(order, -1, -1):
             i, hit = _find(self.keys[o], key)
@@ -88,10 +81,17 @@ class Model:
         out[at] += 8.0
         return out
 
+
+class Model:
+    """The trees of all languages."""
+
+    def __init__(self, langs: list[str], trees: list[Tree]):
+        self.langs, self.trees = langs, trees
+
     def totals(self, c: Chunk) -> np.ndarray:
-        """Code length of each text of a chunk for each language."""
-        n, m = len(c.offsets) - 1, len(self.langs)
-        out = np.zeros((n, m))
+        """Code length of each text of a chunk for each language, one language after another."""
+        n = len(c.offsets) - 1
+        out = np.zeros((n, len(self.langs)))
         for full, of, place in _parts(c):
             for order in range(ORDER + 1):
                 at = np.flatnonzero(place == order)
@@ -100,12 +100,11 @@ class Model:
                 first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
                 times = np.diff(first, append=len(pair))
                 pair = pair[first]
-                step = max(1024, CHUNK // m)
-                for lo in range(0, len(pair), step):
-                    own = (pair[lo : lo + step] >> np.uint64(40)).astype(np.int64)
-                    bits = self.code(pair[lo : lo + step] & _mask(ORDER), order) * times[lo : lo + step, None]
-                    for k in range(m):
-                        out[:, k] += np.bincount(own, bits[:, k], n)
+                # All texts ask a tree for the same contexts: each is looked up once, in order of the tables.
+                key, inverse = np.unique(pair & _mask(ORDER), return_inverse=True)
+                own = (pair >> np.uint64(40)).astype(np.int64)
+                for k, tree in enumerate(self.trees):
+                    out[:, k] += np.bincount(own, tree.code(key, order)[inverse] * times, n)
         return out
 
 
@@ -134,18 +133,19 @@ def train(texts: DataFrame) -> Model:
                             yield pa.RecordBatch.from_arrays([of_name, pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "order", "key", "n"])
 
     counts = texts.select("lang", "text").mapInArrow(count, "lang string, order int, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n"))
-    got = counts.where(F.expr(f"order < 2 or n >= {FLOOR}")).toArrow()
-    lang, order, key, n = (got.column(c) for c in ("lang", "order", "key", "n"))
-    langs = sorted(lang.unique().to_pylist())
-    code = {x: k for k, x in enumerate(langs)}
-    column = lang.combine_chunks().dictionary_encode()
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    of = np.array([code[x] for x in column.dictionary.to_pylist()], np.int64)[column.indices.to_numpy()]
-    tagged, inverse = np.unique((order.to_numpy().astype(np.uint64) << np.uint64(56)) | key.to_numpy().view(np.uint64), return_inverse=True)
-    table = np.zeros((len(tagged), len(langs)), np.int64)
-    table[inverse, of] = n.to_numpy()
-    return Model(langs, (tagged >> np.uint64(56)).astype(np.int64), tagged & _mask(ORDER), table)
+    counts = stage(counts.where(F.expr(f"order < 2 or n >= {FLOOR}")), "contexts")
+    try:
+        sizes = {r["lang"]: r["k"] for r in counts.groupBy("lang").agg(F.count("*").alias("k")).collect()}  # a row for each language
+        if ENTRY * sum(sizes.values()) > MODEL_BYTES:
+            raise ValueError(f"the context trees of {len(sizes)} languages would take more than {MODEL_BYTES} bytes; learn from fewer documents of each")
+        trees = []
+        for lang in sorted(sizes):
+            got = counts.where(F.col("lang") == lang).select("order", "key", "n").toArrow()
+            order, key, n = (got.column(c).to_numpy() for c in ("order", "key", "n"))
+            trees.append(Tree(order, key.view(np.uint64), n))
+        return Model(sorted(sizes), trees)
+    finally:
+        unstage(counts)
 
 
 def training_texts(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
