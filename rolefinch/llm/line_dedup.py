@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unstage(rows)
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
     whole = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept))
-    joined = whole.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(mark)), "left").select(*(F.col(f"`{c}`") for c in kept), runs)
+    joined = whole.join(found.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(mark)), "left").select(*(F.col(f"`{c}`") for c in kept), runs)
 
     def cut(batches):
         for x in batches:
