@@ -8,7 +8,8 @@ the background: lower is more like the target.
 Counts of words and bigrams are a distributed table that grows with the corpus. Documents are coded once, in parts
 of about ``PART`` bytes. Each part sends the hashes of its different words and bigrams with their counts to buckets of
 the hash range; a bucket adds them up and sends each part the sums of what it has. So a common bigram costs one
-number a part, and neither driver nor broadcast holds words.
+number a part, and neither driver nor broadcast holds words. A part has a row for each bucket of which it holds a
+key: parts times buckets, but never more than the parts have different bigrams and words.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import release, small_batches, stage
+from .shared import release, small_batches, stage, unstage
 from .text import chunks, gathered, give_back, mix, signed, words
 
 MIX = 0.7  # weight of bigrams against single words
@@ -199,5 +200,6 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
         give_back()
         return pa.concat_tables(out)
 
-    scored = sums.select("part", "bucket", "t", "b").groupBy("part").cogroup(parts.select("part", "ids", *names[2:6]).groupBy("part")).applyInArrow(losses, T.StructType([T.StructField("id", id_type), *long("n_tokens"), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType())]))
+    scored = stage(sums.select("part", "bucket", "t", "b").groupBy("part").cogroup(parts.select("part", "ids", *names[2:6]).groupBy("part")).applyInArrow(losses, T.StructType([T.StructField("id", id_type), *long("n_tokens"), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType())])), "lm-losses")
+    unstage(parts, sums)
     return scored.select(F.col("id").alias(id_col), "n_tokens", F.col("t").alias("loss_target"), F.col("b").alias("loss_background"), (F.col("t") - F.col("b")).alias("difference"))

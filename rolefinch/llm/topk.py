@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import merged_counters, stage
+from .shared import merged_counters, stage, unstage
 
 BINS = 512
 QUERY_BLOCK = 4096  # queries broadcast and scored at once
@@ -62,16 +62,21 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64
     schema = "query_id long, rank int, vec_id long, score long"
     asked = stage(asked.groupBy("id").agg(F.min("v").alias("v")), "asked")
     result, after = None, None
-    while True:
-        block = asked if after is None else asked.where(F.col("id") > after)
-        block = block.orderBy("id").limit(QUERY_BLOCK).collect()
-        if not block:
-            break
-        after = block[-1]["id"]
-        part = _block(data, block, k, scale)
-        result = part if result is None else result.unionByName(part)
-        if len(block) < QUERY_BLOCK:
-            break
+    try:
+        while True:
+            block = asked if after is None else asked.where(F.col("id") > after)
+            block = block.orderBy("id").limit(QUERY_BLOCK).collect()
+            if not block:
+                break
+            after = block[-1]["id"]
+            part = _block(data, block, k, scale)
+            if len(block) == QUERY_BLOCK:  # others may follow: each is done before the next, so the plan does not grow
+                part = stage(part, "topk")
+            result = part if result is None else result.unionByName(part)
+            if len(block) < QUERY_BLOCK:
+                break
+    finally:
+        unstage(asked)
     return result if result is not None else spark.createDataFrame([], schema)
 
 
