@@ -68,9 +68,13 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query(rf"SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(s_name)), '[^a-z0-9 ]', '', 'g'), '\b({'|'.join(X.COMPANY_SUFFIXES)})\b', '', 'g'), '\s+', ' ', 'g')) AS name FROM supplier")
+LEGAL = [" Inc.", ", LLC", " Labs", " & Co.", ""]
+
+
+@query(rf"SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(s_name || [{', '.join(repr(x) for x in LEGAL)}][s_suppkey % {len(LEGAL)} + 1])), '[^a-z0-9 ]', '', 'g'), '\b({'|'.join(X.COMPANY_SUFFIXES)})\b', '', 'g'), '\s+', ' ', 'g')) AS name FROM supplier")
 def normalize_company(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", X.normalize_company(F.col("s_name")).alias("name"))
+    legal = F.element_at(F.array(*map(F.lit, LEGAL)), (F.col("s_suppkey") % len(LEGAL) + 1).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", X.normalize_company(F.concat("s_name", legal)).alias("name"))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM part")
@@ -267,10 +271,10 @@ def upsert_profile(spark, d):
     return tables.upsert(old, new, ["id"], ["text", "n_skills"])
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS etag FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+@query("SELECT coalesce(doc_id, page_id) AS page_id, CASE WHEN doc_id IS NOT NULL THEN 'new' ELSE 'old' END AS etag FROM pages FULL JOIN documents ON doc_id = page_id")
 def validators_upsert(spark, d):
-    p = table(spark, d, "pages")
-    return tables.upsert(p.where("page_id % 2 = 0").select("page_id", F.lit("old").alias("etag")), p.where("page_id % 3 = 0").select("page_id", F.lit("new").alias("etag")), ["page_id"], ["etag"])
+    old, new = table(spark, d, "pages").select("page_id", F.lit("old").alias("etag")), table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit("new").alias("etag"))
+    return tables.upsert(old, new, ["page_id"], ["etag"])
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = n_name THEN c_mktsegment ELSE c_mktsegment || '|' || n_name END AS places FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -302,19 +306,22 @@ def snapshot_status(spark, d):
     return boards.snapshot_status(boards.parse(p, "greenhouse")).select("board", "status", "listed")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS salary_min, o_totalprice + 1 AS salary_max, 'USD' AS salary_currency, CASE WHEN o_orderstatus = 'F' THEN 'year' ELSE 'hour' END AS salary_period FROM orders WHERE o_orderstatus <> 'P'")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN known THEN o_totalprice END AS salary_min, CASE WHEN known THEN o_totalprice + 1 END AS salary_max, CASE WHEN known THEN 'USD' END AS salary_currency, CASE WHEN known THEN CASE WHEN o_orderstatus = 'F' THEN 'year' ELSE 'hour' END END AS salary_period FROM (SELECT *, o_orderstatus <> 'P' AS known FROM orders)")
 def compensation(spark, d):
     interval = F.when(F.col("o_orderstatus") == "F", "1 YEAR").when(F.col("o_orderstatus") == "P", "1 AGE").otherwise("1 HOUR")
     part = F.array(F.struct(F.lit("Salary").alias("compensationType"), interval.alias("interval"), F.lit("USD").alias("currencyCode"), F.col("o_totalprice").alias("minValue"), (F.col("o_totalprice") + 1).alias("maxValue")))
     job = F.struct(F.col("o_orderkey").alias("id"), F.lit("t").alias("title"), F.struct(F.array(F.struct(part.alias("components"))).alias("compensationTiers")).alias("compensation"))
     p = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("board"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("content"))
-    return boards.parse(p, "ashby").where("salary_period is not null").select(F.col("provider_posting_id").alias("id"), "salary_min", "salary_max", "salary_currency", "salary_period")
+    return boards.parse(p, "ashby").select(F.col("provider_posting_id").alias("id"), "salary_min", "salary_max", "salary_currency", "salary_period")
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'dead' WHEN 2 THEN 'error' WHEN 3 THEN 'empty' ELSE 'ok' END AS health FROM supplier")
+@query("SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'dead' WHEN 2 THEN 'error' ELSE CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END END AS health FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
 def health_map(spark, d):
-    m = F.col("s_suppkey") % 5
-    return table(spark, d, "supplier").select("s_suppkey", boards.health(F.when(m == 1, 404).when(m == 2, 500).when(m > 2, 200), F.when(m == 3, 0).when(m == 4, 7)).alias("health"))
+    """Customers as boards, their orders as jobs."""
+    jobs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    m = F.col("c_nationkey") % 4
+    code = F.when(m == 1, 404).when(m == 2, 500).when(m == 3, 200)
+    return table(spark, d, "customer").join(jobs, "c_custkey", "left").select("c_custkey", boards.health(code, F.coalesce("n", F.lit(0))).alias("health"))
 
 
 @query("SELECT content_hash, count(*) AS n FROM (SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1")
@@ -324,7 +331,7 @@ def content_twins(spark, d):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, d):
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    return table(spark, d, "events").select("event_id", boards._get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
 # Sentences of our own that hold taxonomy terms, and some that only look like them.
@@ -498,7 +505,7 @@ def watched_providers(spark, d):
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels)")
 def posting_lookup(spark, d):
-    wanted = table(spark, d, "labels").agg(F.min("doc_id")).first()[0]
+    wanted = table(spark, d, "labels").agg(F.min("doc_id")).scalar()
     return tables.by_id(table(spark, d, "documents"), "doc_id", wanted).select("doc_id", "text")
 
 

@@ -34,19 +34,19 @@ def test_escaped_html_is_unescaped_once(spark):
 
 def test_title_match(spark):
     m = lambda title, *targets: one(spark, S.title_match(F.lit(title), list(targets)))
-    assert m("Engineer, Backend", "backend engineer") == 1 and m("Senior Backend Engineer", "backend engineer") == 1
-    assert m("Marketing Manager", "backend engineer") < 0.8 and m("anything") is None and m("!!", "a") == 0
+    assert m("Keeper / Harbour", "harbour keeper") == 1 and m("Night harbour keeper", "harbour keeper", "cook") == 1
+    assert m("Baker of Bread", "harbour keeper") < 0.8 and m("whoever") is None and m("?!", "b") == 0
 
 
 def test_coverage_recency_and_location(spark):
     arr = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
-    assert one(spark, S.skill_coverage(arr("Python", "Go", "Kubernetes"), ["Python", "Go", "PostgreSQL"])) == pytest.approx(2 / 3)
-    assert one(spark, S.skill_coverage(arr(), ["Python"])) is None and one(spark, S.skill_coverage(arr("Go"), [])) is None
+    assert one(spark, S.skill_coverage(arr("knots", "sails", "charts", "radio", "stars"), ["radio", "knots", "cooking"])) == pytest.approx(2 / 5)
+    assert one(spark, S.skill_coverage(arr(), ["knots"])) is None and one(spark, S.skill_coverage(arr("sails"), [])) is None
     now = F.lit(NOW).cast("timestamp_ntz")
     for days, want in ((0, 1.0), (14, 0.5), (28, 0.25), (-3, 1.0)):
         assert one(spark, S.recency(now - F.make_dt_interval(F.lit(days)), now)) == pytest.approx(want)
     fit = lambda places, policy, **k: one(spark, S.location_fit(arr(*places), F.lit(policy), S.Profile(**k)))
-    assert fit(["Austin, TX"], "unknown", locations=["austin"]) == 1 and fit(["US"], "unknown", locations=["Austin"]) == 1
+    assert fit(["Pier 4, Kiel"], "unknown", locations=["kiel"]) == 1 and fit(["el"], "unknown", locations=["Kiel"]) == 1
     assert fit(["Berlin"], "remote", locations=["Paris"]) == 0.5 and fit(["Berlin"], "unknown", locations=["Paris"]) == 0 and fit(["Berlin"], "remote") is None
     assert fit(["Berlin"], "remote", remote_only=True) == 1 and fit(["Berlin"], "unknown", remote_only=True, locations=["Berlin"]) == 0
 
@@ -57,15 +57,15 @@ def test_total_is_renormalized(spark):
 
 
 def test_hard_filters(spark):
-    p = S.Profile(exclude_titles=["staff"])
+    p = S.Profile(exclude_titles=["deckhand"])
     ok = lambda title, fit: one(spark, S.passes(F.lit(title), F.lit(fit).cast("double"), p, hard_location=True))
-    assert not ok("Staff Software Engineer", 1.0) and ok("Senior Software Engineer", 1.0) and ok("x", None) and not ok("x", 0.0)
+    assert not ok("Head DeckHand, night", 1.0) and ok("Head cook, night", 1.0) and ok("x", None) and not ok("x", 0.0)
 
 
 def test_taxonomy(spark):
     t = load()
     hits = lambda s: set(one(spark, t.skills(F.lit(s))))
-    assert "Go" in hits("We write Go services") and "Go" not in hits("ready to go to market") and "Python" in hits("PYTHON, please")
+    assert "Go" in hits("Half of it is Go") and "Go" not in hits("nowhere to go") and "Python" in hits("PYTHON, please")
     a, b = Taxonomy([Pattern("a", "x", "a")]), Taxonomy([Pattern("a", "x", "b")])
     assert a.version != b.version and a.version == Taxonomy([Pattern("a", "x", "a")]).version
     for bad in ([], [Pattern("a", "x", "a"), Pattern("a", "x", "b")], [Pattern("a", "x", "(")], [Pattern("", "x", "a")]):
