@@ -110,7 +110,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest id that
     links reach. Null or wordless texts have no shingles and link with nothing. A null id stays null and never
     names a component unless all of its ids are null. Rows that repeat an id are documents of their own. Other
-    columns, of whatever names, are not read. An empty table gives an empty result.
+    columns, of whatever names, are not read. Very long texts are read whole, one at a time. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     staged: list[DataFrame] = []

@@ -103,7 +103,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     byte and end at newlines; the rest of the text is kept as it is. Null texts stay null, empty ones empty; both
     have no lines. Rows that repeat id and text count as one document, so none of them is later than the others;
     rows that repeat an id with other texts are told apart. Other columns are kept, whatever their names, except
-    that ``n_lines`` and ``n_deleted`` are replaced. An empty table gives an empty result.
+    that ``n_lines`` and ``n_deleted`` are replaced. Very long texts are read whole, one at a time. An empty table gives
+    an empty result.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))

@@ -111,8 +111,8 @@ def score_cross_entropy(docs: DataFrame, target: Column, vocabulary: int | None
     ``target`` is a condition on the columns of ``docs``; null counts as false. Tokens are lower-cased words; the
     first of a text follows a start mark. With a ``vocabulary`` only that many of the commonest words count as such
     and all others are one unknown word. Null, empty and wordless texts have no tokens and null losses. A null
-    id is kept, and repeated rows are scored each. With an empty target its model is the uniform one. An empty
-    table gives an empty result.
+    id is kept, and repeated rows are scored each. With an empty target its model is the uniform one. A very long text
+    is a part of its own, read whole. Other columns are read only by ``target``. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)

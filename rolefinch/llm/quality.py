@@ -142,7 +142,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = 5, held_out
 
     ``score`` is the probability of label 1. Null and empty texts are scored as texts without words. With fewer
     than eight labelled rows or with one label only, every score is that label's share (0.5 without labels). A
-    null id is kept and not held out; repeated rows each get their score. An empty table gives an empty result.
+    null id is kept and not held out; repeated rows each get their score. Very long texts are read whole, one at a
+    time. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)

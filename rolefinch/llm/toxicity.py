@@ -298,7 +298,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, buckets: int = 4, held_ou
 
     ``score`` is the probability of label 1. Null, empty and wordless texts have no hits and score as such.
     Without labels of both kinds the lexicon is empty and every score is the label's smoothed share. A null id is
-    kept and not held out; repeated rows each get their score. An empty table gives an empty result.
+    kept and not held out; repeated rows each get their score. Very long texts are read whole, one at a time. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -642,6 +642,25 @@ def test_odd_results(spark):
     assert lines[1][0]["text"] is None and lines[2][0]["text"] == "" and lines[6][0]["text"] == "" and lines[5][0]["text"]
 
 
+def test_odd_results_of_scores_and_passages(spark):
+    """Null, empty, wordless, repeated and very long rows: what toxicity, losses and decontamination make of them."""
+    by = lambda rows, k: [r for r in rows if r["doc_id"] == k]
+    toxic = CASES["toxicity"](spark, odd_rows(spark)).collect()
+    bare = [r for k in (1, 2, 3) for r in by(toxic, k)]
+    assert {(r["n_hits"], r["score"]) for r in bare} == {(0, bare[0]["score"])} and len({r["score"] for r in by(toxic, 4)}) == 1 and by(toxic, 5)[0]["score"] == by(toxic, 6)[0]["score"]
+    losses = CASES["lm"](spark, odd_rows(spark)).collect()
+    assert all((r["n_tokens"], r["loss_target"], r["loss_background"], r["difference"]) == (0, None, None, None) for k in (1, 2, 3) for r in by(losses, k))
+    assert by(losses, 5)[0]["n_tokens"] == 60_000 and len({r["difference"] for r in by(losses, 4)}) == 1 and by(losses, 5)[0]["difference"] == by(losses, 6)[0]["difference"]
+    from rolefinch.llm.decontaminate import contaminated
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = odd_rows(spark).unionByName(spark.createDataFrame([(8, f"lead {passage}"), (8, f"lead {passage}"), (8, passage), (9, "lead " * 50_000 + passage), (None, passage)], "doc_id long, text string"), allowMissingColumns=True)
+    items = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (4, "?!"), (None, passage), (5, passage.upper())], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start_word"], r["similarity"]) for r in contaminated(docs, items).collect())
+    assert got == [(8, 1, 0, 1.0), (8, 5, 0, 1.0), (9, 1, 50_000, 1.0), (9, 5, 50_000, 1.0)]
+    assert contaminated(docs, items.where("false")).collect() == []
+
+
 CLASH = "_text text_ runs h id _hash _lines _left _id _h _key _salt _rank key salt rank start_rank node token item t p0 row_key windows content fingerprint line word part y x n c a b m k s f at kept held_out score predicted n_hits n_lines n_deleted label lang_pred bits sequence_id offset piece start length ids_crc32".split()
 
 
