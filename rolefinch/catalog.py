@@ -461,7 +461,7 @@ def component_details(spark, d):
 def run_rollup(spark, d):
     counts = board_counters(spark, d)
     log = board_scan_log(spark, d).join(counts, ["board", "seq"], "left").withColumn("error", F.concat(F.lit("no answer of "), "board"))
-    return tables.run_summary(log, ("seq",)).select("seq", "boards_attempted", "boards_complete", F.size("errors").cast("long").alias("n_errors"))
+    return tables.run_summary(log, ("seq",)).select("seq", "boards_attempted", "boards_complete", "n_errors")
 
 
 @query(f"""WITH {HISTORY} SELECT 0::BIGINT + id AS id, board, posting_id, seq, kind FROM (SELECT i AS id, 'b' AS board, 0::BIGINT AS posting_id, 0 AS seq, 'new' AS kind FROM range(1, 6) r(i)
