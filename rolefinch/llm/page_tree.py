@@ -182,24 +182,45 @@ def parse(source: str) -> Page:
     return Page(tags, labels, parents, kinds, blocks)
 
 
+@lru_cache(8192)
+def _of_article(label: str) -> bool:
+    return label.startswith(("article", "main")) or bool(re.search(r"[.\-_](article|post|entry|story)(?![a-z])", label))
+
+
 def visible(page: Page) -> list[bool]:
     """Which elements hold text of the page itself rather than its furniture.
 
     A header within an article shows its headings. A form, or an element that only a class marks, is no furniture if it
-    holds an article or the main element, unless it is a place of remarks.
+    holds an article or the main element, nor is one that only a class marks if it holds half of the page's text with a
+    first heading or three paragraphs, as wrappers of a whole page do; unless it is a place of remarks.
     """
     n = len(page.tags)
     holds = [t in ("article", "main") and k == PLAIN for t, k in zip(page.tags, page.kinds)]
+    weight, signs = [0] * n, [3 * (t == "h1") + (t == "p") for t in page.tags]
+    for node, text, linked in page.blocks:
+        weight[node] += len(text) - linked
+    half = max(1, sum(weight)) / 2
     for k in range(n - 1, 0, -1):
-        if holds[k] and page.kinds[k] != REMARK and page.tags[k] not in ("aside", "nav", "footer"):
-            holds[page.parents[k]] = True
-    out, article, headed = [True] * n, [False] * n, [False] * n
+        up = page.parents[k]
+        if page.kinds[k] == REMARK or page.tags[k] in ("head", "aside", "nav", "footer"):
+            holds[k] = False
+            continue
+        weight[up] += weight[k]
+        signs[up] += signs[k]
+        if holds[k]:
+            holds[up] = True
+        elif page.kinds[k] == FURNISHED and page.tags[k] not in FURNITURE and weight[k] >= half and signs[k] >= 3:
+            holds[k] = True
+    shown, headed, gone = range(3)
+    state, article = [shown] * n, [False] * n
     for k in range(1, n):
         p, tag, kind = page.parents[k], page.tags[k], page.kinds[k]
-        article[k] = article[p] or tag in ("article", "main")
-        rescued = holds[k] and kind != REMARK and tag not in ("aside", "nav", "footer", "head")
-        headed[k] = headed[p] or (kind == HEADER and article[p] and out[p])
-        out[k] = (out[p] or (headed[p] and tag in HEADINGS)) and (kind == PLAIN or rescued) and not (headed[k] and kind == HEADER and not rescued)
-        if out[p] and headed[k] and not headed[p] and not rescued:
-            out[k] = False
-    return out
+        kind = PLAIN if kind == HEADER and tag in HEADINGS else kind  # a heading that is called a header is one
+        article[k] = article[p] or _of_article(page.labels[k])
+        if state[p] == gone:
+            state[k] = gone
+        elif state[p] == headed:
+            state[k] = gone if kind != PLAIN else shown if tag in HEADINGS else headed
+        elif kind != PLAIN and not holds[k]:
+            state[k] = headed if kind == HEADER and article[k] else gone
+    return [x == shown for x in state]

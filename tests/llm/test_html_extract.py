@@ -122,7 +122,8 @@ def test_winners_against_plain_votes(spark):
     [
         ("<article><p><b>a<br><p>b</p></article><footer>f", "a\nb"), ("plain &amp text &#8217;&eacute;&nbsp;x", "plain & text ’é x"), ("<p>a<!-- b --><script>c</script>d</p>", "ad"), ("<body><p title='a>b'>c", "c"),
         ("<div>x<p>y</div>z", "x\ny\nz"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "a\nb\nc\nd"), ("<p>a</b></i></div>b</p>", "ab"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<script>never closed <p>a", ""), ("<p>a < b <", "a < b <"),
-        ("<p>a<button>no</button>b<p hidden>no<p style='display: none'>no", "ab"), ("<article><header><h1>T</h1><p>by me</p></header><p>x</p><footer>f</footer></article>", "T\nx"), ("<p>a\t\n b", "a b"), ("<a", ""), ("", ""), ("<body></body>after", "after"),
+        ("<p>a<button>no</button>b<p hidden>no<p style='display: none'>no", "ab"), ("<article><header><h1>T</h1><p>by me</p></header><p>x</p><footer>f</footer></article>", "T\nx"), ("<p>a\t\n b", "a b"), ("<a", ""), ("", ""), ("<article><h1 class='entry-header'>T</h1><p>x</p></article>", "T\nx"), ("<body><div class='site menu-open'><div class=menu><p>m</p></div><h1>T</h1><p>text of the page</p></div><div class=ad><p>buy this now</p></div>", "T\ntext of the page"),
+        ("<div class=cookie-notice><p>A notice that is longer than the page itself.</p></div><p>x</p>", "x"), ("<p>x</p><div id=comments><h1>1</h1><p>a very long remark</p><p>another one</p><p>yet another</p></div>", "x"), ("<div class=post><div class=post-header><h1>T</h1><p>by me</p></div><p>x</p></div>", "T\nx"), ("<body></body>after", "after"),
     ],
 )
 def test_malformed_pages(source, want):
