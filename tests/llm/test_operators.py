@@ -413,10 +413,10 @@ def test_fingerprints_against_plain_votes(spark):
     from rolefinch.llm.decontaminate import LANES, fingerprints, tagged
 
     rows = [(0, [1, -5, 77, 77]), (1, []), (2, [2**62, -(2**63), 123456789]), (3, [8] * 9 + [9])]
-    df = spark.createDataFrame(rows, "k int, s array<long>").select("k", tagged(F.col("s")).alias("bag"))
+    df = tagged(spark.createDataFrame(rows, "k int, s array<long>"), F.col("s"), "bag").select("k", "bag")
     bags = {r["k"]: r["bag"] for r in df.collect()}
     assert [len(set(bags[k])) for k in range(4)] == [4, 0, 3, 10]  # repeats are told apart
-    got = {r["k"]: r["f"] for r in fingerprints(df, ["k"], "bag").collect()}
+    got = {r["k"]: r["f"] for r in fingerprints(df, "bag").collect()}
     assert set(got) == {0, 2, 3}
     for k, f in got.items():
         for lane in range(LANES):
