@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 FAN_IN = 512  # counters of so many tasks are summed at once
-BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+# Arrow batches: the settings' names, Spark's defaults, and what operators on texts use instead.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` rows, as texts may be long, unless the session has its own number."""
-    if spark.conf.get(BATCH_KEY) == "10000":
-        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    """Arrow batches of 1,000 rows and 16 MB at most, as texts may be long, where the session still has Spark's defaults."""
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,8 +71,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees what the second one's references stood for
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def merged_counters(df: DataFrame, column_fn, size: int, dtype, slices: int = 32) -> np.ndarray:
