@@ -416,7 +416,7 @@ def test_fingerprints_against_plain_votes(spark):
     df = tagged(spark.createDataFrame(rows, "k int, s array<long>"), F.col("s"), "bag").select("k", "bag")
     bags = {r["k"]: r["bag"] for r in df.collect()}
     assert [len(set(bags[k])) for k in range(4)] == [4, 0, 3, 10]  # repeats are told apart
-    got = {r["k"]: r["f"] for r in fingerprints(df, "bag").collect()}
+    got = {r["k"]: r["f"] for r in fingerprints(df, ["k"], "bag").collect()}
     assert set(got) == {0, 2, 3}
     for k, f in got.items():
         for lane in range(LANES):
@@ -721,7 +721,7 @@ def test_queries_equal_their_sql(spark):
     from rolefinch.llm.entry import oracle_sql, queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "pages"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/sf0.001/{t}.parquet')")
     for name, sql in oracle_sql().items():
         found = con.execute(sql)
