@@ -91,19 +91,21 @@ def tagged(df: DataFrame, shingles: Column, name: str) -> DataFrame:
     return once(x, name, F.transform(ordered, lambda y, i: F.xxhash64(y, i - F.array_position(ordered, y)))).drop(ordered)
 
 
-def fingerprints(bags: DataFrame, bag: str) -> DataFrame:
-    """``bags`` with ``f``, the SimHash of each row's bag of hashes, ``LANES`` numbers; rows with an empty bag go.
+def fingerprints(bags: DataFrame, keys: list[str], bag: str) -> DataFrame:
+    """``keys, f``: the SimHash of each row's bag of hashes, ``LANES`` numbers; a row without any has none.
 
     Votes are counted for two bits at a time, in the halves of a number.
     """
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda lane: F.transform(bag, lambda x: F.xxhash64(x, lane)))
     one, low = F.lit(1).cast("long"), F.lit((1 << 32) - 1).cast("long")
     shift = lambda x, k: F.call_function("shiftleft", x, k)
-    pair = lambda x, k: F.getbit(x, 2 * k).cast("long") + shift(F.getbit(x, 2 * k + 1).cast("long"), F.lit(32))
-    bits = lambda votes, k, n: F.when(2 * votes.bitwiseAND(low) > n, shift(one, 2 * k)).otherwise(0 * one).bitwiseOR(F.when(2 * F.shiftright(votes, 32) > n, shift(one, 2 * k + 1)).otherwise(0 * one))
-    number = lambda y: F.aggregate(F.sequence(F.lit(0), F.lit(31)), 0 * one, lambda acc, k: acc.bitwiseOR(F.aggregate(y, 0 * one, lambda votes, x: votes + pair(x, k), lambda votes: bits(votes, k, F.size(y)))))
-    lane = unused(bags, "lanes")
-    return once(once(bags.where(F.size(bag) > 0), lane, lanes), "f", F.transform(lane, number)).drop(lane)
+    bits = lambda v, k: F.when(2 * v.bitwiseAND(low) > F.col("n"), shift(one, 2 * k)).otherwise(0 * one).bitwiseOR(F.when(2 * F.shiftright(v, 32) > F.col("n"), shift(one, 2 * k + 1)).otherwise(0 * one))
+    x = bags.select(*keys, F.explode(bag).alias("x")).select(*keys, F.explode(F.array(*map(F.lit, range(LANES)))).alias("lane"), "x")
+    x = x.select(*keys, "lane", F.xxhash64("x", "lane").alias("y"))
+    pair = lambda k: F.getbit("y", F.lit(2 * k)).cast("long") + F.shiftleft(F.getbit("y", F.lit(2 * k + 1)).cast("long"), 32)
+    votes = x.groupBy(*keys, "lane").agg(F.count("*").alias("n"), *(F.sum(pair(k)).alias(f"v{k}") for k in range(32)))
+    number = F.aggregate(F.transform(F.array(*(f"v{k}" for k in range(32))), bits), 0 * one, lambda a, b: a.bitwiseOR(b))
+    lanes = votes.select(*keys, "lane", number.alias("f")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lane", "f"))).alias("f"))
+    return lanes.withColumn("f", F.transform("f", lambda l: l["f"]))
 
 
 def _bytes(fingerprint: Column) -> Column:
@@ -138,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
         items = items.select("item", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.size("w").alias("m"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"))
         ks = [r["k"] for r in items.select("k").distinct().collect()]  # five values at most
         pick = lambda h, m: F.coalesce(*(F.when(F.col("k") == k, _shingles(h, m, k)) for k in range(1, SHINGLE + 1)))
-        items = hold(fingerprints(tagged(once(items, "s", pick(F.col("h"), F.col("m"))), F.col("s"), "bag"), "bag"), "items")
+        items = hold(tagged(once(items, "s", pick(F.col("h"), F.col("m"))), F.col("s"), "bag"), "items")
         marks = hold(items.select("item", "m", "k", F.explode("s").alias("x")).distinct(), "marks")
         wanted = _small(hold(marks.select("k", "x").distinct(), "wanted"))
         source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null").withColumn("t", F.xxhash64("text"))
@@ -159,18 +161,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
         texts = texts.groupBy("id", "t").agg(F.first("h").alias("h"))  # rows that repeat id and text
         windows = texts.join(places, ["id", "t"]).select("id", "t", "p0", "m", "k", F.slice("h", F.col("p0") + 1, F.col("m")).alias("h"))
         windows = tagged(once(once(windows, "own", F.col("h")), "s", pick(F.col("own"), F.size("own"))), F.col("s"), "bag")
-        windows = hold(fingerprints(windows.select("id", "t", "p0", "m", "bag"), "bag"), "windows")
+        windows = hold(windows.select("id", "t", "p0", "m", "bag").where("size(bag) > 0"), "windows")
         # Only fingerprints meet in the index: a window's bytes are looked up among those that an item's bytes can become.
         window = ["id", "t", "p0", "m"]
-        keys = windows.withColumn("b", F.explode(_bytes(F.col("f")))).select(*window, "f", "b.block", "b.value")
+        keys = hold(fingerprints(windows, window, "bag"), "prints").withColumn("b", F.explode(_bytes(F.col("f")))).select(*window, "f", "b.block", "b.value")
         flips = [sum(1 << b for b in c) for n in range(radius // BLOCKS + 1) for c in combinations(range(8), n)]
-        probes = items.select("item", "m", F.col("f").alias("f2")).withColumn("b", F.explode(_bytes(F.col("f2"))))
+        known = hold(items.join(fingerprints(items, ["item", "h", "m"], "bag"), ["item", "h", "m"]).select("item", "m", F.col("f").alias("f2"), F.col("bag").alias("bag2")), "known")
+        probes = known.select("item", "m", "f2").withColumn("b", F.explode(_bytes(F.col("f2"))))
         probes = probes.withColumn("flip", F.explode(F.array(*(F.lit(x).cast("long") for x in flips)))).select("item", "m", "f2", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
         apart = F.aggregate(F.zip_with("f", "f2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
         near = keys.join(probes, ["m", "block", "value"]).withColumn("distance", apart).where(F.col("distance") <= radius).groupBy(*window, "item", "f2").agg(F.first("distance").alias("distance"))
         # The shingles of what is left decide.
-        bags = items.select("item", "m", F.col("f").alias("f2"), F.col("bag").alias("bag2"))
-        near = near.join(windows.drop("f"), window).join(bags, ["item", "m", "f2"])
+        near = near.join(windows, window).join(known, ["item", "m", "f2"])
         exact = near.withColumn("both", F.size(F.array_intersect("bag", "bag2"))).withColumn("all", F.size("bag") + F.size("bag2") - F.col("both")).where(f"100 * both >= {percent} * `all`")
         best = exact.select("id", "item", F.struct((-F.col("both") / F.col("all")).alias("less"), "p0", "m", "distance").alias("w")).groupBy("id", "item").agg(F.min("w").alias("w"))
         return stage(best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("w.p0").alias("start_word"), F.col("w.m").alias("n_words"), F.col("w.distance").alias("distance"), (-F.col("w.less")).alias("similarity")), "contaminated")
