@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, unstage, unused
+from .shared import release, stage, unstage, unused
 
 SHINGLE = 5
 LANES = 4  # fingerprints are so many numbers of 64 bits
@@ -170,7 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
         probes = known.select("item", "m", "f2").withColumn("b", F.explode(_bytes(F.col("f2"))))
         probes = probes.withColumn("flip", F.explode(F.array(*(F.lit(x).cast("long") for x in flips)))).select("item", "m", "f2", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
         apart = F.aggregate(F.zip_with("f", "f2", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-        near = keys.join(probes, ["m", "block", "value"]).withColumn("distance", apart).where(F.col("distance") <= radius).groupBy(*window, "item", "f2").agg(F.first("distance").alias("distance"))
+        # The probes are many times the items, which Spark's estimate does not know: never broadcast.
+        near = keys.join(probes.hint("merge"), ["m", "block", "value"]).withColumn("distance", apart).where(F.col("distance") <= radius).groupBy(*window, "item", "f2").agg(F.first("distance").alias("distance"))
         # The shingles of what is left decide.
         near = near.join(windows, window).join(known, ["item", "m", "f2"])
         exact = near.withColumn("both", F.size(F.array_intersect("bag", "bag2"))).withColumn("all", F.size("bag") + F.size("bag2") - F.col("both")).where(f"100 * both >= {percent} * `all`")
@@ -178,3 +179,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radiu
         return stage(best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("w.p0").alias("start_word"), F.col("w.m").alias("n_words"), F.col("w.distance").alias("distance"), (-F.col("w.less")).alias("similarity")), "contaminated")
     finally:
         unstage(*staged)
+        staged.clear()
+        release(docs.sparkSession)

@@ -70,11 +70,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected their plans."""
+    """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected their plans. The driver's own free memory goes back to the system."""
+    from .text import give_back
+
     for _ in range(2):  # the first round frees what the second one's references stood for
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.1)
+    give_back()
 
 
 def merged_counters(df: DataFrame, column_fn, size: int, dtype, slices: int = 32) -> np.ndarray:
