@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..stored import new_path
 from .tables import extract, missing_extractions
 
-BATCH = 1_000_000  # postings of a batch, about
+BATCH = 1_000_000  # postings of a batch at most
+FEW = 100_000  # keys that are broadcast at most
 SCHEMA = "posting_id long, content_hash string, kind string, engine_version string, skills array<string>, categories map<string,string>"
 
 
@@ -25,23 +26,49 @@ def memo(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+def pending(postings: DataFrame, known: DataFrame, version: str) -> tuple[DataFrame, int]:
+    """Open postings without a current extraction, with their text, and their number. They are found by their keys: the texts are joined with nothing where nothing is known, else with what is missing, and are not sorted for it."""
+    current = known.where((F.col("kind") == "taxonomy") & (F.col("engine_version") == version))
+    texts = postings.where("status = 'open'").select(F.col("posting_id").cast("long"), "content_hash", "body_text")
+    keys = missing_extractions(postings.select(F.col("posting_id").cast("long"), "content_hash", "status"), current, version).select(F.col("posting_id").alias("_id"), F.col("content_hash").alias("_hash"))
+    n = keys.count()
+    if not n or current.isEmpty():
+        return texts, n
+    return texts.join(keys.hint("broadcast" if n <= FEW else "shuffle_hash"), F.col("posting_id").eqNullSafe(F.col("_id")) & F.col("content_hash").eqNullSafe(F.col("_hash")), "left_semi"), n
+
+
+def in_batches(rows: DataFrame, n: int, batch: int) -> Iterator[DataFrame]:
+    """The ``n`` rows in parts of at most ``batch`` rows: whole files of a copy that is written once, as the rows come."""
+    if n <= batch:
+        yield rows
+        return
+    path = new_path(rows.sparkSession, "pending")
+    rows.write.option("maxRecordsPerFile", batch).parquet(path)
+    held = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    name = F.col("_metadata.file_name")
+    parts: list[list[str]] = []
+    room = 0
+    for file, count in held.groupBy(name.alias("file")).count().orderBy("file").collect():
+        if not parts or count > room:
+            parts.append([])
+            room = batch
+        parts[-1].append(file)
+        room -= count
+    for files in parts:
+        yield held.where(name.isin(files))
+
+
 def backfill(postings: DataFrame, path: str, taxonomy, batch: int = BATCH, committed: Callable[[int], None] | None = None) -> int:
     """Add to the memo under ``path`` what open ``postings`` lack of the present taxonomy; how many that were.
 
-    What is missing is found by one anti-join and written by ranges of a hash; each range is extracted and appended by
-    a job of its own, which shows all of its rows or none. After a crash the next call finds only what is still missing,
-    so at most the open batch is done again, and no row twice. ``committed`` is told the number of each finished batch.
+    Each batch is extracted and appended by a job of its own, which shows all of its rows or none. After a crash the next
+    call finds only what is still missing, so at most the open batch is done again, and no row twice. ``committed`` is told
+    the number of each finished batch.
     """
-    spark = postings.sparkSession
-    pending = missing_extractions(postings, memo(spark, path), taxonomy.version).select(F.col("posting_id").cast("long"), "content_hash", "body_text")
-    n = pending.count()
+    missing, n = pending(postings, memo(postings.sparkSession, path), taxonomy.version)
     if not n:
         return 0
-    batches = -(-n // batch)
-    held = new_path(spark, "pending")
-    pending.withColumn("batch", F.pmod(F.xxhash64("posting_id"), F.lit(batches))).write.partitionBy("batch").parquet(held)
-    for k in range(batches):
-        part = spark.read.schema("posting_id long, content_hash string, body_text string, batch long").parquet(held).where(F.col("batch") == k)
+    for k, part in enumerate(in_batches(missing, n, batch)):
         extract(part, taxonomy).write.mode("append").parquet(path)
         if committed:
             committed(k)

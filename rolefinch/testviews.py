@@ -39,7 +39,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     if key not in _stored:
         paths = {name: new_path(spark, name) for name in ("postings", "companies", "extractions")}
         p = postings(spark, sf_dir).withColumn("content_hash", content_hash(F.col("body_text"))).withColumn("company_id", F.xxhash64("company"))
-        p.drop("company").repartition(spark.sparkContext.defaultParallelism).write.parquet(paths["postings"])
+        p.drop("company").write.parquet(paths["postings"])
         p.select("company_id", "company").distinct().write.parquet(paths["companies"])
         backfill(spark.read.parquet(paths["postings"]), paths["extractions"], WORDS)
         _stored[key] = paths

@@ -326,3 +326,62 @@ def test_backfill_takes_up_where_it_stopped(spark, tmp_path):
     assert backfill(df, path, other, 1000) == 90 and memo(spark, path).count() == 180
     edited = df.withColumn("content_hash", F.when(F.col("posting_id") < 5, "new").otherwise(F.col("content_hash")))
     assert backfill(edited, path, t) == 4
+
+
+def shuffled(spark):
+    """Bytes that all stages of the application have written for shuffles or spilled so far."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    every = (stages.apply(i) for i in range(stages.size()))
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() + x.diskBytesSpilled() + x.memoryBytesSpilled() for x in every}
+
+
+def random_texts(n, size):
+    rng = random.Random(5)
+    return [(i, f"h{i}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=size)), "open") for i in range(n)]
+
+
+@pytest.mark.parametrize("batch", [1000, 100])
+def test_backfill_moves_keys_not_texts(spark, tmp_path, batch):
+    """In one batch or several, of nothing known or few missing, less is shuffled and spilled than a tenth of the texts."""
+    from rolefinch.operators.backfill import backfill, memo
+
+    rows = random_texts(400, 20_000)
+    source, path, t = f"{tmp_path}/postings", f"{tmp_path}/memo", Taxonomy([Pattern("tea", "drink", r"\btea\b")])
+    spark.createDataFrame(rows, "posting_id long, content_hash string, body_text string, status string").write.parquet(source)
+    p, before = spark.read.parquet(source), shuffled(spark)
+    sizes = []
+    assert backfill(p.where("posting_id >= 40"), path, t, batch, lambda k: sizes.append(memo(spark, path).count())) == 360
+    assert backfill(p, path, t, batch) == 40 and backfill(p, path, t, batch) == 0
+    assert len(sizes) == (1 if batch == 1000 else len(sizes)) and all(b - a <= batch for a, b in zip([0, *sizes], sizes))
+    assert sorted(r["posting_id"] for r in memo(spark, path).collect()) == list(range(400))
+    assert sum(v for k, v in shuffled(spark).items() if k not in before) < 400 * 20_000 / 10
+
+
+def test_backfill_of_many_missing_beside_known_ones(spark, tmp_path, monkeypatch):
+    """More missing keys than are broadcast: each is done once, one without a content hash again each time."""
+    from rolefinch.operators import backfill as B
+
+    monkeypatch.setattr(B, "FEW", 10)
+    t, path = Taxonomy([Pattern("tea", "drink", r"\btea\b")]), f"{tmp_path}/memo"
+    rows = [(i, None if i == 9 else f"h{i % 50}", "tea" if i % 2 else None, "open") for i in range(300)]
+    p = spark.createDataFrame(rows, "posting_id long, content_hash string, body_text string, status string")
+    assert B.backfill(p.where("posting_id < 100"), path, t, 30) == 100
+    missing, n = B.pending(p, B.memo(spark, path), t.version)
+    assert n == 201 and "ShuffledHashJoin" in missing._jdf.queryExecution().executedPlan().toString()
+    assert B.backfill(p, path, t, 30) == 201 and B.backfill(p, path, t, 30) == 1
+    got = sorted((r["posting_id"], r["content_hash"], r["skills"]) for r in B.memo(spark, path).collect() if r["posting_id"] != 9)
+    assert got == [(i, h, ["tea"] * (i % 2)) for i, h, _, _ in rows if i != 9]
+
+
+@pytest.mark.parametrize("name", ["rank_top_titles"])
+def test_stored_texts_are_not_shuffled(spark, tmp_path, name):
+    """The shortlist's tables are stored and read without moving texts between partitions."""
+    from rolefinch import catalog
+
+    rows = [(i, text, "en", "src0", len(text)) for i, _, text, _ in random_texts(400, 20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled(spark)
+    assert len(catalog.queries()[name](spark, str(tmp_path)).collect()) in (10, 400)
+    assert sum(v for k, v in shuffled(spark).items() if k not in before) < 400 * 20_000 / 10
