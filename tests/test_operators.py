@@ -375,7 +375,7 @@ def test_backfill_of_many_missing_beside_known_ones(spark, tmp_path, monkeypatch
     assert got == [(i, h, ["tea"] * (i % 2)) for i, h, _, _ in rows if i != 9]
 
 
-@pytest.mark.parametrize("name", ["rank_top_titles"])
+@pytest.mark.parametrize("name", ["rank_top_titles", "shown_postings"])
 def test_stored_texts_are_not_shuffled(spark, tmp_path, name):
     """The shortlist's tables are stored and read without moving texts between partitions."""
     from rolefinch import catalog
