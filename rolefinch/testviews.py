@@ -41,7 +41,7 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
         p = postings(spark, sf_dir).withColumn("content_hash", content_hash(F.col("body_text"))).withColumn("company_id", F.xxhash64("company"))
         p.drop("company").write.parquet(paths["postings"])
         p.select("company_id", "company").distinct().write.parquet(paths["companies"])
-        backfill(spark.read.parquet(paths["postings"]), paths["extractions"], WORDS)
+        backfill(spark.read.parquet(paths["postings"]), paths["extractions"], WORDS, held=True)
         _stored[key] = paths
     paths = _stored[key]
     return spark.read.parquet(paths["postings"]), spark.read.parquet(paths["companies"]), memo(spark, paths["extractions"])

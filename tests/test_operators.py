@@ -385,3 +385,30 @@ def test_stored_texts_are_not_shuffled(spark, tmp_path, name):
     before = shuffled(spark)
     assert len(catalog.queries()[name](spark, str(tmp_path)).collect()) in (10, 400)
     assert sum(v for k, v in shuffled(spark).items() if k not in before) < 400 * 20_000 / 10
+
+
+def written(spark):
+    """Bytes that all stages of the application have written as output so far."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.outputBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("batch", [400, 130])
+def test_held_postings_are_not_copied(spark, tmp_path, batch):
+    """Files of 100 postings, four or one to a batch: each is read where it lies, and no text is written again."""
+    from rolefinch.operators.backfill import backfill, memo
+
+    rows = random_texts(800, 20_000)
+    source, path, t = f"{tmp_path}/post ings", f"{tmp_path}/memo", Taxonomy([Pattern("tea", "drink", r"\btea\b")])
+    spark.createDataFrame(rows, "posting_id long, content_hash string, body_text string, status string").repartitionByRange(8, "posting_id").write.option("maxRecordsPerFile", 100).parquet(source)
+    p, before, sizes = spark.read.parquet(source), written(spark), []
+    assert backfill(p, path, t, batch, lambda k: sizes.append(memo(spark, path).count()), held=True) == 800
+    assert len(sizes) > 1 and all(b - a <= batch for a, b in zip([0, *sizes], sizes))
+    assert sorted(r["posting_id"] for r in memo(spark, path).collect()) == list(range(800))
+    assert sum(v for k, v in written(spark).items() if k not in before) < 800 * 20_000 / 10
+    # a file that holds more than a batch is copied in parts, and what a part of the memo lacks is found as ever
+    other = f"{tmp_path}/other"
+    assert backfill(p.where("posting_id < 150"), other, t, 70, held=True) == 150 and backfill(p, other, t, batch, held=True) == 650
+    assert sorted(r["posting_id"] for r in memo(spark, other).collect()) == list(range(800))
